@@ -53,7 +53,8 @@ def rejects(raw: DataFrame) -> DataFrame:
 def link_edges(parsed: DataFrame) -> DataFrame:
     """LG3 as an edge list: (src, dst, pos) in document order, plus the
     fragment-free target key ``dst_key`` (UR2) used by the link graph."""
-    return (parsed.select(F.col("url").alias("src"), F.posexplode("urls").alias("pos", "dst"))
+    return (parsed.select(F.col("url").alias("src"), F.posexplode_outer("urls").alias("pos", "dst"))
+            .filter(F.col("dst").isNotNull())
             .withColumn("dst_key", urls.remove_fragments("dst"))
             .select("src", "dst", "dst_key", F.col("pos").cast("int").alias("pos")))
 
@@ -61,6 +62,7 @@ def link_edges(parsed: DataFrame) -> DataFrame:
 def image_rows(parsed: DataFrame) -> DataFrame:
     """HX8 exploded: (url=src, alt, page_url, time, ingest_seq, img_pos)."""
     return (parsed.select(F.col("url").alias("page_url"), "time", "ingest_seq",
-                          F.posexplode("images").alias("img_pos", "img"))
+                          F.posexplode_outer("images").alias("img_pos", "img"))
+            .filter(F.col("img").isNotNull())
             .select(F.col("img.src").alias("url"), F.col("img.alt").alias("alt"),
                     "page_url", "time", "ingest_seq", "img_pos"))

@@ -29,13 +29,24 @@ from ..functions import porter, text
 POSTINGS_COLUMNS = ("token", "url", "count")
 
 
+def _nonnull(df: DataFrame, col: str) -> DataFrame:
+    """Rows of an ``explode_outer`` that carry an element.
+
+    The ``_outer`` generators are used on purpose: for a plain explode Spark
+    infers ``size(array) > 0`` and pushes it below the projection, which
+    evaluates the whole tokeniser (or link resolver) a second time per row."""
+    return df.filter(F.col(col).isNotNull())
+
+
 def occurrences(corpus: DataFrame, stem: bool = True, key: str = "url",
                 text_col: str = "text") -> DataFrame:
     """One row per token occurrence: (key, pos, token).  ``pos`` is the word's
     position among the kept ASCII words, so text order can be rebuilt."""
     if not stem:
-        return corpus.select(key, F.posexplode(text.tokens(text_col)).alias("pos", "token"))
-    words = corpus.select(key, F.posexplode(text.ascii_lower_words(text_col)).alias("pos", "word"))
+        return _nonnull(corpus.select(key, F.posexplode_outer(text.tokens(text_col)).alias("pos", "token")),
+                        "token")
+    words = _nonnull(corpus.select(key, F.posexplode_outer(text.ascii_lower_words(text_col))
+                                   .alias("pos", "word")), "word")
     vocab = stem_vocabulary(words.select("word"))
     return drop_stop_stems(words.join(vocab, "word")).select(key, "pos", F.col("stem").alias("token"))
 
@@ -59,11 +70,12 @@ def term_counts(corpus: DataFrame, stem: bool = True, key: str = "url",
                 text_col: str = "text") -> DataFrame:
     """TX10 / M3(a): postings ``(token, url, count)`` of a corpus ``(key, text)``."""
     if not stem:
-        toks = corpus.select(F.col(key).alias("url"), F.explode(text.tokens(text_col)).alias("token"))
+        toks = _nonnull(corpus.select(F.col(key).alias("url"),
+                                      F.explode_outer(text.tokens(text_col)).alias("token")), "token")
         return (toks.groupBy("token", "url").agg(F.count(F.lit(1)).alias("count"))
                 .select(*POSTINGS_COLUMNS))
-    words = corpus.select(F.col(key).alias("url"),
-                          F.explode(text.ascii_lower_words(text_col)).alias("word"))
+    words = _nonnull(corpus.select(F.col(key).alias("url"),
+                                   F.explode_outer(text.ascii_lower_words(text_col)).alias("word")), "word")
     per_word = words.groupBy("url", "word").agg(F.count(F.lit(1)).alias("n"))
     vocab = stem_vocabulary(per_word.select("word"))
     return (drop_stop_stems(per_word.join(vocab, "word"))

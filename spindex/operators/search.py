@@ -38,7 +38,8 @@ def analyze(queries: DataFrame, stem: bool = True, id_col: str = "query_id",
                             stem=True, key="query_id", text_col="q")
     else:
         occ = queries.select(F.col(id_col).alias("query_id"),
-                             F.posexplode(text.tokens(text_col)).alias("pos", "token"))
+                             F.posexplode_outer(text.tokens(text_col)).alias("pos", "token")
+                             ).filter(F.col("token").isNotNull())
     return occ.groupBy("query_id", "token").agg(F.min("pos").alias("qpos"))
 
 

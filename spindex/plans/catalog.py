@@ -59,7 +59,8 @@ def tx_doc_frequency(spark, sf):
 
 def tx_stem_vocabulary(spark, sf):
     """TX5b/TX7: Porter stem of every distinct lowercase ASCII word."""
-    words = _docs(spark, sf).select(F.explode(text.ascii_lower_words("text")).alias("word"))
+    words = (_docs(spark, sf).select(F.explode_outer(text.ascii_lower_words("text")).alias("word"))
+             .filter(F.col("word").isNotNull()))
     return postings.stem_vocabulary(words)
 
 
