@@ -9,10 +9,12 @@ Plan shape of ``term_counts`` (stem on):
 
     scan(text) -> explode words -> partial count by (url, word)
       -> shuffle (url, word) -> final count
-      -> join vocabulary(word -> stem)       [AQE: broadcast if the measured
-                                              vocabulary is small, else
-                                              sort-merge with skew split]
-      -> drop stop stems -> sum by (url, token)
+      -> join vocabulary(word -> stem)       [vocabulary: distinct words,
+                                              stemmed once, checkpointed, stop
+                                              stems removed; AQE broadcasts it
+                                              when its measured size is small,
+                                              else sort-merge with skew split]
+      -> sum by (url, token)
 
 Stemming runs once per distinct word, and only after the counts have been
 pre-aggregated per document, so neither the stemmer nor the join sees raw
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import porter, text
+from ..session import checkpoint_dir
 
 POSTINGS_COLUMNS = ("token", "url", "count")
 
@@ -47,23 +50,25 @@ def occurrences(corpus: DataFrame, stem: bool = True, key: str = "url",
                         "token")
     words = _nonnull(corpus.select(key, F.posexplode_outer(text.ascii_lower_words(text_col))
                                    .alias("pos", "word")), "word")
-    vocab = stem_vocabulary(words.select("word"))
-    return drop_stop_stems(words.join(vocab, "word")).select(key, "pos", F.col("stem").alias("token"))
-
-
-def drop_stop_stems(df: DataFrame, col: str = "stem") -> DataFrame:
-    """TX6 after stemming, as a broadcast anti join with the 180-entry stop
-    list (a fixed-size table).  A filter on the stem would be pushed by
-    Catalyst through the stemmer's projections, inlining every step into the
-    predicate; an anti join infers no predicate on its left side."""
-    stop = df.sparkSession.createDataFrame([(w,) for w in text.STOP_WORDS], "_stop string")
-    return df.join(F.broadcast(stop), F.col(col) == F.col("_stop"), "left_anti")
+    vocab = indexable_stems(stem_vocabulary(words.select("word")))
+    return words.join(vocab, "word").select(key, "pos", F.col("stem").alias("token"))
 
 
 def stem_vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
-    """TX7: distinct words -> (word, stem).  Work grows with the vocabulary."""
+    """TX7: distinct words -> (word, stem), checkpointed.
+
+    Work grows with the vocabulary, not the text.  The table is written to
+    the shared checkpoint folder: it is read by a join right after, and the
+    written table is a leaf for the optimizer, so no later predicate is
+    pushed into (and re-evaluates) the stemmer expression."""
+    checkpoint_dir(words.sparkSession)
     vocab = words.select(F.col(word).alias("word")).distinct()
-    return porter.stem_steps(vocab, "word", "stem").select("word", "stem")
+    return porter.stem_steps(vocab, "word", "stem").select("word", "stem").checkpoint()
+
+
+def indexable_stems(vocab: DataFrame) -> DataFrame:
+    """TX6 after stemming: vocabulary rows whose stem is not a stop word."""
+    return vocab.filter(~text.is_stop_word(F.col("stem")))
 
 
 def term_counts(corpus: DataFrame, stem: bool = True, key: str = "url",
@@ -77,8 +82,8 @@ def term_counts(corpus: DataFrame, stem: bool = True, key: str = "url",
     words = _nonnull(corpus.select(F.col(key).alias("url"),
                                    F.explode_outer(text.ascii_lower_words(text_col)).alias("word")), "word")
     per_word = words.groupBy("url", "word").agg(F.count(F.lit(1)).alias("n"))
-    vocab = stem_vocabulary(per_word.select("word"))
-    return (drop_stop_stems(per_word.join(vocab, "word"))
+    vocab = indexable_stems(stem_vocabulary(per_word.select("word")))
+    return (per_word.join(vocab, "word")
             .groupBy(F.col("stem").alias("token"), "url")
             .agg(F.sum("n").alias("count"))
             .select(*POSTINGS_COLUMNS))

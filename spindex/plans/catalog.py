@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import pages, postings, search
+from ..operators import links, pages, postings, search
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,9 +71,14 @@ def tx_term_counts_stemmed(spark, sf):
 
 # -------------------------------------------------------------- search (SE)
 
+def _doc_index(spark, sf):
+    """The stemmed document index, built once and written (checkpointed) --
+    what a search service reads."""
+    return postings.term_counts(_docs(spark, sf), stem=True).checkpoint()
+
+
 def _doc_search(spark, sf, **kw):
-    post = postings.term_counts(_docs(spark, sf), stem=True)
-    return search.search(_queries(spark, sf), post, stem=True, **kw)
+    return search.search(_queries(spark, sf), _doc_index(spark, sf), stem=True, **kw)
 
 
 def se_ranked_documents(spark, sf):
@@ -93,7 +98,7 @@ def se_require_all(spark, sf):
 
 def se_topk_per_word(spark, sf):
     """SE2: top-50 postings (count desc, url asc) of every query token."""
-    post = postings.term_counts(_docs(spark, sf), stem=True)
+    post = _doc_index(spark, sf)
     q = search.analyze(_queries(spark, sf), stem=True)
     top = search.top_postings(post, q)
     return top.select("token", "url", "count", F.col("word_rank").cast("bigint").alias("word_rank"))
@@ -140,6 +145,59 @@ def ur_normalised(spark, sf):
                     urls.is_web("url").alias("is_web"))
 
 
+# ------------------------------------------------------------ link graph (LG)
+
+def _graph(spark, sf):
+    parsed = _parsed(spark, sf).select("url", "urls")
+    return parsed, pages.link_edges(parsed)
+
+
+def _host_domains(parsed: DataFrame) -> DataFrame:
+    """Scope list derived from the crawl: the hosts that were fetched."""
+    return parsed.select(urls.host("url").alias("domain")).distinct()
+
+
+def lg_backlinks(spark, sf):
+    """LG1: (url, backlink) for every link target, fragment removed."""
+    _, e = _graph(spark, sf)
+    return links.backlinks(e)
+
+
+def lg_stubs(spark, sf):
+    """LG2: linked but unfetched URLs with their number of backlinks."""
+    p, e = _graph(spark, sf)
+    return links.stubs(p, e)
+
+
+def lg_degrees(spark, sf):
+    """LG4: out- and in-degree of every fetched page."""
+    p, e = _graph(spark, sf)
+    return links.degrees(p, e)
+
+
+def lg_seen(spark, sf):
+    """LG5: each edge flagged when its target's request identity was fetched."""
+    p, e = _graph(spark, sf)
+    return links.seen(p, e)
+
+
+def lg_frontier(spark, sf):
+    """LG6: in-scope, unseen link targets (scope = fetched hosts)."""
+    p, e = _graph(spark, sf)
+    return links.frontier(p, e, _host_domains(p))
+
+
+def lg_bfs_depth(spark, sf):
+    """LG7/LG8: BFS depth (max 4) from the pages nothing links to."""
+    p, e = _graph(spark, sf)
+    return links.bfs_depth(p, e, max_depth=4)
+
+
+def lg_depth_counts(spark, sf):
+    """LG9: nodes per BFS depth."""
+    return links.depth_counts(lg_bfs_depth(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     "tx_format_text": tx_format_text,
     "tx_tokens_documents": tx_tokens_documents,
@@ -158,4 +216,11 @@ QUERIES: dict[str, Query] = {
     "hx_rejects": hx_rejects,
     "hx_links": hx_links,
     "ur_normalised": ur_normalised,
+    "lg_backlinks": lg_backlinks,
+    "lg_stubs": lg_stubs,
+    "lg_degrees": lg_degrees,
+    "lg_seen": lg_seen,
+    "lg_frontier": lg_frontier,
+    "lg_bfs_depth": lg_bfs_depth,
+    "lg_depth_counts": lg_depth_counts,
 }

@@ -28,6 +28,37 @@ SELECT token, url, count, word_rank FROM (
 WHERE word_rank <= 50"""
 
 
+def _graph_sql(select: str, recursive: bool = False) -> str:
+    host = f"lower(regexp_extract({{}}, {O.q(HOST_RE)}, 1))"
+    canon = ("CASE WHEN contains(split_part({0}, '#', 1), '?') AND "
+             "substr(split_part({0}, '#', 1), strpos(split_part({0}, '#', 1), '?') + 1) <> '' "
+             "THEN split_part(split_part({0}, '#', 1), '?', 1) || '?' || array_to_string(list_sort(string_split("
+             "substr(split_part({0}, '#', 1), strpos(split_part({0}, '#', 1), '?') + 1), '&')), '&') "
+             "ELSE split_part(split_part({0}, '#', 1), '?', 1) END")
+    head = "WITH RECURSIVE" if recursive else "WITH"
+    return f"""{head} {O.parsed_pages_ctes()},
+{O.links_ctes()},
+ed AS (SELECT src, dst, pos, {O.remove_fragments('dst')} AS dst_key, {canon.format('dst')} AS canon FROM lk),
+bl AS (SELECT DISTINCT dst_key AS url, src AS backlink FROM ed),
+indeg AS (SELECT url, CAST(count(*) AS BIGINT) AS n FROM bl GROUP BY url),
+keys AS (SELECT DISTINCT {O.remove_fragments('url')} AS node FROM pp),
+fetched_canon AS (SELECT DISTINCT {canon.format('url')} AS canon FROM pp),
+doms AS (SELECT DISTINCT {host.format('url')} AS d FROM pp),
+e AS (SELECT DISTINCT {O.remove_fragments('src')} AS node, dst_key AS nxt FROM ed),
+seeds AS (SELECT node FROM keys WHERE node NOT IN (SELECT nxt FROM e WHERE nxt IN (SELECT node FROM keys)))
+{select}"""
+
+
+def _bfs_sql(select: str) -> str:
+    return _graph_sql(""",
+r(node, depth) AS (
+    SELECT node, 0 FROM seeds
+    UNION
+    SELECT e.nxt, r.depth + 1 FROM r JOIN e ON e.node = r.node WHERE r.depth < 4),
+walk AS (SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node)
+""" + select, recursive=True)
+
+
 SQL: dict[str, str] = {
     "tx_format_text": f"SELECT conv_id, turn, {O.format_text('text')} AS formatted FROM conversations",
     "tx_tokens_documents": (f"SELECT url, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens "
@@ -52,4 +83,18 @@ SQL: dict[str, str] = {
                       f"lower(regexp_extract(url, {O.q(SCHEME_RE)}, 1)) AS scheme, "
                       f"lower(regexp_extract(url, {O.q(HOST_RE)}, 1)) AS host, "
                       f"lower(regexp_extract(url, {O.q(SCHEME_RE)}, 1)) IN ('http', 'https') AS is_web FROM pages"),
+    "lg_backlinks": _graph_sql("SELECT url, backlink FROM bl"),
+    "lg_stubs": _graph_sql("SELECT url, n AS n_backlinks FROM indeg WHERE url NOT IN (SELECT node FROM keys)"),
+    "lg_degrees": _graph_sql(
+        "SELECT pp.url, coalesce(o.n, 0) AS out_degree, "
+        "coalesce(i.n, 0) AS in_degree FROM pp "
+        "LEFT JOIN (SELECT src, CAST(count(*) AS BIGINT) AS n FROM lk GROUP BY src) o ON o.src = pp.url "
+        f"LEFT JOIN indeg i ON i.url = {O.remove_fragments('pp.url')}"),
+    "lg_seen": _graph_sql("SELECT src, pos, dst, canon IN (SELECT canon FROM fetched_canon) AS seen FROM ed"),
+    "lg_frontier": _graph_sql(
+        "SELECT DISTINCT dst AS url FROM ed WHERE canon NOT IN (SELECT canon FROM fetched_canon) AND EXISTS ("
+        f"SELECT 1 FROM doms WHERE lower(regexp_extract(ed.dst, {O.q(HOST_RE)}, 1)) = d "
+        f"OR ends_with(lower(regexp_extract(ed.dst, {O.q(HOST_RE)}, 1)), '.' || d))"),
+    "lg_bfs_depth": _bfs_sql("SELECT node AS url, depth FROM walk"),
+    "lg_depth_counts": _bfs_sql("SELECT depth, CAST(count(*) AS BIGINT) AS n FROM walk GROUP BY depth"),
 }
