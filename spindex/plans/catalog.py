@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import links, pages, postings, search
+from ..operators import images, links, merge, pages, postings, scans, search
 from ..sources import tables
+from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -198,6 +199,214 @@ def lg_depth_counts(spark, sf):
     return links.depth_counts(lg_bfs_depth(spark, sf))
 
 
+# ------------------------------------------------------------- merges (M)
+# The crawl is split into two ingests by a content rule: pages without a
+# query string form the stored crawl, pages with one the new batch.  Every
+# row of ``pages`` is processed.
+
+def _split(spark, sf):
+    p = _parsed(spark, sf)
+    has_q = F.col("url").contains("?")
+    return p, p.filter(~has_q), p.filter(has_q)
+
+
+def _page_backlinks(parsed):
+    return links.backlinks(pages.link_edges(parsed))
+
+
+def m_page_merge(spark, sf):
+    """M1: stored crawl + batch -> page view (full rows, stubs, backlinks)."""
+    _, ex, bt = _split(spark, sf)
+    merged = merge.merge_pages(ex, bt)
+    bl = merge.merge_backlinks(_page_backlinks(ex), _page_backlinks(bt))
+    return merge.page_view(merged, bl)
+
+
+def m_insert_ignore(spark, sf):
+    """SNK1: stored crawl, then a re-crawl of every page (title marked,
+    later ingest): stored rows win, new URLs are inserted."""
+    _, ex, _ = _split(spark, sf)
+    all_pages = _parsed(spark, sf)
+    stored = ex.select("url", "title", "ingest_seq")
+    again = all_pages.select("url", F.concat(F.lit("re-crawl: "), "title").alias("title"),
+                             (F.col("ingest_seq") + F.lit(1000000)).alias("ingest_seq"))
+    return merge.insert_ignore(stored, again, "url")
+
+
+def m_postings_upsert(spark, sf):
+    """M3: postings of the stored crawl upserted with the batch's postings."""
+    _, ex, bt = _split(spark, sf)
+    return merge.upsert_postings(postings.term_counts(ex.select("url", "text"), stem=False),
+                                 postings.term_counts(bt.select("url", "text"), stem=False))
+
+
+def _recrawl(spark, sf, mode):
+    p, ex, _ = _split(spark, sf)
+    stored = postings.term_counts(p.select("url", "text"), stem=False)
+    again = postings.term_counts(ex.select("url", "text"), stem=False)
+    return merge.recrawl(stored, p, ex, again, on_recrawl=mode)
+
+
+def m_recrawl_add(spark, sf):
+    """M5 'add': re-crawling the stored pages adds their counts again."""
+    return _recrawl(spark, sf, "add")
+
+
+def m_recrawl_skip(spark, sf):
+    """M5 'skip': re-crawled URLs leave the postings unchanged."""
+    return _recrawl(spark, sf, "skip")
+
+
+def m_token_url_lookup(spark, sf):
+    """M6: postings of the title tokens restricted to the batch URLs."""
+    p, _, bt = _split(spark, sf)
+    index = postings.term_counts(p.select("url", "text"), stem=False)
+    title_tokens = (p.select(F.explode_outer(text.tokens("title")).alias("token"))
+                    .filter(F.col("token").isNotNull()))
+    return merge.lookup(index, title_tokens, bt.select("url"))
+
+
+def m_backlink_set_add(spark, sf):
+    """M7: backlink sets of the two ingests united."""
+    _, ex, bt = _split(spark, sf)
+    return merge.merge_backlinks(_page_backlinks(ex), _page_backlinks(bt))
+
+
+# ---------------------------------------------------------- streaming (ST)
+
+def _streamed(spark, sf):
+    """Run the streaming ingest over the ``pages`` file and return its output
+    folder (ST1, SNK2, SNK3)."""
+    out = ingest.stream_folder(spark, "st")
+    ingest.ingest(ingest.raw_page_stream(spark, sf, "pages.parquet"), out, stem=False)
+    return out
+
+
+def st_postings_equals_batch(spark, sf):
+    """ST3: postings deltas written per micro-batch, summed on read."""
+    return ingest.read_postings(spark, _streamed(spark, sf))
+
+
+def st_pages_first_wins(spark, sf):
+    """ST2: page rows from the stream, first full row per URL key."""
+    return ingest.read_pages(spark, _streamed(spark, sf)).select("url", "title", "description")
+
+
+def st_backlinks(spark, sf):
+    """ST5: backlink pairs from the stream."""
+    return ingest.read_backlinks(spark, _streamed(spark, sf))
+
+
+def st_running_counts(spark, sf):
+    """ST4: running (token, url) counts, stateful aggregation in update mode."""
+    out = ingest.stream_folder(spark, "st-counts")
+    ingest.running_counts(ingest.raw_page_stream(spark, sf, "pages.parquet"), out)
+    return ingest.read_running_counts(spark, out)
+
+
+# ------------------------------------------------------------ images (HX8-10)
+
+def _contexts(spark, sf):
+    return images.image_contexts(tables.raw_pages(spark, sf))
+
+
+def hx_images(spark, sf):
+    """HX8: every <img> of every page: (page_url, img_pos, url=src, alt)."""
+    return pages.image_rows(_parsed(spark, sf)).select("page_url", "img_pos", "url", "alt")
+
+
+def hx_image_context(spark, sf):
+    """HX9: each image with the text of its context ancestor."""
+    return _contexts(spark, sf).select("page_url", "img_pos", "src", "alt", "context")
+
+
+def hx_image_postings(spark, sf):
+    """HX10 + M4: image postings (stemmed) over context + alt."""
+    return images.image_postings(_contexts(spark, sf))
+
+
+def m_images_insert_ignore(spark, sf):
+    """M2: the images collection, first page's row per image URL."""
+    return images.image_table(_contexts(spark, sf))
+
+
+def se_images(spark, sf):
+    """SE11: benchmark texts searched against the image index."""
+    ctx = _contexts(spark, sf)
+    ranked = search.search(_queries(spark, sf), images.image_postings(ctx), stem=True)
+    return search.image_results(ranked, images.image_table(ctx))
+
+
+# ------------------------------------------------------ scans and stats (SCN, AG)
+
+def scn_find(spark, sf):
+    """SCN1: pages with more than 5 links, (url, title), by url, skip 10, take 20."""
+    p = _parsed(spark, sf)
+    return scans.find(p, F.size("urls") > 5, ["url", "title"], ["url"], skip=10, limit=20)
+
+
+def scn_count(spark, sf):
+    """SCN3: number of pages whose title has more than 5 words."""
+    p = _parsed(spark, sf)
+    return scans.count_where(p, F.size(F.split("title", " ")) > 5)
+
+
+def scn_exists(spark, sf):
+    """SCN4: every distinct link target with its stored-page flag."""
+    p = _parsed(spark, sf)
+    targets = pages.link_edges(p).select(F.col("dst").alias("url")).distinct()
+    return scans.exists(targets, "url", p)
+
+
+def scn_time_range(spark, sf):
+    """SCN5: events of 10-20 January 2024."""
+    ev = tables.table(spark, sf, "events")
+    return scans.time_range(ev, "ts", "2024-01-10 00:00:00", "2024-01-20 00:00:00").select(
+        "event_id", "user_id", "event_type", "value")
+
+
+def scn_pages_by_backlink(spark, sf):
+    """SCN6: backlink pairs whose target is a stored page."""
+    p = _parsed(spark, sf)
+    return scans.pages_linked_from(_page_backlinks(p), p.select(links.page_key("url").alias("url"), "title"))
+
+
+def scn_forward_index(spark, sf):
+    """SCN7: tokens and occurrences per page (stem off)."""
+    return scans.forward_summary(postings.term_counts(_parsed(spark, sf).select("url", "text"), stem=False))
+
+
+def scn_nested_index(spark, sf):
+    """AG3: token -> [url:count, ...] (sorted by url), bounded chunks."""
+    nv = postings.nested_view(postings.term_counts(_parsed(spark, sf).select("url", "text"), stem=False))
+    return nv.select("token", "chunk", F.size("urls").cast("bigint").alias("n_urls"),
+                     F.array_join(F.transform("urls", lambda e: F.concat(e["url"], F.lit(":"),
+                                                                           e["count"].cast("string"))),
+                                  ",").alias("urls"))
+
+
+def ag_corpus_stats(spark, sf):
+    """AG1: sizes of the page, image, page-token and image-token collections
+    and the number of pages scraped, as (metric, value) rows."""
+    p = _parsed(spark, sf)
+    post = postings.term_counts(p.select("url", "text"), stem=False)
+    ctx = _contexts(spark, sf)
+    view = merge.page_view(merge.first_full_rows(p), _page_backlinks(p))
+    return scans.corpus_stats({
+        "scraped": p,
+        "pages": view,
+        "images": images.image_table(ctx),
+        "page_tokens": post.select("token").distinct(),
+        "image_tokens": images.image_postings(ctx, stem=False).select("token").distinct(),
+    })
+
+
+def snk_keep_tokens(spark, sf):
+    """SNK4 (upload switch off): tokens kept on the page row (stem off)."""
+    t = postings.tokens_column(_parsed(spark, sf).select("url", "text"), stem=False)
+    return t.select("url", F.array_join("tokens", " ").alias("tokens"))
+
+
 QUERIES: dict[str, Query] = {
     "tx_format_text": tx_format_text,
     "tx_tokens_documents": tx_tokens_documents,
@@ -223,4 +432,29 @@ QUERIES: dict[str, Query] = {
     "lg_frontier": lg_frontier,
     "lg_bfs_depth": lg_bfs_depth,
     "lg_depth_counts": lg_depth_counts,
+    "m_page_merge": m_page_merge,
+    "m_insert_ignore": m_insert_ignore,
+    "m_postings_upsert": m_postings_upsert,
+    "m_recrawl_add": m_recrawl_add,
+    "m_recrawl_skip": m_recrawl_skip,
+    "m_token_url_lookup": m_token_url_lookup,
+    "m_backlink_set_add": m_backlink_set_add,
+    "st_postings_equals_batch": st_postings_equals_batch,
+    "st_pages_first_wins": st_pages_first_wins,
+    "st_backlinks": st_backlinks,
+    "st_running_counts": st_running_counts,
+    "hx_images": hx_images,
+    "hx_image_context": hx_image_context,
+    "hx_image_postings": hx_image_postings,
+    "m_images_insert_ignore": m_images_insert_ignore,
+    "se_images": se_images,
+    "scn_find": scn_find,
+    "scn_count": scn_count,
+    "scn_exists": scn_exists,
+    "scn_time_range": scn_time_range,
+    "scn_pages_by_backlink": scn_pages_by_backlink,
+    "scn_forward_index": scn_forward_index,
+    "scn_nested_index": scn_nested_index,
+    "ag_corpus_stats": ag_corpus_stats,
+    "snk_keep_tokens": snk_keep_tokens,
 }

@@ -28,6 +28,15 @@ SELECT token, url, count, word_rank FROM (
 WHERE word_rank <= 50"""
 
 
+IMG_RE = r"(?is)<img\b[^>]*>"
+
+
+def _attr(name: str) -> str:
+    pat = r"""(?is)\s""" + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    return ("regexp_replace(regexp_extract(tag, " + O.q(pat) + ", 1), "
+            "'^\"([^\"]*)\"$|^''([^'']*)''$', '\\1\\2')")
+
+
 def _graph_sql(select: str, recursive: bool = False) -> str:
     host = f"lower(regexp_extract({{}}, {O.q(HOST_RE)}, 1))"
     canon = ("CASE WHEN contains(split_part({0}, '#', 1), '?') AND "
@@ -95,6 +104,66 @@ SQL: dict[str, str] = {
         "SELECT DISTINCT dst AS url FROM ed WHERE canon NOT IN (SELECT canon FROM fetched_canon) AND EXISTS ("
         f"SELECT 1 FROM doms WHERE lower(regexp_extract(ed.dst, {O.q(HOST_RE)}, 1)) = d "
         f"OR ends_with(lower(regexp_extract(ed.dst, {O.q(HOST_RE)}, 1)), '.' || d))"),
+    "m_page_merge": _graph_sql(
+        f"""SELECT coalesce(f.url, d.url) AS url, f.title, f.description, f.title IS NULL AS is_stub,
+               coalesce(d.n, 0) AS n_backlinks
+        FROM (SELECT {O.remove_fragments('url')} AS url, arg_min(title, ingest_seq) AS title,
+                     arg_min(description, ingest_seq) AS description FROM pp GROUP BY 1) f
+        FULL JOIN indeg d ON f.url = d.url"""),
+    "m_insert_ignore": (f"WITH {O.parsed_pages_ctes()}\nSELECT url, CASE WHEN contains(url, '?') THEN 're-crawl: ' || title "
+                        f"ELSE title END AS title, CASE WHEN contains(url, '?') THEN ingest_seq + 1000000 "
+                        f"ELSE ingest_seq END AS ingest_seq FROM pp"),
+    "m_postings_upsert": f"WITH {O.parsed_pages_ctes()}\n{O.postings_nostem('pp')}",
+    "m_recrawl_add": (f"WITH {O.parsed_pages_ctes()},\nallp AS ({O.postings_nostem('pp')}),\n"
+                      f"again AS ({O.postings_nostem('(SELECT * FROM pp WHERE NOT contains(url, chr(63)))')})\n"
+                      f"SELECT token, url, CAST(sum(count) AS BIGINT) AS count FROM "
+                      f"(SELECT * FROM allp UNION ALL SELECT * FROM again) GROUP BY token, url"),
+    "m_recrawl_skip": f"WITH {O.parsed_pages_ctes()}\n{O.postings_nostem('pp')}",
+    "m_token_url_lookup": (f"WITH {O.parsed_pages_ctes()},\nallp AS ({O.postings_nostem('pp')})\n"
+                           f"SELECT token, url, count FROM allp WHERE token IN "
+                           f"(SELECT unnest({O.tokens('title')}) FROM pp) AND url IN "
+                           f"(SELECT url FROM pp WHERE contains(url, '?'))"),
+    "m_backlink_set_add": _graph_sql("SELECT url, backlink FROM bl"),
+    "st_postings_equals_batch": f"WITH {O.parsed_pages_ctes()}\n{O.postings_nostem('pp')}",
+    "st_pages_first_wins": (f"WITH {O.parsed_pages_ctes()}\nSELECT arg_min(url, ingest_seq) AS url, "
+                            f"arg_min(title, ingest_seq) AS title, arg_min(description, ingest_seq) AS description "
+                            f"FROM pp GROUP BY {O.remove_fragments('url')}"),
+    "st_backlinks": _graph_sql("SELECT url, backlink FROM bl"),
+    "st_running_counts": f"WITH {O.parsed_pages_ctes()}\n{O.postings_nostem('pp')}",
+    "scn_find": (f"WITH {O.parsed_pages_ctes()},\n{O.links_ctes()}\nSELECT url, title FROM pp WHERE "
+                 f"(SELECT count(*) FROM lk WHERE lk.src = pp.url) > 5 ORDER BY url LIMIT 20 OFFSET 10"),
+    "scn_count": (f"WITH {O.parsed_pages_ctes()}\nSELECT CAST(count(*) AS BIGINT) AS n FROM pp "
+                  f"WHERE len(string_split(title, ' ')) > 5"),
+    "scn_exists": (f"WITH {O.parsed_pages_ctes()},\n{O.links_ctes()}\nSELECT DISTINCT dst AS url, "
+                   f"rtrim(rtrim(dst, '/'), ' ') IN (SELECT rtrim(rtrim(url, '/'), ' ') FROM pp) AS exists FROM lk"),
+    "scn_time_range": ("SELECT event_id, user_id, event_type, value FROM events "
+                       "WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"),
+    "scn_pages_by_backlink": _graph_sql("SELECT url, backlink FROM bl WHERE url IN (SELECT node FROM keys)"),
+    "scn_forward_index": (f"WITH {O.parsed_pages_ctes()},\nallp AS ({O.postings_nostem('pp')})\n"
+                          f"SELECT url, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(count) AS BIGINT) AS n_occurrences "
+                          f"FROM allp GROUP BY url"),
+    "scn_nested_index": (f"WITH {O.parsed_pages_ctes()},\nallp AS ({O.postings_nostem('pp')})\n"
+                         f"SELECT token, 0 AS chunk, CAST(count(*) AS BIGINT) AS n_urls, "
+                         f"string_agg(url || ':' || CAST(count AS VARCHAR), ',' ORDER BY url) AS urls "
+                         f"FROM allp GROUP BY token"),
+    "ag_corpus_stats": _graph_sql(
+        "SELECT * FROM (VALUES ('scraped', (SELECT CAST(count(*) AS BIGINT) FROM pp)), "
+        "('pages', (SELECT CAST(count(*) AS BIGINT) FROM (SELECT node FROM keys UNION SELECT url FROM indeg))), "
+        "('images', CAST(0 AS BIGINT)), "
+        f"('page_tokens', (SELECT CAST(count(DISTINCT token) AS BIGINT) FROM ({O.postings_nostem('pp')}))), "
+        "('image_tokens', CAST(0 AS BIGINT))) AS t(metric, value)"),
+    "snk_keep_tokens": (f"WITH {O.parsed_pages_ctes()}\nSELECT url, array_to_string({O.tokens('text')}, ' ') AS tokens "
+                        f"FROM pp"),
+    "hx_images": (f"WITH {O.parsed_pages_ctes()},\nim AS (SELECT url AS page_url, unnest(t) AS tag, "
+                  f"generate_subscripts(t, 1) - 1 AS img_pos FROM (SELECT url, regexp_extract_all(clean, "
+                  f"{O.q(IMG_RE)}) AS t FROM pp))\nSELECT page_url, CAST(img_pos AS INTEGER) AS img_pos, "
+                  f"{O.decode_entities(_attr('src'))} AS url, {O.decode_entities(_attr('alt'))} AS alt FROM im"),
+    "m_images_insert_ignore": (f"WITH {O.parsed_pages_ctes()},\nim AS (SELECT url AS page_url, ingest_seq, unnest(t) AS tag, "
+                               f"generate_subscripts(t, 1) AS img_pos FROM (SELECT url, ingest_seq, regexp_extract_all(clean, "
+                               f"{O.q(IMG_RE)}) AS t FROM pp)),\nimr AS (SELECT {O.decode_entities(_attr('src'))} AS url, "
+                               f"{O.decode_entities(_attr('alt'))} AS alt, page_url, ingest_seq, img_pos FROM im)\n"
+                               f"SELECT url, arg_min(alt, (ingest_seq, img_pos)) AS alt, "
+                               f"arg_min(page_url, (ingest_seq, img_pos)) AS page_url FROM imr GROUP BY url"),
     "lg_bfs_depth": _bfs_sql("SELECT node AS url, depth FROM walk"),
     "lg_depth_counts": _bfs_sql("SELECT depth, CAST(count(*) AS BIGINT) AS n FROM walk GROUP BY depth"),
 }
