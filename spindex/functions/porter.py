@@ -40,8 +40,13 @@ STEP4_SUFFIXES = (
 VOWELS = ("a", "e", "i", "o", "u")
 
 
-def cv_pattern(w: Column) -> Column:
-    """'c'/'v' per letter, left to right."""
+# The 25 letters other than 'y' and their class (v = a e i o u).
+_LETTERS = "abcdefghijklmnopqrstuvwxz"
+_CLASSES = "vcccvcccvcccccvcccccvcccc"
+
+
+def _cv_by_fold(w: Column) -> Column:
+    """'c'/'v' per letter, left to right -- exact for any word."""
     return F.aggregate(
         F.split(w, ""),
         F.lit(""),
@@ -54,6 +59,16 @@ def cv_pattern(w: Column) -> Column:
     )
 
 
+def cv_pattern(w: Column) -> Column:
+    """'c'/'v' per letter.  Without 'yy' in the word every 'y' follows a
+    non-'y' letter whose class is known, so ``translate`` plus two regex
+    rewrites give the pattern (code-generated); words with 'yy' use the
+    exact left-to-right fold."""
+    classes = F.regexp_replace(F.translate(w, _LETTERS, _CLASSES), "[^cvy]", "c")
+    fast = F.regexp_replace(F.regexp_replace(classes, "cy", "cv"), "y", "c")
+    return F.when(w.contains("yy"), _cv_by_fold(w)).otherwise(fast)
+
+
 def _drop(c: Column, k: int) -> Column:
     """``c`` without its last ``k`` chars."""
     if k == 0:

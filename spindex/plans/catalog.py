@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import images, links, merge, pages, postings, scans, search
+from ..session import checkpoint_dir
 from ..sources import tables
 from ..streaming import ingest
 
@@ -30,7 +31,12 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.parse(tables.raw_pages(spark, sf))
+    """The parsed pages collection, written once (checkpoint) like the
+    reference's stored pages.  Queries then filter and join a stored table:
+    a predicate on ``urls`` or ``title`` stops at the written table instead
+    of being pushed into (and re-planning) the extraction expressions."""
+    checkpoint_dir(spark)
+    return pages.parse(tables.raw_pages(spark, sf)).checkpoint()
 
 
 # ----------------------------------------------------------------- text (TX)
