@@ -53,9 +53,11 @@ def exists(candidates: DataFrame, url_col: str, pages: DataFrame) -> DataFrame:
 
 def time_range(df: DataFrame, ts_col: str, start: str, end: str) -> DataFrame:
     """SCN5: rows with ``start <= ts < end`` (pushed into the scan, row groups
-    pruned by their min/max statistics)."""
+    pruned by their min/max statistics).  Bounds are local date-times for a
+    TIMESTAMP_NTZ column and session-zone instants for a TIMESTAMP column."""
     ts = F.col(ts_col)
-    return df.filter((ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp")))
+    kind = df.schema[ts_col].dataType     # bounds typed like the column: no time-zone shift
+    return df.filter((ts >= F.lit(start).cast(kind)) & (ts < F.lit(end).cast(kind)))
 
 
 def pages_linked_from(backlinks: DataFrame, pages: DataFrame) -> DataFrame:
