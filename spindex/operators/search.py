@@ -12,9 +12,11 @@ A table of queries is answered in one plan:
       -> join non-stub pages, presentation columns            SE7, SE8
 
 The top-k is ranked per *token*, not per (query, token): a token shared by
-many queries is ranked once.  Spark plans ``row_number() <= k`` as a window
-group limit, which keeps only ``k`` rows per token in each map task before
-the shuffle, so a hot token ships at most ``k`` rows per task.
+many queries is ranked once.  The query tokens are broadcast (after a size
+check) into the postings scan, so the postings are not shuffled for the
+lookup; the window's own shuffle then gets a partial group limit that keeps
+only ``k`` rows per token in each map task, so a hot token ships at most
+``k`` rows per task and its final ranking task stays small.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import postings as P
+from .sizing import broadcast_if_small
 
 PER_WORD_LIMIT = 50   # fixed value: postings kept per query word
 PER_WORD_SKIP = 0     # fixed value: postings skipped per query word
@@ -47,7 +50,7 @@ def top_postings(postings: DataFrame, tokens: DataFrame, k: int = PER_WORD_LIMIT
                  skip: int = PER_WORD_SKIP) -> DataFrame:
     """SE2: for each wanted token its postings ranked by count desc, url asc,
     keeping ranks ``skip+1 .. skip+k``."""
-    wanted = tokens.select("token").distinct()
+    wanted = broadcast_if_small(tokens.select("token").distinct())
     p = postings.join(wanted, "token", "left_semi")
     w = Window.partitionBy("token").orderBy(F.desc("count"), F.asc("url"))
     return (p.withColumn("word_rank", F.row_number().over(w))
@@ -66,13 +69,18 @@ def score(queries_analyzed: DataFrame, postings: DataFrame, k: int = PER_WORD_LI
     if scoring not in ("sum", "literal"):
         raise ValueError(f"unknown scoring {scoring!r}")
     q = queries_analyzed.select("query_id", "token", "qpos")
-    wanted = q.select("token").distinct()
+    # the query tokens are few (queries x words); broadcast after a size check
+    # so the postings are filtered in place, not shuffled by a hot token
+    wanted = broadcast_if_small(q.select("token").distinct())
     relevant = postings.join(wanted, "token", "left_semi").select("token", "url", "count")
     top = top_postings(relevant, wanted, k, skip).select("token", "url")
     cand = q.join(top, "token").select("query_id", "url").distinct()
+    # SE4 only needs the postings of candidate URLs: at most queries x words x k
+    cand_urls = broadcast_if_small(cand.select("url").distinct())
+    needed = relevant.join(cand_urls, "url", "left_semi")
     grid = (cand.join(q, "query_id")
             .join(top.withColumn("in_top", F.lit(True)), ["token", "url"], "left")
-            .join(relevant, ["token", "url"], "left")
+            .join(needed, ["token", "url"], "left")
             .select("query_id", "url", "qpos",
                     F.coalesce("in_top", F.lit(False)).alias("in_top"),
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("c")))
