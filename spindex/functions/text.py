@@ -76,10 +76,24 @@ def raw_words(c: Column | str) -> Column:
     return F.split(F.btrim(F.regexp_replace(c, PUNCT_OR_BREAK, " "), F.lit(" ")), " +")
 
 
+# A word is a maximal run of non-space chars once punctuation is replaced;
+# matches start only at a word start (lookbehind), so the scan stays linear.
+NON_ASCII_WORD = r"(?<![^ ])[^ ]*[^\x00-\x7F][^ ]*"
+
+
 def ascii_lower_words(c: Column | str) -> Column:
-    """TX4+TX5a: keep all-ASCII words, lowercased (the input to stemming)."""
-    kept = F.filter(raw_words(c), lambda w: ~w.rlike(NON_ASCII))
-    return F.transform(kept, lambda w: F.lower(w))
+    """TX4+TX5a: keep all-ASCII words, lowercased (the input to stemming).
+
+    Done on the whole string, so it stays in generated code: after the
+    punctuation rewrite, words containing a non-ASCII char are deleted with
+    one regex, then the (now ASCII) text is lowercased and split.  Deleting
+    before lowercasing matters: a few non-ASCII letters lowercase to ASCII."""
+    c = _c(c)
+    spaced = F.btrim(F.regexp_replace(c, PUNCT_OR_BREAK, " "), F.lit(" "))
+    ascii_only = F.regexp_replace(spaced, NON_ASCII_WORD, "")
+    words = F.array_remove(F.split(F.btrim(F.lower(ascii_only), F.lit(" ")), " +"), "")
+    # an empty text splits to [''] (a stop word), as the reference's split does
+    return F.when(spaced == "", F.array(F.lit(""))).otherwise(words)
 
 
 def is_stop_word(w: Column) -> Column:

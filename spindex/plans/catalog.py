@@ -111,6 +111,16 @@ def se_topk_per_word(spark, sf):
     return top.select("token", "url", "count", F.col("word_rank").cast("bigint").alias("word_rank"))
 
 
+def se_results_pages(spark, sf):
+    """SE7-SE8, SE10, TX8, TX9: benchmark texts searched against the stemmed
+    page index; results joined to the stored pages with the result-page
+    columns (default texts, 200-char snippet, result count)."""
+    p = _parsed(spark, sf)
+    index = postings.term_counts(p.select("url", "text"), stem=True).checkpoint()
+    ranked = search.search(_queries(spark, sf), index, stem=True)
+    return search.results(ranked, p.select("url", "title", "description"))
+
+
 # --------------------------------------------------------------- pages (HX)
 
 def hx_title_description(spark, sf):
@@ -424,6 +434,7 @@ QUERIES: dict[str, Query] = {
     "se_ranked_documents": se_ranked_documents,
     "se_ranked_literal": se_ranked_literal,
     "se_require_all": se_require_all,
+    "se_results_pages": se_results_pages,
     "hx_title_description": hx_title_description,
     "hx_text": hx_text,
     "hx_term_counts": hx_term_counts,

@@ -154,6 +154,7 @@ SQL: dict[str, str] = {
         "('image_tokens', CAST(0 AS BIGINT))) AS t(metric, value)"),
     "snk_keep_tokens": (f"WITH {O.parsed_pages_ctes()}\nSELECT url, array_to_string({O.tokens('text')}, ' ') AS tokens "
                         f"FROM pp"),
+    "se_results_pages": O.results_pages_sql(),
     "hx_images": (f"WITH {O.parsed_pages_ctes()},\nim AS (SELECT url AS page_url, unnest(t) AS tag, "
                   f"generate_subscripts(t, 1) - 1 AS img_pos FROM (SELECT url, regexp_extract_all(clean, "
                   f"{O.q(IMG_RE)}) AS t FROM pp))\nSELECT page_url, CAST(img_pos AS INTEGER) AS img_pos, "
