@@ -51,10 +51,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster when the scan gives fewer input
+    splits than there are task slots (a text table stored as one large row
+    group would otherwise be tokenised by one task).  On a large input the
+    scan already has more splits than slots and nothing is added."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a corpus ``(url, text)``; the doc id is the URL key."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("url"), "text")
+    return spread(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("url"), "text"))
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +73,7 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted URL, the base for link resolution is the URL as fetched, the
     HTML is ``''`` when absent.  Driver pages carry no status, referrer or
     fetch time (all 200 / NULL); ``page_id`` orders ingestion."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     return p.select(
         urls.format_url("url").alias("url"),
         F.col("url").alias("fetch_url"),
