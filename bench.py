@@ -25,6 +25,7 @@ HEADLINE = (
     "lg_degrees",               # link graph: backlinks and degrees
     "se_ranked_documents",      # batch search: index build + top-50 + score + rank
     "se_ranked_literal",        # batch search, literal scoring
+    "se_results_pages",         # page index + search + result-page join
 )
 
 
