@@ -17,6 +17,7 @@ stateful stream operator is ``running_counts`` (ST4).
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,12 +70,20 @@ def fan_out(out: str, stem: bool = True):
     return run
 
 
-def ingest(raw_stream: DataFrame, out: str, stem: bool = True) -> None:
-    """Run the fan-out over everything available now and wait for it."""
+def ingest(raw_stream: DataFrame, out: str, stem: bool = True) -> dict:
+    """Run the fan-out over everything available now and wait for it.
+
+    Returns the run summary of AG1 that is not a table size: elapsed seconds,
+    micro-batches and pages read (from the query's progress reports)."""
+    t0 = time.time()
     q = (raw_stream.writeStream.foreachBatch(fan_out(out, stem))
          .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    progress = q.recentProgress
+    rows = sum(int(getattr(p, "numInputRows", None) if not isinstance(p, dict) else p.get("numInputRows", 0)) or 0
+               for p in progress)
+    return {"elapsed_sec": round(time.time() - t0, 3), "batches": len(progress), "pages_read": rows}
 
 
 def read_postings(spark: SparkSession, out: str) -> DataFrame:

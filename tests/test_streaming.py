@@ -31,3 +31,15 @@ def test_replay_is_idempotent(spark, tmp_path):
     assert bl == {("http://h/b", "http://h/a")}
     titles = {r.url: r.title for r in ingest.read_pages(spark, out).collect()}
     assert titles == {"http://h/a": "Cats", "http://h/b": ""}
+
+
+def test_stream_run_summary(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = [(1, "http://h/a", "<p>alpha beta</p>"), (2, "http://h/b", "<p>gamma</p>")]
+    spark.createDataFrame(rows, ingest.DRIVER_PAGES_SCHEMA).coalesce(1).write.parquet(str(src / "part"))
+    out = str(tmp_path / "out")
+    summary = ingest.ingest(ingest.raw_page_stream(spark, str(src / "part")), out, stem=False)
+    assert summary["pages_read"] == 2 and summary["batches"] >= 1
+    assert _counts(ingest.read_postings(spark, out)) == [("alpha", "http://h/a", 1), ("beta", "http://h/a", 1),
+                                                         ("gamma", "http://h/b", 1)]
