@@ -48,11 +48,44 @@ ENTITIES = (
 )
 
 
+MAX_CODE_POINT = 0x10FFFF      # fixed values: Unicode range and the surrogate block
+SURROGATES = (0xD800, 0xDFFF)
+REPLACEMENT_CHAR = "\ufffd"
+
+
+def _char(code: Column) -> Column:
+    """The character with a code point; U+FFFD for 0, surrogates and values
+    beyond Unicode (UTF-32 decoding of the 8-hex-digit code point)."""
+    ok = (code > 0) & (code <= MAX_CODE_POINT) & ~code.between(*SURROGATES)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit(REPLACEMENT_CHAR))
+
+
+def _numeric_refs(c: Column) -> Column:
+    """``&#NNN;`` and ``&#xHHH;`` decoded.  The text is split on '&#'; each
+    piece that starts with a reference is decoded, any other piece gets its
+    '&#' back."""
+    pieces = F.split(c, "&#")
+
+    def one(p: Column) -> Column:
+        dec = F.regexp_extract(p, r"^([0-9]{1,8});", 1)
+        hexa = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,8});", 1)
+        code = F.when(dec != "", dec.cast("bigint")).otherwise(F.conv(hexa, 16, 10).cast("bigint"))
+        used = F.when(dec != "", F.length(dec) + 1).otherwise(F.length(hexa) + 2)
+        rest = p.substr(used + 1, F.length(p))
+        return F.when((dec != "") | (hexa != ""), F.concat(_char(code), rest)).otherwise(F.concat(F.lit("&#"), p))
+
+    tail = F.transform(F.slice(pieces, 2, F.size(pieces) - 1), one)
+    return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+
+
 def decode_entities(c: Column | str) -> Column:
-    """HX3: named references of ``ENTITIES``, then '&amp;'."""
+    """HX3: named references of ``ENTITIES``, then numeric references, then
+    '&amp;' (so '&amp;#65;' stays '&#65;' and '&#38;lt;' becomes '&lt;', as
+    in a one-pass decoder)."""
     c = _c(c)
     for ent, ch in ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
+    c = F.when(c.contains("&#"), _numeric_refs(c)).otherwise(c)
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 

@@ -72,3 +72,10 @@ def test_host_and_scope(spark):
     got = [r.k for r in urls.in_scope(df, "u", doms, ("k",)).collect()]
     assert got == [1]
     assert html is not None
+
+
+def test_numeric_character_references(spark):
+    s = "&#65;&#x42;&#0;&#xZZ; &amp;#67; &#38;lt; x&#233;y &#128512; &copy;&#"
+    df = spark.createDataFrame([(s,)], "t string")
+    got = df.select(html.decode_entities("t").alias("d")).first().d
+    assert got == "AB�&#xZZ; &#67; &lt; xéy \U0001F600 ©&#"
