@@ -11,6 +11,10 @@ A table of queries is answered in one plan:
       -> rank per query, score desc, url asc                  SE6
       -> join non-stub pages, presentation columns            SE7, SE8
 
+The analysed queries and the top-k postings are bounded (queries x words,
+tokens x k) and are checkpointed, so the size checks and the plan's branches
+read them instead of re-running the tokeniser or the top-k job.
+
 The top-k is ranked per *token*, not per (query, token): a token shared by
 many queries is ranked once.  The query tokens are broadcast (after a size
 check) into the postings scan, so the postings are not shuffled for the
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import checkpoint_dir
 from . import postings as P
 from .sizing import broadcast_if_small
 
@@ -51,9 +56,12 @@ def top_postings(postings: DataFrame, tokens: DataFrame, k: int = PER_WORD_LIMIT
     """SE2: for each wanted token its postings ranked by count desc, url asc,
     keeping ranks ``skip+1 .. skip+k``."""
     wanted = broadcast_if_small(tokens.select("token").distinct())
-    p = postings.join(wanted, "token", "left_semi")
+    return _top_k(postings.join(wanted, "token", "left_semi"), k, skip)
+
+
+def _top_k(postings: DataFrame, k: int, skip: int) -> DataFrame:
     w = Window.partitionBy("token").orderBy(F.desc("count"), F.asc("url"))
-    return (p.withColumn("word_rank", F.row_number().over(w))
+    return (postings.withColumn("word_rank", F.row_number().over(w))
             .filter((F.col("word_rank") > skip) & (F.col("word_rank") <= skip + k)))
 
 
@@ -68,12 +76,17 @@ def score(queries_analyzed: DataFrame, postings: DataFrame, k: int = PER_WORD_LI
     whose top-k misses it.  ``require_all``: drop candidates missing a word."""
     if scoring not in ("sum", "literal"):
         raise ValueError(f"unknown scoring {scoring!r}")
-    q = queries_analyzed.select("query_id", "token", "qpos")
+    # The analysed queries (queries x words rows) and the top-k postings
+    # (tokens x k rows) are small, bounded and used several times: both are
+    # written once, so neither the query tokeniser nor the postings top-k job
+    # runs again for the size checks or for each branch of the plan below.
+    checkpoint_dir(queries_analyzed.sparkSession)
+    q = queries_analyzed.select("query_id", "token", "qpos").checkpoint()
     # the query tokens are few (queries x words); broadcast after a size check
     # so the postings are filtered in place, not shuffled by a hot token
     wanted = broadcast_if_small(q.select("token").distinct())
     relevant = postings.join(wanted, "token", "left_semi").select("token", "url", "count")
-    top = top_postings(relevant, wanted, k, skip).select("token", "url")
+    top = _top_k(relevant, k, skip).select("token", "url").checkpoint()
     cand = q.join(top, "token").select("query_id", "url").distinct()
     # SE4 only needs the postings of candidate URLs: at most queries x words x k
     cand_urls = broadcast_if_small(cand.select("url").distinct())
