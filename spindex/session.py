@@ -27,6 +27,9 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # written intermediates (vocabulary, index, top-k) are deleted once
+        # the DataFrame that reads them is garbage collected on the driver
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("SPINDEX_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
