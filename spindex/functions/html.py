@@ -106,9 +106,19 @@ def cleaned(html: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(spaced(html), SCRIPT_STYLE_RE, ""), COMMENT_RE, "")
 
 
-def page_text(clean: Column | str) -> Column:
-    """HX2: document text (title included) from ``cleaned`` markup."""
-    return decode_entities(F.regexp_replace(_c(clean), TAG_RE, ""))
+BREAK_ON = ("close_tag", "any_tag")
+
+
+def page_text(clean: Column | str, break_on: str = "close_tag") -> Column:
+    """HX2: document text (title included) from ``cleaned`` markup.
+
+    Q12: by default only closing tags separate words (``spaced`` put a space
+    before each '</'), so ``a<b>c</b>`` reads ``ac``; ``break_on='any_tag'``
+    turns every tag into a space."""
+    if break_on not in BREAK_ON:
+        raise ValueError(f"break_on must be one of {BREAK_ON}, not {break_on!r}")
+    gap = "" if break_on == "close_tag" else " "
+    return decode_entities(F.regexp_replace(_c(clean), TAG_RE, gap))
 
 
 def title(clean: Column | str) -> Column:

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import html, urls
 
 
-def parse(raw: DataFrame) -> DataFrame:
+def parse(raw: DataFrame, break_on: str = "close_tag") -> DataFrame:
     """HX1-HX8 over ``raw`` (url, fetch_url, html, fetched_at, ingest_seq).
 
     Output: url, title, description, urls (array), text, images
     (array<struct<src, alt>>), time, ingest_seq.  Rejected rows (HX11) are
-    excluded; see ``rejects``."""
+    excluded; see ``rejects``.  ``break_on`` is the Q12 option of
+    ``html.page_text``."""
     ok = raw.filter(F.length(F.btrim(F.col("html"))) > 0)
     # Each stage is its own projection and reads the previous stage's
     # columns by reference, so no large expression is repeated in the tree.
@@ -37,7 +38,7 @@ def parse(raw: DataFrame) -> DataFrame:
         html.title("_clean").alias("title"),
         html.description("_meta").alias("description"),
         html.links("_clean", "_base").alias("urls"),
-        html.page_text("_clean").alias("text"),
+        html.page_text("_clean", break_on).alias("text"),
         html.images("_clean").alias("images"),
         F.col("fetched_at").alias("time"),
         "ingest_seq",

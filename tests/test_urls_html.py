@@ -79,3 +79,12 @@ def test_numeric_character_references(spark):
     df = spark.createDataFrame([(s,)], "t string")
     got = df.select(html.decode_entities("t").alias("d")).first().d
     assert got == "AB�&#xZZ; &#67; &lt; xéy \U0001F600 ©&#"
+
+
+def test_break_on_any_tag(spark):
+    body = "<html><body><p>ab<b>cd</b>ef<br>gh</p></body></html>"
+    raw = spark.createDataFrame([("http://a/", body, 200, None, None, 1)], tables.RAW_PAGES_SCHEMA)
+    default = pages.parse(tables.responses(raw)).first().text.split()
+    any_tag = pages.parse(tables.responses(raw), break_on="any_tag").first().text.split()
+    assert default == ["abcd", "efgh"]
+    assert any_tag == ["ab", "cd", "ef", "gh"]
