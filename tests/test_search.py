@@ -54,3 +54,17 @@ def test_results_presentation(spark, index):
         ("p1", "No title available", 1, 2), ("p2", "T", 2, 2)]
     assert res[0].description == "d" * 200 + "..."
     assert res[1].description == "No description available"
+
+
+def test_no_broadcast_fallback(spark, index, monkeypatch):
+    """Above the size bound the query tokens and candidate URLs are joined by
+    the planner's shuffle join; the results must not change."""
+    from spindex.operators import sizing
+    cases = [(q, s) for q in ("cat dog", "dog cat") for s in ("sum", "literal")]
+    expected = {c: _run(spark, index, c[0], scoring=c[1]) for c in cases}
+    refused = []
+    monkeypatch.setattr(search, "broadcast_if_small",
+                        lambda df, max_rows=0: refused.append(1) or sizing.broadcast_if_small(df, 0))
+    for q, s in cases:
+        assert _run(spark, index, q, scoring=s) == expected[(q, s)]
+    assert refused
