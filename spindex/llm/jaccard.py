@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import partitions, small_batches, stored
 from .shingles import U, blocks, mix, sets
 
-SKETCH = 1024       # bits
+SKETCH = 1024       # bits of the smallest sketch
 REGION = 4096       # members that one task joins
 LEAF = 48           # members that are joined pair by pair
 
@@ -104,9 +104,19 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """Parity bits: two sketches differ in at most as many bits as the sets in members."""
-    bits = np.bincount((mix(s) >> U(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parity bits, at least two for every member: two sketches differ in at
+    most as many bits as the sets in members."""
+    bits = max(SKETCH, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s) >> U(36)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def fold(sketch: bytes, length: int) -> np.ndarray:
+    """The sketch of the same set with ``length`` words (a power of two)."""
+    words = np.frombuffer(sketch, U)
+    while len(words) > length:
+        words = words[:len(words) // 2] ^ words[len(words) // 2:]
+    return words
 
 
 _SCAN = [("kind", "int"), ("k", None), ("node", "long"), ("n", "long"), ("ref", "long"), ("sketch", "binary"),
@@ -248,6 +258,21 @@ def _inter(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def _feasible(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that sizes ``na, nb`` and sketches ``sa, sb`` don't rule out."""
+    def each(batches):
+        for batch in batches:
+            keep = []
+            for x, y, total in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), batch.column("total").to_pylist()):
+                length = min(len(x), len(y)) // 8
+                apart = int(np.bitwise_count(fold(x, length) ^ fold(y, length)).sum(dtype=np.int64))
+                keep.append(apart * (den + num) <= total * (den - num))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sizes = pairs.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+    return sizes.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("total")).mapInArrow(each, "a long, b long")
+
+
 def _measure(pairs: DataFrame, node_sets: DataFrame, num: int, den: int) -> DataFrame:
     """The linked ones of the pairs ``a, b``."""
     def each(batches):
@@ -260,11 +285,7 @@ def _measure(pairs: DataFrame, node_sets: DataFrame, num: int, den: int) -> Data
 
     left = node_sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     right = node_sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    # sizes alone rule out some
-    fits = ((F.octet_length("sa") * den >= F.octet_length("sb") * num)
-            & (F.octet_length("sb") * den >= F.octet_length("sa") * num))
-    return (pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", "sa", "sb")
-            .mapInArrow(each, "a long, b long"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(each, "a long, b long")
 
 
 class Region:
@@ -334,7 +355,9 @@ def _by_region(table: pa.Table):
 
 
 def _region_of(rows: pa.Table, members: list[np.ndarray], num: int, den: int) -> Region:
-    sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), U).reshape(-1, SKETCH // 64)
+    sketches = rows.column("sketch").to_pylist()
+    length = min(map(len, sketches)) // 8
+    sketches = np.stack([fold(x, length) for x in sketches])
     side = rows.column("side").to_numpy()
     return Region(members, sketches, rows.column("label").to_numpy(), num, den, side if side[0] >= 0 else None)
 
@@ -364,7 +387,8 @@ def _recurse(num: int, den: int):
     return each
 
 
-def _unresolved(stars: DataFrame, pairs: DataFrame, refs: DataFrame, labels: DataFrame, region_rows: int) -> DataFrame:
+def _unresolved(stars: DataFrame, pairs: DataFrame, refs: DataFrame, nodes: DataFrame, labels: DataFrame,
+                region_rows: int) -> DataFrame:
     """Members of the regions that hold several components: ``sub, side, node, n, label, sketch``."""
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(
         F.col("node").alias("b"), F.col("label").alias("lb"))
@@ -385,7 +409,6 @@ def _unresolved(stars: DataFrame, pairs: DataFrame, refs: DataFrame, labels: Dat
     rows = rows.select("node", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("sub"),
                        F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
     # members of a block meet those of another block in the pair's region, and their own in the block's
-    nodes = refs.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     return rows.join(nodes, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -406,17 +429,24 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
     of = lambda ref, node: refs.select(F.col("ref").alias(ref), F.col("node").alias(node))
     pairs = stored(stars.select("member", "pivot").distinct().join(of("member", "a"), "member").join(
         of("pivot", "b"), "pivot").where("a <> b"), "pairs")
+    nodes = stored(refs.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    with_sketch = lambda x: nodes.select(
+        F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = rows.groupBy("node").agg(F.min("k").alias("k"))
+    both = stored(_feasible(both.join(with_sketch("a"), "a").join(with_sketch("b"), "b"), num, den), "feasible")
+    first = stored(rows.groupBy("node").agg(F.min("k").alias("k")), "first_keys")
     wanted = both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).distinct().join(first, "node")
     node_sets = stored(_node_sets(docs, wanted, key, text, n), "sets")
     links = stored(_measure(both, node_sets, num, den), "links")
     labels = components(links)
     group = F.pmod(F.col("sub"), F.lit(parts)).alias("part")
-    opened = _unresolved(stars, pairs, refs, labels, region_rows)
+    opened = _unresolved(stars, pairs, refs, nodes, labels, region_rows)
     pruned = stored(opened.select("*", group).groupBy("part").applyInArrow(
         _prune(num, den), "sub long, node long, n long, label long, side int, sketch binary"), "pruned")
     if not pruned.isEmpty():
+        # a member that no pivot came near has no set yet
+        others = pruned.select("node").distinct().join(wanted, "node", "left_anti").join(first, "node")
+        node_sets = node_sets.unionByName(_node_sets(docs, others, key, text, n))
         more = stored(pruned.join(node_sets, "node").select("*", group).groupBy("part").applyInArrow(
             _recurse(num, den), "a long, b long"), "more_links")
         links = links.unionByName(more)
