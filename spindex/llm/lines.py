@@ -16,7 +16,7 @@ chunks, and none because of each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -26,32 +26,34 @@ MIN_LINES = 2
 
 
 def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """``k, h`` (hash of the text), ``lines`` and ``chunks``: an array of
-    ``(no, at, n)``, the chunk's number, first line (from 0) and line count."""
+    """``k, h`` (hash of the text), ``n_lines`` and ``chunks``, an array of strings
+    in order.  Each line of a chunk is led by the letter L: with a line C put
+    after every boundary, splitting at those lines is unambiguous, and no step
+    looks into an array by position."""
     split = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"),
                         F.split(F.col(text), "\n", -1).alias("lines"))
-    hashed = split.withColumn("lh", F.transform(
-        "lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long")))
-    ends = hashed.withColumn("ends", F.filter(F.transform("lh", lambda x, i: F.when(
-        (F.pmod(x + F.lit(31) * F.coalesce(F.get("lh", i - 1), F.lit(0)), F.lit(divisor)) == 0)
-        | (i == F.size("lh") - 1), i).otherwise(F.lit(-1))), lambda e: e >= 0)).drop("lh")
-    start = lambda j: F.coalesce(F.get("ends", j - 1) + 1, F.lit(0))
-    return ends.withColumn("chunks", F.transform("ends", lambda e, j: F.struct(
-        j.alias("no"), start(j).alias("at"), (e - start(j) + 1).alias("n")))).drop("ends")
+    hashes = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
+    closes = F.zip_with("lh", F.concat(F.array(F.lit(0).cast("long")), "lh"), lambda a, b: (a + b * 31) % divisor == 0)
+    marked = F.array_join(F.zip_with("lines", closes, lambda x, c: F.concat(
+        F.lit("L"), x, F.when(c, "\nC").otherwise(""))), "\n")
+    text = split.withColumn("lh", hashes).select("k", "h", F.size("lines").cast("long").alias("n_lines"), marked.alias("m"))
+    # a boundary after the last line adds nothing
+    return text.select("k", "h", "n_lines", F.split(F.regexp_replace("m", r"\nC\z", ""), "\nC\n", -1).alias("chunks"))
 
 
-def _body(lines, chunk):
-    return F.array_join(F.slice(lines, chunk["at"] + 1, chunk["n"]), "\n")
+def _count(body: Column) -> Column:
+    """Lines of a chunk."""
+    return (F.length(body) - F.length(F.replace(body, F.lit("\n"))) + 1).cast("long")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR,
                 min_lines: int = MIN_LINES) -> DataFrame:
     """``key, n_lines, removed_lines, text`` (what is left of it), one row per row of ``docs``."""
     parts = chunked(docs, key, text, divisor)
+    body = F.col("body")
     occurrences = stored(
-        parts.select("k", "h", "lines", F.explode("chunks").alias("c")).where(F.col("c.n") >= min_lines)
-        .select("k", "h", F.col("c.no").alias("no"), _body(F.col("lines"), F.col("c")).alias("body"))
-        .where(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+        parts.select("k", "h", F.posexplode("chunks").alias("no", "body")).where(_count(body) >= min_lines)
+        .where(body.rlike(r"(?dm)^L[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"))
         .select("k", "h", "no", F.xxhash64("body").alias("digest"), F.octet_length("body").alias("bytes")), "chunks")
     # a digest seen under two (document, number) pairs at least
     repeated = occurrences.groupBy("digest", "bytes").agg(
@@ -62,9 +64,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", diviso
     on = lambda a, b: F.col(f"{a}.k").eqNullSafe(F.col(f"{b}.k")) & F.col(f"{a}.h").eqNullSafe(F.col(f"{b}.h"))
     # byte comparison of the suspects: grouping by the bytes themselves, combined before they move
     bodies = (parts.alias("d").join(suspects.alias("s"), on("d", "s"))
-              .select("d.k", "d.h", "lines", F.explode(F.filter("chunks", lambda c: F.array_contains("nos", c["no"]))).alias("c"))
-              .select("k", "h", F.col("c.no").alias("no"), _body(F.col("lines"), F.col("c")).alias("body"))
-              .withColumn("digest", F.xxhash64("body")))
+              .select("d.k", "d.h", F.explode(F.transform("nos", lambda i: F.struct(
+                  i.alias("no"), F.get("chunks", i).alias("body")))).alias("c"))
+              .select("k", "h", "c.no", "c.body", F.xxhash64("c.body").alias("digest")))
     bodies = stored(bodies, "suspects")
     classes = bodies.groupBy("digest", "body").agg(F.min(F.struct("k", "h", "no")).alias("first"),
                                                    F.max(F.struct("k", "h", "no")).alias("last"))
@@ -73,11 +75,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", diviso
     gone = (bodies.alias("o").join(classes.alias("c"), F.expr("o.digest = c.digest AND o.body = c.body"))
             .where(~F.struct("o.k", "o.h", "o.no").eqNullSafe(F.struct("c.first.k", "c.first.h", "c.first.no")))
             .groupBy("o.k", "o.h").agg(F.collect_set("o.no").alias("nos")))
-    left = parts.alias("d").join(gone.alias("g"), on("d", "g"), "left")
-    stay = F.filter("chunks", lambda c: ~F.coalesce(F.array_contains("nos", c["no"]), F.lit(False)))
-    left = left.select("d.k", "lines", "chunks", stay.alias("stay"))
-    out = left.select(
-        F.col("k").alias(key), F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("lines") - F.aggregate("stay", F.lit(0), lambda a, c: a + c["n"]), F.lit(0)).cast("long").alias("removed_lines"),
-        F.array_join(F.transform("stay", lambda c: _body(F.col("lines"), c)), "\n").alias("text"))
-    return out
+    every = F.sequence(F.lit(0), F.size("chunks") - 1)
+    stay = F.when(F.col("nos").isNull(), F.col("chunks")).otherwise(
+        F.transform(F.array_except(every, "nos"), lambda i: F.get("chunks", i)))
+    left = parts.alias("d").join(gone.alias("g"), on("d", "g"), "left").select(
+        "d.k", "d.n_lines", stay.alias("stay")).select("k", "n_lines", F.size("stay").alias("n_stay"), F.array_join("stay", "\n").alias("left"))
+    n_left = F.when(F.col("n_stay") > 0, _count(F.col("left"))).otherwise(F.lit(0))
+    return left.select(
+        F.col("k").alias(key), F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
+        F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n_lines") - n_left).cast("long").alias("removed_lines"),
+        F.regexp_replace("left", "(?dm)^L", "").alias("text"))
