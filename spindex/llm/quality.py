@@ -2,13 +2,14 @@
 
 A text's bytes are cut into overlapping chunks that cover all of it.  Every
 byte becomes a learned vector; learned filters slide over a chunk and their
-rectified outputs are max-pooled per filter; a linear layer gives the chunk a
-logit, and the byte-weighted mean of the chunk logits is the document's, whose
-sigmoid is the score.
+rectified outputs are max-pooled per filter; with the chunk's length they go
+through a small hidden layer to the chunk's logit, and the byte-weighted mean
+of the chunk logits is the document's, whose sigmoid is the score.
 
 Training (backpropagation and Adam, balanced classes) takes a documented,
 bounded sample: about ``MAX_TRAIN`` labelled documents, half of either label,
-and of each at most ``MAX_CHUNKS`` chunks at even steps over its whole length.
+of each at most ``MAX_CHUNKS`` chunks at even steps over its whole length, and
+a random short piece of each, so that short texts are known too.
 Scoring reads every byte.
 
 Null text counts as empty: a chunk of padding.  With labels of one kind only,
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import held_out, small_batches
 
 CHUNK, STEP = 512, 448
-WIDTH, STRIDE, DIM, FILTERS = 8, 4, 8, 32
+WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 8, 4, 8, 32, 16
 MAX_TRAIN, MAX_CHUNKS, EPOCHS = 1600, 32, 14
 THRESHOLD = 0.7
 PAD = 256
@@ -49,11 +50,20 @@ class Net:
         self.emb = np.vstack([rng.normal(0, 0.5, (256, DIM)), np.zeros((1, DIM))]).astype(np.float32)
         self.w = rng.normal(0, (WIDTH * DIM) ** -0.5, (WIDTH * DIM, FILTERS)).astype(np.float32)
         self.b = np.zeros(FILTERS, np.float32)
-        self.v = rng.normal(0, FILTERS ** -0.5, FILTERS).astype(np.float32)
+        self.u = rng.normal(0, FILTERS ** -0.5, (FILTERS + 1, HIDDEN)).astype(np.float32)
+        self.a = np.zeros(HIDDEN, np.float32)
+        self.v = rng.normal(0, HIDDEN ** -0.5, HIDDEN).astype(np.float32)
         self.c = np.zeros(1, np.float32)
 
     def params(self) -> list[np.ndarray]:
-        return [self.emb, self.w, self.b, self.v, self.c]
+        return [self.emb, self.w, self.b, self.u, self.a, self.v, self.c]
+
+    def _top(self, best: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pooled features with the chunk's length, hidden units and logits."""
+        length = np.log2((x != PAD).sum(1, keepdims=True) + 1.0).astype(np.float32) / 9
+        f = np.hstack([np.maximum(best + self.b, 0), length])
+        g = np.maximum(f @ self.u + self.a, 0)
+        return f, g, g @ self.v + self.c
 
     def _windows(self, x: np.ndarray) -> np.ndarray:
         """(chunks, places, WIDTH * DIM) view of the embedded chunks."""
@@ -69,8 +79,7 @@ class Net:
         return z.max(1), z
 
     def logits(self, x: np.ndarray, block: int = 128) -> np.ndarray:
-        out = [np.maximum(self.pooled(x[i:i + block])[0] + self.b, 0) @ self.v + self.c for i in range(0, len(x), block)]
-        return np.concatenate(out)
+        return np.concatenate([self._top(self.pooled(x[i:i + block])[0], x[i:i + block])[2] for i in range(0, len(x), block)])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         parts = [chunks(t) for t in texts]
@@ -84,11 +93,12 @@ class Net:
         """Of the mean cross-entropy over the documents ``y``."""
         best, z = self.pooled(x)
         at = z.argmax(1)                                             # chunks x filters
-        h = np.maximum(best + self.b, 0)
+        f, g, logit = self._top(best, x)
         share = weight / np.bincount(owner, weight, len(y))[owner]
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, (h @ self.v + self.c) * share, len(y)), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, logit * share, len(y)), -30, 30)))
         d = ((p - y) / len(y))[owner] * share                        # by chunk logit
-        dh = (d[:, None] * self.v) * (h > 0)                         # chunks x filters
+        dg = (d[:, None] * self.v) * (g > 0)
+        dh = (dg @ self.u[:FILTERS].T) * (f[:, :FILTERS] > 0)        # chunks x filters
         starts = at * STRIDE
         symbols = x[np.arange(len(x))[:, None, None], starts[:, :, None] + np.arange(WIDTH)]  # chunks x filters x width
         e = self.emb[symbols]
@@ -97,7 +107,7 @@ class Net:
         demb = np.zeros_like(self.emb)
         np.add.at(demb, symbols.ravel(), de.reshape(-1, DIM))
         demb[PAD] = 0
-        return [demb, dw, dh.sum(0), (d[:, None] * h).sum(0), np.array([d.sum()])]
+        return [demb, dw, dh.sum(0), f.T @ dg, dg.sum(0), (d[:, None] * g).sum(0), np.array([d.sum()])]
 
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, batch: int = 32,
             rate: float = 0.01, seed: int = 5) -> "Net":
@@ -108,18 +118,30 @@ class Net:
             order = rng.permutation(len(docs))
             for s in range(0, len(order), batch):
                 pick = order[s:s + batch]
-                x = np.concatenate([docs[i][0] for i in pick])
-                owner = np.repeat(np.arange(len(pick)), [len(docs[i][1]) for i in pick])
-                weight = np.concatenate([docs[i][1] for i in pick])
+                some = [docs[i] for i in pick] + [piece(docs[i][0], rng) for i in pick]
+                x = np.concatenate([d[0] for d in some])
+                owner = np.repeat(np.arange(len(some)), [len(d[1]) for d in some])
+                weight = np.concatenate([d[1] for d in some])
                 step += 1
                 lr = rate * (1 - epoch / epochs)
-                for p, (m, v), g in zip(self.params(), moment, self.gradients(x, owner, weight, y[pick])):
+                for p, (m, v), g in zip(self.params(), moment, self.gradients(x, owner, weight, np.tile(y[pick], 2))):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     p -= (lr * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
         return self
 
 
+def piece(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A random short piece of one of a document's chunks, as a document."""
+    row = x[rng.integers(len(x))]
+    row = row[row != PAD]
+    n = min(len(row), int(2 ** rng.uniform(3, 8.5)))
+    at = int(rng.integers(0, len(row) - n + 1))
+    out = np.full((1, CHUNK), PAD, np.int16)
+    out[0, :n] = row[at:at + n]
+    return out, np.array([float(max(1, n))])
+
+
 def _grouped(parts: list[np.ndarray], rows: int = 256):
     """Chunks of several texts together, a bounded number at a time."""
     held: list[np.ndarray] = []
