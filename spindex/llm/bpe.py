@@ -36,6 +36,14 @@ DEAL_OUT = 1 << 16
 #: Pieces a worker remembers.
 REMEMBER = 300_000
 
+#: Pieces of printable ASCII and Latin letters (U+00C0 to U+017F but the signs
+#: and U+0130): normal forms already, lower-cased letter by letter, and cut
+#: into words by the tokenizer's pattern as it reads for these characters.
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+")
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+
 _ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -62,8 +70,17 @@ class TreeBPE:
                                  ) if self.added else None
         n = self.full.get_vocab_size(with_added_tokens=True)
         self.names = [self.full.id_to_token(i) or "" for i in range(n)]
-        self.ids: dict[bytes, bytes] = {}
-        self.shown: dict[bytes, str] = {}
+        self.known: dict[bytes, tuple[bytes, str]] = {}      # piece: packed ids, decoded text
+        self.known_words: dict[str, tuple[bytes, str]] = {}
+        self.blank = False                                   # some piece has no token
+        # the short way holds for files with these rules; others always go through the library
+        rules = (spec.get("normalizer") or {}).get("normalizers", []), (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.plain = ([r["type"] for r in rules[0]] == _NORMAL and [r["type"] for r in rules[1]] == ["Split", "ByteLevel"]
+                      and rules[1][0]["pattern"].get("Regex") == _PATTERN and rules[1][0]["invert"])
+        from tokenizers.pre_tokenizers import ByteLevel
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)} if self.plain else {}
+        self.model = self.last.model
 
     # ---- one unsplit word, as the symbols the model merges
 
@@ -111,28 +128,45 @@ class TreeBPE:
 
     # ---- whole texts
 
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return np.asarray(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids])
+
+    def _word(self, word: str) -> tuple[bytes, str]:
+        tokens = self.model.tokenize(word if word.isascii() else word.translate(self.bytes_of))
+        found = np.asarray([t.id for t in tokens], "<u4").tobytes(), " ".join([t.value for t in tokens])
+        if len(self.known_words) >= REMEMBER:
+            self.known_words.clear()
+        self.known_words[word] = found
+        return found
+
     def learn(self, pieces: list[bytes]) -> None:
-        if len(self.ids) + len(pieces) > REMEMBER:
-            self.ids, self.shown = {}, {}
-        short = [p for p in pieces if len(p) <= self.leaf]
+        words, rest = self.known_words, []
+        for p in pieces:
+            text = p.decode()
+            if self.plain and len(p) <= self.leaf and _PLAIN.fullmatch(text) and "<|" not in text:
+                got = [words.get(w) or self._word(w) for w in _WORDS.findall(text.lower())]
+                self.known[p] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+            else:
+                rest.append(p)
+        short = [p for p in rest if len(p) <= self.leaf]
         found = [e.ids for e in self.full.encode_batch([p.decode() for p in short], add_special_tokens=False)]
-        long = [p for p in pieces if len(p) > self.leaf]
+        long = [p for p in rest if len(p) > self.leaf]
         for piece, ids in zip(short + long, found + [self.run(p.decode()) for p in long]):
-            self.ids[piece] = np.asarray(ids, "<u4").tobytes()
-            self.shown[piece] = " ".join([self.names[i] for i in ids])
+            self.known[piece] = self._packed(ids)
+            self.blank = self.blank or not ids
 
     def encode(self, text: bytes) -> tuple[bytes, str]:
         """Packed little-endian ids and the decoded text."""
         pieces = text.split()  # bytes: at ASCII white space only
-        new = set(pieces).difference(self.ids)
+        if len(self.known) > REMEMBER:
+            self.known = {}
+        new = set(pieces).difference(self.known)
         if new:
             self.learn(list(new))
-            if len(new) < len(set(pieces)) and not self.ids.keys() >= set(pieces):
-                self.learn(list(set(pieces).difference(self.ids)))  # what the clearing forgot
-        shown = list(map(self.shown.__getitem__, pieces))
-        if "" in shown:  # a piece may have no token at all
-            shown = [x for x in shown if x]
-        return b"".join(map(self.ids.__getitem__, pieces)), " ".join(shown)
+        got = list(map(self.known.__getitem__, pieces))
+        if self.blank:
+            got = [g for g in got if g[0]]
+        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
 
     def decode(self, ids: bytes) -> str:
         names = self.names

@@ -49,11 +49,24 @@ _TREE = {}
 @given(st.text(st.sampled_from("abeinortsthé-!.'1中"), min_size=1, max_size=400), st.integers(1, 20))
 def test_tree_of_long_runs_equals_the_library(text, leaf):
     from tokenizers import Tokenizer
-    lib = _TREE.setdefault("lib", Tokenizer.from_file(WORD_BPE))
-    tree = _TREE.setdefault(leaf, bpe.TreeBPE(WORD_BPE, leaf=leaf))
+    lib = _TREE.get("lib") or _TREE.setdefault("lib", Tokenizer.from_file(WORD_BPE))
+    tree = _TREE.get("tree") or _TREE.setdefault("tree", bpe.TreeBPE(WORD_BPE))
+    tree.leaf = leaf
     assert tree.run(text) == lib.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abteinors AEÉéÀßŒœſŸıİŉ×÷'’.,!?<|>/-#*10²\n\t\u0301\u00a0"), max_size=120))
+def test_short_pieces_equal_the_library(text):
+    from tokenizers import Tokenizer
+    lib = _TREE.get("lib") or _TREE.setdefault("lib", Tokenizer.from_file(WORD_BPE))
+    tree = _TREE.get("tree") or _TREE.setdefault("tree", bpe.TreeBPE(WORD_BPE))
+    tree.leaf = bpe.LEAF
+    ids = lib.encode(text, add_special_tokens=False).ids
+    packed, shown = tree.encode(text.encode())
+    assert np.frombuffer(packed, "<u4").tolist() == ids and shown == lib.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_rows(spark, docs_of, tokenizer):
     rng = random.Random(4)
     long = "".join(rng.choice("abcdefgh") for _ in range(9000))
