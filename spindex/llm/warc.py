@@ -142,20 +142,27 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
 
 def _whole(batches):
-    """Records in file order; what a payload's own record start cut apart is joined by Content-Length."""
-    lost = (BETWEEN.encode() + VERSION)
+    """Records in file order.  Content-Length decides where a record ends: one
+    that a payload's own record start cut apart is joined again, and records
+    that the line reader left in one piece (it may miss a separator at the end
+    of its buffer) are cut."""
+    lost = BETWEEN.encode() + VERSION
     held: bytes | None = None
     for batch in batches:
         for piece in batch.column("value").to_pylist():
-            piece = piece if held is None else held + lost + piece
-            piece = piece.removeprefix(VERSION) if held is None else piece
-            head, _, block = piece.partition(b"\r\n\r\n")
-            fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in head.decode().split("\r\n"))}
-            if len(block) < int(fields["content-length"]):
-                held = piece
-                continue
+            data = piece.removeprefix(VERSION) if held is None else held + lost + piece
             held = None
-            yield fields, block[:int(fields["content-length"])]
+            while True:
+                head, _, block = data.partition(b"\r\n\r\n")
+                fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in head.decode().split("\r\n"))}
+                length = int(fields["content-length"])
+                if len(block) < length:
+                    held = data
+                    break
+                yield fields, block[:length]
+                if not block.startswith(lost, length):
+                    break
+                data = block[length + len(lost):]
 
 
 _PARSED = ("id string, type string, page long, refers string, digest string, size long, origin string, "

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,24 @@ def test_broken_archive(spark):
     assert got == {1: False, 2: True, 3: False}
 
 
+def test_records_in_any_pieces():
+    """Whatever separators the line reader sees or misses, the records are the same."""
+    rng = random.Random(2)
+    body = b"\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\nx"
+    want = [body * rng.randrange(3) + b"y" * rng.randrange(50) for _ in range(30)]
+    data = b"".join(warc._record([("WARC-Type", "response")], w) + b"\r\n\r\n" for w in want)
+    parts = data.split(b"\r\n\r\n" + warc.VERSION)
+    for keep in (0.0, 0.3, 0.8, 1.0):
+        pieces = [parts[0]]
+        for p in parts[1:]:
+            if rng.random() < keep:
+                pieces[-1] += b"\r\n\r\n" + warc.VERSION + p
+            else:
+                pieces.append(p)
+        batches = [pa.RecordBatch.from_arrays([pa.array([p], pa.binary())], names=["value"]) for p in pieces]
+        assert [block for _, block in warc._whole(batches)] == want
+
+
 def test_warc_empty_and_small_payloads(spark):
     assert warc.round_trip(pages(spark, [(1, None, "a")]).limit(0)).count() == 0
     got = warc.round_trip(pages(spark, [(1, None, "a"), (2, None, "a")]), min_bytes=2).collect()
