@@ -119,12 +119,12 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     best = base.groupBy("sha1").agg(F.max(F.struct("page")).alias("keep"), F.sum("copies").alias("n"))
     roles = base.where(F.col("size") >= min_bytes).join(best.where("n > 1"), "sha1").select(
         "page", "sha1", "copies", F.col("keep.page").alias("keep"))
-    joined = rows.alias("r").join(roles.alias("g"), F.expr("r.page <=> g.page AND r.sha1 = g.sha1"), "left").select(
-        "r.*", F.coalesce("g.copies", F.lit(1)).alias("copies"), "g.keep", F.col("g.copies").isNotNull().alias("grouped"))
+    # one shuffle of the payloads: by the columns that the numbering needs, too
+    split = lambda df: df.withColumn("p", F.coalesce("page", F.lit(0).cast("long"))).withColumn("none", F.col("page").isNull())
+    joined = split(rows).join(split(roles).drop("page"), ["p", "none", "sha1"], "left").withColumn(
+        "grouped", F.col("copies").isNotNull())
     # rows that repeat page id and payload are numbered; there is nothing else to tell them apart
-    once = joined.where("copies = 1").withColumn("copy", F.lit(1))
-    again = joined.where("copies > 1").withColumn("copy", F.row_number().over(
-        Window.partitionBy("page", "sha1").orderBy("url")))
+    numbered = joined.withColumn("copy", F.row_number().over(Window.partitionBy("p", "none", "sha1").orderBy("url")))
 
     def build(batches):
         for batch in batches:
@@ -136,7 +136,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
                                segment, chunk_size)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    (once.unionByName(again).drop("copies").mapInArrow(build, "record binary")
+    (numbered.select("page", "url", "payload", "sha1", "keep", "grouped", "copy").mapInArrow(build, "record binary")
      .select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", BETWEEN).option("compression", "gzip").text(path))
 
@@ -220,7 +220,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark, 512)
     raw = spark.read.option("lineSep", BETWEEN + VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
     # read once: whole records go on as they are, segments are grouped
-    parsed = stored(raw.mapInArrow(_parse, _PARSED), "records")
+    parsed = stored(raw.mapInArrow(_parse, _PARSED), "records", "zstd")
     plain = parsed.where("number IS NULL").select("type", "page", "refers", "digest", "size",
                                                   F.array("block").alias("blocks"), F.lit(True).alias("complete"))
     parts = parsed.where("number IS NOT NULL").withColumn("origin", F.coalesce("origin", "id"))
