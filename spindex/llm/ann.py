@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored
+from .common import freeing, partitions, small_batches, stored
 
 TABLES, PROJECTIONS, WIDTH, PROBES = 8, 6, 2.0, 24
 SLICE = 20_000
@@ -129,7 +129,7 @@ def _hash(rows: DataFrame, width: Column, seed: int, tables: int, m: int, probes
                              pa.array(keys[s:s + 4096]), pa.array(ids[at[w]]), _lists(x[w])],
                             names=["t", "dim", "cell", "id", "v"])
 
-    return rows.withColumn("width", width).mapInArrow(each, "t int, dim int, cell long, id long, v array<double>")
+    return rows.withColumn("width", width).mapInArrow(freeing(each), "t int, dim int, cell long, id long, v array<double>")
 
 
 def _nearest(k: int):

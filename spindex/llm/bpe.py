@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import freeing, freeing_group, small_batches
 
 #: Symbols of an unsplit word that are encoded at once.
 LEAF = 64
 #: Unsplit run, in characters, from which a document's leaves are dealt out.
 DEAL_OUT = 1 << 16
 #: Pieces a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 #: Pieces of printable ASCII and Latin letters (U+00C0 to U+017F but the signs
 #: and U+0130): normal forms already, lower-cased letter by letter, and cut
@@ -53,18 +53,16 @@ class TreeBPE:
     def __init__(self, path: str, leaf: int = LEAF):
         import json
 
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
-        self.leaf = leaf
+        self.leaf, self.path = leaf, path
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
         self.full.no_padding()
+        self.model = self.full.model
+        self._inner = None
         spec = json.load(open(path, encoding="utf-8"))
-        vocab, merges = spec["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" "))
-                                                 for m in spec["model"]["merges"]]
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
-        self.inner = Tokenizer(models.BPE(vocab, merges))                       # not at a word's end
-        self.last = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix=self.suffix or None))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")"
                                  ) if self.added else None
@@ -80,12 +78,27 @@ class TreeBPE:
         from tokenizers.pre_tokenizers import ByteLevel
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)} if self.plain else {}
-        self.model = self.last.model
+
+    def forget(self) -> None:
+        """Empties what is remembered, so that a reused worker doesn't keep it."""
+        self.known, self.known_words = {}, {}
+
+    @property
+    def inner(self):
+        """The same merges without the word-end suffix, made when a long run asks for it."""
+        if self._inner is None:
+            import json
+
+            from tokenizers import models
+
+            m = json.load(open(self.path, encoding="utf-8"))["model"]
+            self._inner = models.BPE(m["vocab"], [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in m["merges"]])
+        return self._inner
 
     # ---- one unsplit word, as the symbols the model merges
 
     def _encode(self, symbols: str, at_end: bool) -> list[int]:
-        return (self.last if at_end else self.inner).encode(symbols, add_special_tokens=False).ids
+        return [t.id for t in (self.model if at_end else self.inner).tokenize(symbols)]
 
     def _symbols(self, ids: list[int]) -> str:
         text = "".join(self.names[i] for i in ids)
@@ -206,8 +219,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k"), pa.array([g[0] for g in got], pa.binary()),
                  pa.array([g[1] for g in got], pa.string())], names=["k", "ids", "decoded"])
+        bpe.forget()
 
-    short = rows.where(~long).select("k", F.col("t").cast("binary").alias("t")).mapInArrow(each, f"k {kind}, {_OUT}")
+    short = rows.where(~long).select("k", F.col("t").cast("binary").alias("t")).mapInArrow(freeing(each), f"k {kind}, {_OUT}")
     return short.unionByName(_dealt_out(rows.where(long), kind, path, leaf)).withColumnRenamed("k", key)
 
 
@@ -264,10 +278,10 @@ def _dealt_out(rows: DataFrame, kind: str, path: str, leaf: int) -> DataFrame:
                          "decoded": pa.array([bpe.decode(ids)], pa.string())})
 
     dealt = (rows.withColumn("row", F.monotonically_increasing_id()).select("row", "k", "t")
-             .mapInArrow(leaves, f"row long, k {kind}, word long, at long, last boolean, known long, symbols string")
+             .mapInArrow(freeing(leaves), f"row long, k {kind}, word long, at long, last boolean, known long, symbols string")
              .repartition("row", "word", "at")
-             .mapInArrow(encoded, f"row long, k {kind}, word long, at long, last boolean, ids binary"))
-    return dealt.groupBy("row").applyInArrow(joined, f"k {kind}, {_OUT}")
+             .mapInArrow(freeing(encoded), f"row long, k {kind}, word long, at long, last boolean, ids binary"))
+    return dealt.groupBy("row").applyInArrow(freeing_group(joined), f"k {kind}, {_OUT}")
 
 
 def decode(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -283,7 +297,7 @@ def decode(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
                 names=["k", "decoded"])
 
     return (coded.select(F.col(key).alias("k"), F.col(ids).alias("ids"))
-            .mapInArrow(each, f"k {kind}, decoded string").withColumnRenamed("k", key))
+            .mapInArrow(freeing(each), f"k {kind}, decoded string").withColumnRenamed("k", key))
 
 
 def digests(coded: DataFrame, key: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +29,36 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
 
 
+_TEMPORARY: list[list[str]] = []
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more, and lets the driver
+    find the shuffles that went into them unused, so that their files go too."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        p.getFileSystem(conf).delete(p, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables stored inside are deleted at the end; the list of their folders is given."""
+    _TEMPORARY.append([])
+    try:
+        yield _TEMPORARY[-1]
+    finally:
+        delete(spark, *_TEMPORARY.pop())
+
+
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: the
     lineage ends there, and a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, name)
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,6 +88,24 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def freeing(f):
+    """A function on a task's batches that hands Arrow's unused memory back at
+    the end: Spark keeps its Python workers for the next stage."""
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+    return run
+
+
+def freeing_group(f):
+    """The same for a function on a group's table."""
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        pa.default_memory_pool().release_unused()
+        return out
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -41,8 +41,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored
-from .shingles import U, blocks, mix, sets
+from .common import delete, freeing, freeing_group, partitions, small_batches, stored, temporary
+from .shingles import U, blocks, forget, mix, sets
 
 SKETCH = 1024       # bits of the smallest sketch
 REGION = 4096       # members that one task joins
@@ -181,9 +181,10 @@ def _scan(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, part
                 cut = lambda x: [x[i:j].tobytes() for i, j in zip(starts, ends)]
                 yield rows(3, len(starts), part=part[starts].astype(np.int32), ref=np.full(len(starts), base),
                            low=cut(low), high=cut(high), who=cut(lead))
+        forget()
 
     t = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(F.col(key).alias("k"), t.alias("t")).mapInArrow(each, schema)
+    return docs.select(F.col(key).alias("k"), t.alias("t")).mapInArrow(freeing(each), schema)
 
 
 def _region(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -244,8 +245,9 @@ def _node_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int)
                 got = [s for s in sets(texts[a:b], n) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in got], pa.int64()),
                                                   pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "s"])
+        forget()
 
-    found = rows.join(keys, F.expr("k <=> k2"), "left_semi").select("t").mapInArrow(each, "node long, s binary")
+    found = rows.join(keys, F.expr("k <=> k2"), "left_semi").select("t").mapInArrow(freeing(each), "node long, s binary")
     # repeated keys bring other texts along, and equal sets may be found twice
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -270,7 +272,7 @@ def _feasible(pairs: DataFrame, num: int, den: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sizes = pairs.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-    return sizes.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("total")).mapInArrow(each, "a long, b long")
+    return sizes.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("total")).mapInArrow(freeing(each), "a long, b long")
 
 
 def _measure(pairs: DataFrame, node_sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -285,7 +287,7 @@ def _measure(pairs: DataFrame, node_sets: DataFrame, num: int, den: int) -> Data
 
     left = node_sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     right = node_sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(each, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(freeing(each), "a long, b long")
 
 
 class Region:
@@ -396,7 +398,7 @@ def _unresolved(stars: DataFrame, pairs: DataFrame, refs: DataFrame, nodes: Data
         F.coalesce("la", "a") != F.coalesce("lb", "b")).select("member", "pivot")
     open_regions = stars.join(apart, ["member", "pivot"], "left_semi").select("region").distinct()
     held = stars.join(open_regions, "region", "left_semi")
-    held = held.select("region", F.col("member").alias("ref")).union(held.select("region", F.col("pivot").alias("ref"))).distinct()
+    held = held.select("region", F.explode(F.array("member", "pivot")).alias("ref")).distinct()
     held = stored(held.join(refs.select("ref", "node"), "ref").select("region", "node").distinct(), "open_regions")
     # a region of two was measured; of regions with the same members one is enough
     alike = held.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
@@ -421,11 +423,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
     small_batches(spark)
     parts = 4 * partitions(spark)
     scan = stored(_scan(docs, key, text, n, num, den, parts), "scan")
-    rows = scan.where("kind = 0").select("k", "node", "n")
-    refs = scan.where("kind = 1").select("ref", "node", "n", "sketch")
+    rows = stored(scan.where("kind = 0").select("k", "node", "n"), "rows")
+    refs = stored(scan.where("kind = 1").select("ref", "node", "n", "sketch"), "refs")
     across = scan.where("kind = 3").select("part", "ref", "low", "high", "who").groupBy("part").applyInArrow(
-        _stars, "region long, member long, pivot long")
+        freeing_group(_stars), "region long, member long, pivot long")
     stars = stored(scan.where("kind = 2").select("region", "member", "pivot").union(across), "stars")
+    delete(spark, *(f[:f.rindex("/")] for f in scan.inputFiles()[:1]))  # the packed keys are the bulk of it
     of = lambda ref, node: refs.select(F.col("ref").alias(ref), F.col("node").alias(node))
     pairs = stored(stars.select("member", "pivot").distinct().join(of("member", "a"), "member").join(
         of("pivot", "b"), "pivot").where("a <> b"), "pairs")
@@ -437,18 +440,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
     first = stored(rows.groupBy("node").agg(F.min("k").alias("k")), "first_keys")
     wanted = both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).distinct().join(first, "node")
     node_sets = stored(_node_sets(docs, wanted, key, text, n), "sets")
+    small_batches(spark, 128)  # a row holds two sets here
     links = stored(_measure(both, node_sets, num, den), "links")
     labels = components(links)
     group = F.pmod(F.col("sub"), F.lit(parts)).alias("part")
     opened = _unresolved(stars, pairs, refs, nodes, labels, region_rows)
     pruned = stored(opened.select("*", group).groupBy("part").applyInArrow(
-        _prune(num, den), "sub long, node long, n long, label long, side int, sketch binary"), "pruned")
+        freeing_group(_prune(num, den)), "sub long, node long, n long, label long, side int, sketch binary"), "pruned")
     if not pruned.isEmpty():
         # a member that no pivot came near has no set yet
         others = pruned.select("node").distinct().join(wanted, "node", "left_anti").join(first, "node")
         node_sets = node_sets.unionByName(_node_sets(docs, others, key, text, n))
         more = stored(pruned.join(node_sets, "node").select("*", group).groupBy("part").applyInArrow(
-            _recurse(num, den), "a long, b long"), "more_links")
+            freeing_group(_recurse(num, den)), "a long, b long"), "more_links")
         links = links.unionByName(more)
         labels = components(links)
     return rows.select(F.col("k").alias(key), "node", F.col("n").alias("n_shingles")), links, labels
@@ -457,7 +461,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80,
                     den: int = 100) -> DataFrame:
     """``key, n_shingles, component_id`` (the component's smallest key), one row per row of ``docs``."""
-    rows, _, labels = join(docs, key, text, n, num, den)
+    with temporary(docs.sparkSession) as folders:
+        rows, _, labels = join(docs, key, text, n, num, den)
+        found = stored(_component_rows(rows, labels, key), "components")
+        folders.pop()  # the result stays
+    return found
+
+
+def _component_rows(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     rows = rows.select(F.col(key).alias("k"), "node", "n_shingles")
     # per node and then per component; a row without a node is its own component
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("k").alias("k")).join(labels, "node", "left")

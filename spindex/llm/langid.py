@@ -18,12 +18,14 @@ if there is no labelled row.  Ties go to the language that is first in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import freeing, held_out, small_batches
 
 MAX_TRAIN, LANDMARKS, RIDGE = 2400, 160, 1e-2
 _SIZES = (0, 256, 256 + 65536, 256 + 65536 + (1 << 24))
@@ -120,9 +122,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang"), batch.column("place"), pa.array([g.tobytes() for g in got], pa.binary())],
                 names=["lang", "place", "grams"])
+        _SEEN.clear()
 
     sample = rows.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang")))
-    got = sample.limit(4 * max(max_train, 4 * len(counts))).mapInArrow(sets, "lang string, place double, grams binary").collect()
+    got = sample.limit(4 * max(max_train, 4 * len(counts))).mapInArrow(freeing(sets), "lang string, place double, grams binary").collect()
     got.sort(key=lambda r: (r["place"], r["lang"], bytes(r["grams"])))
     if not got:  # so few rows that the hashes chose none
         return None
@@ -139,10 +142,7 @@ def annotate(docs: DataFrame, model: Model | None, text: str = "text", name: str
         return docs.withColumns({name: F.lit("und"), score: F.lit(0.0)})
     shared = spark.sparkContext.broadcast(model)  # n-grams of LANDMARKS texts: bounded
 
-    @F.arrow_udf("struct<name: string, score: double>")
-    def each(column: pa.Array) -> pa.Array:
-        m = shared.value
-        texts = column.to_pylist()
+    def scored(m: Model, texts: list[bytes | None]) -> pa.Array:
         known = [i for i, t in enumerate(texts) if t is not None]
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         for at in range(0, len(known), 256):
@@ -152,6 +152,16 @@ def annotate(docs: DataFrame, model: Model | None, text: str = "text", name: str
                 names[i], scores[i] = m.names[j], float(min(1.0, max(0.0, (top + 1) / 2)))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["name", "score"])
 
+    @F.arrow_udf("struct<name: string, score: double>")
+    def each(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for column in columns:
+                yield scored(shared.value, column.to_pylist())
+        finally:  # a reused worker doesn't keep the tables
+            _SEEN.clear()
+            _VOCAB.clear()
+            pa.default_memory_pool().release_unused()
+
     found = docs.withColumn("__found", each(F.when(F.col(text).rlike(r"\p{L}"), F.col(text).cast("binary"))))
     return found.withColumns({name: F.col("__found.name"), score: F.col("__found.score")}).drop("__found")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import freeing, held_out, small_batches
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 8, 4, 8, 32, 16
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     # at most 4 * MAX_TRAIN small rows are broadcast
     got = texts.join(F.broadcast(chosen), "k").select(F.col("y").cast("int").alias("y"), "place", "t").limit(
-        8 * max_train).mapInArrow(cut, "y int, place double, x binary, w binary").collect()
+        8 * max_train).mapInArrow(freeing(cut), "y int, place double, x binary, w binary").collect()
     got.sort(key=lambda r: (r["place"], r["y"], bytes(r["x"])))
     y = np.array([r["y"] for r in got], float)
     if len(set(y)) < 2:
@@ -210,7 +210,7 @@ def score(docs: DataFrame, net: Net | float, key: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("held_out"), pa.array(s, pa.float64())],
                                                  names=["k", "held_out", "score"])
 
-        out = rows.mapInArrow(each, f"k {kind}, held_out boolean, score double")
+        out = rows.mapInArrow(freeing(each), f"k {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).withColumnRenamed("k", key)
 
 

@@ -39,6 +39,11 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def forget() -> None:
+    """Frees the powers, so that a reused worker doesn't keep them."""
+    _POWERS[:] = [np.ones(1, U), np.ones(1, U)]
+
+
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every word; the hash of a word is a polynomial in its
     bytes, got as a difference of prefix sums."""
@@ -53,7 +58,11 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """The shingle set of each text, sorted."""
+    """The shingle set of each text, sorted; about a megabyte of text at a time."""
+    return [s for a, b in blocks(texts, 1 << 20) for s in _sets(texts[a:b], n)]
+
+
+def _sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     start, h = words(b" ".join(texts) + b" ")
     bounds = np.searchsorted(start, np.concatenate(([0], np.cumsum(lengths))))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, stored
+from .common import freeing, shared_path, small_batches, stored
 
 VERSION = b"WARC/1.1\r\n"
 BETWEEN = "\r\n\r\n"
@@ -136,7 +136,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
                                segment, chunk_size)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    (numbered.select("page", "url", "payload", "sha1", "keep", "grouped", "copy").mapInArrow(build, "record binary")
+    (numbered.select("page", "url", "payload", "sha1", "keep", "grouped", "copy").mapInArrow(freeing(build), "record binary")
      .select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", BETWEEN).option("compression", "gzip").text(path))
 
@@ -220,7 +220,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark, 512)
     raw = spark.read.option("lineSep", BETWEEN + VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
     # read once: whole records go on as they are, segments are grouped
-    parsed = stored(raw.mapInArrow(_parse, _PARSED), "records", "zstd")
+    parsed = stored(raw.mapInArrow(freeing(_parse), _PARSED), "records", "zstd")
     plain = parsed.where("number IS NULL").select("type", "page", "refers", "digest", "size",
                                                   F.array("block").alias("blocks"), F.lit(True).alias("complete"))
     parts = parsed.where("number IS NOT NULL").withColumn("origin", F.coalesce("origin", "id"))
@@ -233,8 +233,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                          F.transform("s", lambda x: x["block"]).alias("blocks"))
     whole = whole.where("type IS NOT NULL").select("type", "page", "refers", "digest", "size", "blocks", F.coalesce(
         (F.col("numbers") == F.sequence(F.lit(1), F.size("numbers"))) & (length == F.col("total")), F.lit(False)).alias("complete"))
-    return plain.unionByName(whole).mapInArrow(
-        _payload, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+    return plain.unionByName(whole).mapInArrow(freeing(_payload), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
                   "intact boolean, payload binary")
 
 

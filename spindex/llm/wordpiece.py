@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import freeing, small_batches
 
 REMEMBER = 500_000
 
@@ -120,4 +120,4 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                                              names=["k", "n_words", "n_tokens", "n_unknown"])
 
     return (docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-            .mapInArrow(each, f"k {kind}, n_words long, n_tokens long, n_unknown long").withColumnRenamed("k", key))
+            .mapInArrow(freeing(each), f"k {kind}, n_words long, n_tokens long, n_unknown long").withColumnRenamed("k", key))
