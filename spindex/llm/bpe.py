@@ -34,7 +34,7 @@ LEAF = 64
 #: Unsplit run, in characters, from which a document's leaves are dealt out.
 DEAL_OUT = 1 << 16
 #: Pieces a worker remembers.
-REMEMBER = 150_000
+REMEMBER = 80_000
 
 #: Pieces of printable ASCII and Latin letters (U+00C0 to U+017F but the signs
 #: and U+0130): normal forms already, lower-cased letter by letter, and cut
@@ -79,10 +79,6 @@ class TreeBPE:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)} if self.plain else {}
 
-    def forget(self) -> None:
-        """Empties what is remembered, so that a reused worker doesn't keep it."""
-        self.known, self.known_words = {}, {}
-
     @property
     def inner(self):
         """The same merges without the word-end suffix, made when a long run asks for it."""
@@ -206,7 +202,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
            leaf: int = LEAF, deal_out: int = DEAL_OUT) -> DataFrame:
     """``key``, ``ids`` (binary: little-endian unsigned 32-bit token ids) and
     ``decoded`` (the text those ids decode to), one row per row of ``docs``."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 256)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     # the length is looked at first: the pattern runs over few texts
     long = (F.length("t") >= deal_out) & F.col("t").rlike(r"[^\x20\x09-\x0D]{%d}" % deal_out)
@@ -219,7 +215,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k"), pa.array([g[0] for g in got], pa.binary()),
                  pa.array([g[1] for g in got], pa.string())], names=["k", "ids", "decoded"])
-        bpe.forget()
+        _MODELS.clear()  # a reused worker doesn't keep it; loading takes a fraction of a second
 
     short = rows.where(~long).select("k", F.col("t").cast("binary").alias("t")).mapInArrow(freeing(each), f"k {kind}, {_OUT}")
     return short.unionByName(_dealt_out(rows.where(long), kind, path, leaf)).withColumnRenamed("k", key)

@@ -81,7 +81,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Prepares for Python workers: the package is sent to them, and one Arrow
     batch of whole texts is bounded."""
     ship(spark)

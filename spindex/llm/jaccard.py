@@ -400,6 +400,7 @@ def _unresolved(stars: DataFrame, pairs: DataFrame, refs: DataFrame, nodes: Data
     held = stars.join(open_regions, "region", "left_semi")
     held = held.select("region", F.explode(F.array("member", "pivot")).alias("ref")).distinct()
     held = stored(held.join(refs.select("ref", "node"), "ref").select("region", "node").distinct(), "open_regions")
+    delete(stars.sparkSession)
     # a region of two was measured; of regions with the same members one is enough
     alike = held.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
                                        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("m > 2")
@@ -440,6 +441,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
     first = stored(rows.groupBy("node").agg(F.min("k").alias("k")), "first_keys")
     wanted = both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).distinct().join(first, "node")
     node_sets = stored(_node_sets(docs, wanted, key, text, n), "sets")
+    delete(spark)  # the shuffled texts
     small_batches(spark, 128)  # a row holds two sets here
     links = stored(_measure(both, node_sets, num, den), "links")
     labels = components(links)
@@ -447,6 +449,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
     opened = _unresolved(stars, pairs, refs, nodes, labels, region_rows)
     pruned = stored(opened.select("*", group).groupBy("part").applyInArrow(
         freeing_group(_prune(num, den)), "sub long, node long, n long, label long, side int, sketch binary"), "pruned")
+    delete(spark)  # the regions' shuffles
     if not pruned.isEmpty():
         # a member that no pivot came near has no set yet
         others = pruned.select("node").distinct().join(wanted, "node", "left_anti").join(first, "node")
