@@ -4,11 +4,10 @@ The parser is re-expressed as an ordered chain of regex rewrites:
 
     '</' -> ' </'                 a closing tag separates words, an opening
                                   or void tag does not ('a<br>b' -> 'ab')
-    drop <script>/<style> elements (before tag stripping: scripts may hold
-                                  '</p>' in strings)
-    drop comments
+    drop comments and <script>/<style> elements in one pass (before tag
+                                  stripping: scripts may hold '</p>' in strings)
     drop remaining tags
-    decode entities, '&amp;' last
+    decode character references in one pass
 
 All of it is built-in expressions, so extraction runs in the scan stage with
 no Python and no shuffle.
@@ -16,41 +15,61 @@ no Python and no shuffle.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text, urls
 from .text import _c
 
-SCRIPT_STYLE_RE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-COMMENT_RE = r"(?s)<!--.*?-->"
-TAG_RE = r"<[^>]*>"
-TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title"
-META_RE = r"(?is)<meta\b[^>]*>"
-META_NAME_DESCRIPTION_RE = r"""(?is)\bname\s*=\s*(?:"description"|'description'|description(?=[\s/>]|$))"""
-META_CONTENT_RE = r"""(?is)\bcontent\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-A_HREF_RE = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-BASE_HREF_RE = r"""(?is)<base\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-IMG_RE = r"(?is)<img\b[^>]*>"
-SRC_ATTR_RE = r"""(?is)\ssrc\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-ALT_ATTR_RE = r"""(?is)\salt\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-
-# Named character references decoded in text and attributes
-# ('&amp;' is decoded last, so '&amp;lt;' stays '&lt;').
-ENTITIES = (
-    ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&trade;", "™"), ("&euro;", "€"), ("&pound;", "£"), ("&yen;", "¥"),
-    ("&cent;", "¢"), ("&sect;", "§"), ("&deg;", "°"), ("&times;", "×"),
-    ("&divide;", "÷"), ("&bull;", "•"),
-)
-
+# The inside of a tag: a '>' within a quoted attribute value does not end it;
+# a quote only opens a value after '='.  Possessive, so a long tag is matched
+# by iteration, not recursion.
+INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+
+
+def _open(name: str) -> str:
+    """Opening tag ``name`` (not of elements whose name only starts with it)."""
+    return rf"<{name}(?:[\s/]{INSIDE})?+>"
+
+
+VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# comments and dropped elements in one pass, leftmost first: a '<script>'
+# inside a comment, or '<!--' inside a script, opens nothing
+DROP_RE = (r"(?is)<!--.*?-->|" + _open("script") + r".*?</script\s*>|" + _open("style") + r".*?</style\s*>")
+TAG_RE = r"(?s)<[A-Za-z/!?]" + INSIDE + ">"
+TITLE_RE = "(?is)" + _open("title") + "(.*?)</title"
+META_RE = "(?is)" + _open("meta")
+# the attribute's name is case-insensitive, its value is not
+META_NAME_DESCRIPTION_RE = r"""(?s)\s(?i:name)\s*=\s*(?:"description"|'description'|description(?=[\s/>]|$))"""
+META_CONTENT_RE = r"(?is)\scontent" + VALUE
+A_RE = "(?is)" + _open("a")
+BASE_RE = "(?is)" + _open("base")
+HREF_ATTR_RE = r"(?is)\shref" + VALUE
+IMG_RE = "(?is)" + _open("img")
+SRC_ATTR_RE = r"(?is)\ssrc" + VALUE
+ALT_ATTR_RE = r"(?is)\salt" + VALUE
+NOT_BLANK_RE = r"[^ \t\n\r\f\x0b]"
+
+# Named character references: HTML's table, from the standard library.  The
+# references valid without ';' are tried longest first.
+NAMED = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}
+LEGACY = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+FREQUENT = ("amp", "lt", "gt", "quot", "nbsp")    # looked up first
+LEGACY_IN_TEXT = "^(" + "|".join(LEGACY) + ")"
+# in an attribute '&copy=1' and '&copyright' are query text, not references
+LEGACY_IN_ATTRIBUTE = LEGACY_IN_TEXT + "(?:[^=A-Za-z0-9]|$)"
 
 MAX_CODE_POINT = 0x10FFFF      # fixed values: Unicode range and the surrogate block
 SURROGATES = (0xD800, 0xDFFF)
-REPLACEMENT_CHAR = "\ufffd"
+REPLACEMENT_CHAR = "�"
+
+
+def _named_map() -> Column:
+    """The named references as one literal map (folded once per plan)."""
+    names = [*FREQUENT, *(n for n in NAMED if n not in FREQUENT)]
+    return F.str_to_map(F.lit("\x02".join(f"{n}\x01{NAMED[n]}" for n in names)), F.lit("\x02"), F.lit("\x01"))
 
 
 def _char(code: Column) -> Column:
@@ -60,33 +79,44 @@ def _char(code: Column) -> Column:
     return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit(REPLACEMENT_CHAR))
 
 
-def _numeric_refs(c: Column) -> Column:
-    """``&#NNN;`` and ``&#xHHH;`` decoded.  The text is split on '&#'; each
-    piece that starts with a reference is decoded, any other piece gets its
-    '&#' back."""
-    pieces = F.split(c, "&#")
-
-    def one(p: Column) -> Column:
-        dec = F.regexp_extract(p, r"^([0-9]{1,8});", 1)
-        hexa = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,8});", 1)
-        code = F.when(dec != "", dec.cast("bigint")).otherwise(F.conv(hexa, 16, 10).cast("bigint"))
-        used = F.when(dec != "", F.length(dec) + 1).otherwise(F.length(hexa) + 2)
-        rest = p.substr(used + 1, F.length(p))
-        return F.when((dec != "") | (hexa != ""), F.concat(_char(code), rest)).otherwise(F.concat(F.lit("&#"), p))
-
-    tail = F.transform(F.slice(pieces, 2, F.size(pieces) - 1), one)
-    return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
-
-
-def decode_entities(c: Column | str) -> Column:
-    """HX3: named references of ``ENTITIES``, then numeric references, then
-    '&amp;' (so '&amp;#65;' stays '&#65;' and '&#38;lt;' becomes '&lt;', as
-    in a one-pass decoder)."""
+def decode_entities(c: Column | str, attribute: bool = False) -> Column:
+    """HX3: every character reference of HTML -- named (the older names also
+    without ';'), decimal and hexadecimal of any length -- decoded in one pass,
+    so '&amp;lt;' gives '&lt;'.  The text is split on '&'; a piece that starts
+    with a reference is decoded, any other gets its '&' back."""
     c = _c(c)
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    c = F.when(c.contains("&#"), _numeric_refs(c)).otherwise(c)
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    table = _named_map()
+    legacy_re = LEGACY_IN_ATTRIBUTE if attribute else LEGACY_IN_TEXT
+
+    def found(p: Column) -> Column:
+        return F.struct(
+            p.alias("p"),
+            F.regexp_extract(p, "^#[0-9]+;?", 0).alias("dec"),
+            F.regexp_extract(p, "^#[xX][0-9a-fA-F]+;?", 0).alias("hex"),
+            F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1).alias("name"),
+            F.regexp_extract(p, legacy_re, 1).alias("legacy"))
+
+    def digits(ref: Column, skip: int) -> Column:
+        return F.ltrim(F.rtrim(ref.substr(F.lit(skip), F.length(ref)), F.lit(";")), F.lit("0"))
+
+    def number(d: Column, base: int) -> Column:
+        """0 (no character) for nothing but zeros and for more than 8 digits."""
+        return F.when(F.length(d).between(1, 8), F.conv(d, base, 10).cast("bigint")).otherwise(F.lit(0))
+
+    def one(f: Column) -> Column:
+        p = f["p"]
+        rest = lambda n: p.substr(n + 1, F.length(p))
+        named = F.try_element_at(table, f["name"])
+        return (F.when(f["dec"] != "", F.concat(_char(number(digits(f["dec"], 2), 10)), rest(F.length(f["dec"]))))
+                .when(f["hex"] != "", F.concat(_char(number(digits(f["hex"], 3), 16)), rest(F.length(f["hex"]))))
+                .when((f["name"] != "") & named.isNotNull(), F.concat(named, rest(F.length(f["name"]) + 1)))
+                .when(f["legacy"] != "", F.concat(F.try_element_at(table, f["legacy"]), rest(F.length(f["legacy"]))))
+                .otherwise(F.concat(F.lit("&"), p)))
+
+    pieces = F.split(c, "&")
+    tail = F.transform(F.transform(F.slice(pieces, 2, F.size(pieces) - 1), found), one)
+    decoded = F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def _unquote(c: Column) -> Column:
@@ -103,7 +133,7 @@ def spaced(html: Column | str) -> Column:
 def cleaned(html: Column | str) -> Column:
     """HX1 + comments: the markup with script/style elements and comments
     removed (after the ' </' insertion)."""
-    return F.regexp_replace(F.regexp_replace(spaced(html), SCRIPT_STYLE_RE, ""), COMMENT_RE, "")
+    return F.regexp_replace(spaced(html), DROP_RE, "")
 
 
 BREAK_ON = ("close_tag", "any_tag")
@@ -140,7 +170,7 @@ def description(tag: Column | str) -> Column:
     tag = _c(tag)
     content = F.regexp_extract(tag, META_CONTENT_RE, 1)
     return F.when(tag.isNull(), F.lit("")).otherwise(
-        text.format_text(decode_entities(_unquote_once(content))))
+        text.format_text(decode_entities(_unquote_once(content), attribute=True)))
 
 
 def _unquote_once(c: Column) -> Column:
@@ -151,13 +181,15 @@ def _unquote_once(c: Column) -> Column:
 
 def hrefs(clean: Column | str) -> Column:
     """Raw href values of every <a href>, in document order."""
-    raw = F.regexp_extract_all(_c(clean), F.lit(A_HREF_RE), 1)
-    return F.transform(raw, lambda h: decode_entities(_unquote(h)))
+    tags = F.regexp_extract_all(_c(clean), F.lit(A_RE), 0)
+    raw = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, HREF_ATTR_RE, 1)), lambda h: h != "")
+    return F.transform(F.transform(raw, _unquote), lambda h: decode_entities(h, attribute=True))
 
 
 def base_href(clean: Column | str) -> Column:
-    """The <base href> value ('' when none)."""
-    return decode_entities(_unquote_once(F.regexp_extract(_c(clean), BASE_HREF_RE, 1)))
+    """The first <base> tag's href value ('' when none)."""
+    tag = F.regexp_extract(_c(clean), BASE_RE, 0)
+    return decode_entities(_unquote_once(F.regexp_extract(tag, HREF_ATTR_RE, 1)), attribute=True)
 
 
 def base_url(href: Column | str, fetch_url: Column | str) -> Column:
@@ -173,19 +205,26 @@ def links(clean: Column | str, base: Column | str) -> Column:
     ``urls.base_parts`` column (see ``operators.pages.parse``)."""
     b = _c(base)
     forms = F.transform(hrefs(clean), lambda h: F.struct(h.alias("raw"), urls.url_parse_form(h).alias("p")))
-    cands = F.transform(forms, lambda f: F.struct(
-        F.when(urls.is_web(f["p"]), urls.format_url(f["raw"])).alias("abs"),
-        urls.format_url(urls.resolve_with(b, f["p"])).alias("joined")))
+    # each href is split once, into a struct the resolver reads by field
+    split = F.transform(forms, lambda f: F.struct(f["raw"].alias("raw"), urls.ref_parts(f["p"]).alias("r")))
+    cands = F.transform(split, lambda f: F.struct(
+        F.when(F.lower(f["r"]["scheme"]).isin(*urls.WEB_SCHEMES), urls.format_url(f["raw"])).alias("abs"),
+        urls.format_url(urls.resolve_parts(b, f["r"])).alias("joined")))
     picked = F.transform(cands, lambda c: F.when(c["abs"].isNotNull(), c["abs"])
                          .when(urls.is_web(c["joined"]), c["joined"]))
     return F.array_distinct(F.filter(picked, lambda u: u.isNotNull()))
 
 
+def is_blank(html: Column | str) -> Column:
+    """HX11: no character but white space."""
+    return ~_c(html).rlike(NOT_BLANK_RE)
+
+
 def images(clean: Column | str) -> Column:
     """HX8: array<struct<src, alt>> of every <img>, document order; missing
     attributes are ''.  ``src`` is not resolved."""
     tags = F.regexp_extract_all(_c(clean), F.lit(IMG_RE), 0)
     return F.transform(tags, lambda t: F.struct(
-        decode_entities(_unquote_once(F.regexp_extract(t, SRC_ATTR_RE, 1))).alias("src"),
-        decode_entities(_unquote_once(F.regexp_extract(t, ALT_ATTR_RE, 1))).alias("alt"),
+        decode_entities(_unquote_once(F.regexp_extract(t, SRC_ATTR_RE, 1)), attribute=True).alias("src"),
+        decode_entities(_unquote_once(F.regexp_extract(t, ALT_ATTR_RE, 1)), attribute=True).alias("alt"),
     ))

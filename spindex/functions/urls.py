@@ -54,6 +54,12 @@ def _part(u: Column, i: int) -> Column:
     return F.regexp_extract(u, SPLIT_RE, i)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and the expression tree
+    holding it once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _remove_dots(segments: Column) -> Column:
     """Fold path segments: '..' pops, '.' is skipped; a trailing '.' or '..'
     leaves a trailing slash."""
@@ -88,8 +94,8 @@ def base_parts(base: Column | str) -> Column:
 
 
 def _unsplit(sch: Column, auth: Column, path: Column, query: Column, frag: Column) -> Column:
-    path = F.when((auth != "") & (path != "") & ~path.startswith("/"),
-                  F.concat(F.lit("/"), path)).otherwise(path)
+    path = _let(path, lambda p: F.when((auth != "") & (p != "") & ~p.startswith("/"),
+                                       F.concat(F.lit("/"), p)).otherwise(p))
     return F.concat(sch, F.lit(":"), auth, path,
                     F.when(query.isin("", "?"), F.lit("")).otherwise(query),
                     F.when(frag.isin("", "#"), F.lit("")).otherwise(frag))
@@ -98,21 +104,34 @@ def _unsplit(sch: Column, auth: Column, path: Column, query: Column, frag: Colum
 def _merged_path(b_dir: Column, h_path: Column) -> Column:
     """Path of a relative reference: base dir segments + href segments, empty
     middle segments dropped, dot segments folded."""
-    rel = F.concat(b_dir, F.split(h_path, "/"))
-    n = F.size(rel)
-    rel_clean = F.when(n <= 2, rel).otherwise(F.concat(
-        F.slice(rel, 1, 1),
-        F.filter(F.slice(rel, 2, n - 2), lambda s: s != ""),
-        F.slice(rel, -1, 1)))
-    segs = F.when(h_path.startswith("/"), F.split(h_path, "/")).otherwise(rel_clean)
-    joined = F.array_join(_remove_dots(segs), "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    def cleaned(rel: Column) -> Column:
+        return F.when(F.size(rel) <= 2, rel).otherwise(F.concat(
+            F.slice(rel, 1, 1),
+            F.filter(F.slice(rel, 2, F.size(rel) - 2), lambda s: s != ""),
+            F.slice(rel, -1, 1)))
+
+    parts = F.split(h_path, "/")
+    segs = F.when(h_path.startswith("/"), parts).otherwise(_let(F.concat(b_dir, parts), cleaned))
+    joined = F.array_join(_let(segs, _remove_dots), "/")
+    return _let(joined, lambda j: F.when(j == "", F.lit("/")).otherwise(j))
+
+
+def ref_parts(href: Column) -> Column:
+    """The parts of a reference ``resolve_parts`` needs, as one struct."""
+    names = ("scheme", "auth", "path", "query", "frag")
+    return F.struct(href.alias("url"), *(_part(href, i).alias(n) for i, n in enumerate(names, 1)))
 
 
 def resolve_with(b: Column, href: Column) -> Column:
-    """UR4: ``href`` resolved against a ``base_parts`` struct (Python
-    ``urljoin`` rules)."""
-    h_scheme, h_auth, h_path, h_query, h_frag = (_part(href, i) for i in (1, 2, 3, 4, 5))
+    """UR4: ``href`` resolved against a ``base_parts`` struct."""
+    return resolve_parts(b, ref_parts(href))
+
+
+def resolve_parts(b: Column, ref: Column) -> Column:
+    """UR4: a ``ref_parts`` struct resolved against a ``base_parts`` struct
+    (Python ``urljoin`` rules)."""
+    href = ref["url"]
+    h_scheme, h_auth, h_path, h_query, h_frag = (ref[n] for n in ("scheme", "auth", "path", "query", "frag"))
     same_scheme = (h_scheme == "") | (F.lower(h_scheme) == b["scheme"])
     return (
         F.when(href == "", b["url"])

@@ -30,6 +30,19 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES_P = frozenset(("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 "
                        "header hr main nav ol p pre section table ul").split())
 _DROP = frozenset(("script", "style"))
+# Elements whose end tag may be left out -> the start tags that
+# end them, and the elements beyond which they are not looked for.
+_IMPLIED_END = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr",), ("table", "thead", "tbody", "tfoot")),
+    "option": (("option",), ("select", "datalist")),
+}
+_P_SCOPE = ("table", "td", "th", "button", "object", "caption")
+BATCH_CHARS = 16_000_000   # context characters gathered before a batch is handed over
 
 
 class _Tree(HTMLParser):
@@ -53,8 +66,10 @@ class _Tree(HTMLParser):
         if tag in _DROP:
             self.skip = 1
             return
-        if tag in _CLOSES_P and any(n[0] == "p" for n in self.stack[1:]):
-            self._close("p")
+        if tag in _CLOSES_P:
+            self._close_within(("p",), _P_SCOPE)
+        if tag in _IMPLIED_END:
+            self._close_within(*_IMPLIED_END[tag])
         if tag == "img":
             a = dict(attrs)
             self.images.append((a.get("src") or "", a.get("alt") or "", list(self.stack)))
@@ -84,6 +99,14 @@ class _Tree(HTMLParser):
                 del self.stack[i:]
                 return
 
+    def _close_within(self, tags, scope):
+        """Ends the innermost open element of ``tags``, unless one of ``scope`` lies around it first."""
+        for node in reversed(self.stack[1:]):
+            if node[0] in tags:
+                return self._close(node[0])
+            if node[0] in scope:
+                return
+
     def handle_data(self, data):
         if not self.skip:
             self.text.append(data)
@@ -105,10 +128,15 @@ class _Tree(HTMLParser):
             yield src, alt, doc[pick[1]:end]
 
 
+_ARROW = pa.schema([("page_url", pa.string()), ("ingest_seq", pa.int64()), ("img_pos", pa.int32()),
+                    ("src", pa.string()), ("alt", pa.string()), ("context", pa.string())])
+
+
 def _image_contexts(batches):
     for rb in batches:
         d = rb.to_pydict()
-        out = {k: [] for k in ("page_url", "ingest_seq", "img_pos", "src", "alt", "context")}
+        out = {f.name: [] for f in _ARROW}
+        held = 0
         for url, seq, html in zip(d["url"], d["ingest_seq"], d["html"]):
             tree = _Tree()
             tree.feed((html or "").replace("</", " </"))
@@ -120,9 +148,11 @@ def _image_contexts(batches):
                 out["src"].append(src)
                 out["alt"].append(alt)
                 out["context"].append(ctx)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-            ("page_url", pa.string()), ("ingest_seq", pa.int64()), ("img_pos", pa.int32()),
-            ("src", pa.string()), ("alt", pa.string()), ("context", pa.string())]))
+                held += len(ctx)
+                if held > BATCH_CHARS:
+                    yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
+                    out, held = {f.name: [] for f in _ARROW}, 0
+        yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
 
 
 def image_contexts(raw: DataFrame) -> DataFrame:

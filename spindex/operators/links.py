@@ -13,6 +13,8 @@ never gathers its backlinks into one task.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,24 +84,25 @@ def frontier(pages: DataFrame, edges: DataFrame, domains: DataFrame | None = Non
 
 
 def bfs_depth(pages: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
-              max_depth: int = 4) -> DataFrame:
+              max_depth: int | None = None) -> DataFrame:
     """LG7/LG8: breadth-first depth of every node reachable from the seeds.
 
     Seeds default to the fetched pages no other fetched page links to.  Each
     level is one join of the frontier with the edges and one anti join with
     the visited set; the visited set is checkpointed to the shared checkpoint
     folder every level, so the lineage stays one level deep.  The loop stops
-    when a level adds nothing or at ``max_depth``; the only driver action per
-    level is the emptiness test of the new frontier."""
+    when a level adds nothing, or at ``max_depth`` when one is given (LG8); the
+    only driver action per level is the emptiness test of the new frontier.
+    The edges are written once, so no level derives them again."""
     checkpoint_dir(pages.sparkSession)
-    e = edges.select(page_key("src").alias("node"), F.col("dst_key").alias("next")).distinct()
+    e = edges.select(page_key("src").alias("node"), F.col("dst_key").alias("next")).distinct().checkpoint()
     if seeds is None:
         keys = pages.select(page_key("url").alias("node")).distinct()
         linked = e.select(F.col("next").alias("node")).join(keys, "node", "left_semi").distinct()
         seeds = keys.join(linked, "node", "left_anti")
     visited = seeds.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
     level = visited
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         nxt = (level.join(e, "node").select(F.col("next").alias("node")).distinct()
                .join(visited.select("node"), "node", "left_anti")
                .select("node", F.lit(d).alias("depth"))).checkpoint()

@@ -30,16 +30,19 @@ def insert_ignore(existing: DataFrame, batch: DataFrame, key: str, order: str =
 
 def merge_pages(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """M1 (content half): per URL key the first *full* row wins -- a full row
-    replaces a stub, a later full row is ignored; ties go to the lowest
-    ``ingest_seq``.  Rows are keyed by the fragment-free URL (UR2)."""
-    return first_full_rows(existing.select(*PAGE_COLUMNS).unionByName(batch.select(*PAGE_COLUMNS)))
+    replaces a stub, a later full row is ignored.  A stored row comes before
+    any row of the batch, whatever its ``ingest_seq``; within one side the
+    lowest ``ingest_seq`` wins.  Rows are keyed by the fragment-free URL (UR2)."""
+    tagged = (existing.select(*PAGE_COLUMNS, F.lit(0).alias("_new"))
+              .unionByName(batch.select(*PAGE_COLUMNS, F.lit(1).alias("_new"))))
+    return first_full_rows(tagged, ("_new", "ingest_seq"))
 
 
-def first_full_rows(rows: DataFrame) -> DataFrame:
+def first_full_rows(rows: DataFrame, order: tuple[str, ...] = ("ingest_seq",)) -> DataFrame:
     """The M1 choice over any number of ingests: per URL key the full row
-    with the lowest ``ingest_seq``, else the stub."""
-    u = rows.select(*PAGE_COLUMNS).withColumn("_key", page_key("url"))
-    best = F.min_by(F.struct(*PAGE_COLUMNS), F.struct(F.col("title").isNull().alias("_stub"), "ingest_seq"))
+    that comes first by ``order``, else the stub."""
+    u = rows.select(*dict.fromkeys((*PAGE_COLUMNS, *order)), page_key("url").alias("_key"))
+    best = F.min_by(F.struct(*PAGE_COLUMNS), F.struct(F.col("title").isNull().alias("_stub"), *order))
     return u.groupBy("_key").agg(best.alias("_r")).select("_r.*")
 
 

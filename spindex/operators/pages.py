@@ -21,7 +21,7 @@ def parse(raw: DataFrame, break_on: str = "close_tag") -> DataFrame:
     (array<struct<src, alt>>), time, ingest_seq.  Rejected rows (HX11) are
     excluded; see ``rejects``.  ``break_on`` is the Q12 option of
     ``html.page_text``."""
-    ok = raw.filter(F.length(F.btrim(F.col("html"))) > 0)
+    ok = raw.filter(~html.is_blank("html"))
     # Each stage is its own projection and reads the previous stage's
     # columns by reference, so no large expression is repeated in the tree.
     s1 = ok.select("url", "fetch_url", "fetched_at", "ingest_seq",
@@ -47,7 +47,7 @@ def parse(raw: DataFrame, break_on: str = "close_tag") -> DataFrame:
 
 def rejects(raw: DataFrame) -> DataFrame:
     """HX11: responses the parser cannot use (empty or blank document)."""
-    return (raw.filter(F.length(F.btrim(F.col("html"))) == 0)
+    return (raw.filter(html.is_blank("html"))
             .select("url", "ingest_seq", F.lit("empty document").alias("reason")))
 
 

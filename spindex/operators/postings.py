@@ -100,17 +100,16 @@ def forward_index(postings: DataFrame, url: str | None = None) -> DataFrame:
     return p.select("url", "token", "count")
 
 
-def nested_view(postings: DataFrame, chunk_rows: int = 10000) -> DataFrame:
+def nested_view(postings: DataFrame, part_digits: int = 0) -> DataFrame:
     """AG3: token -> array<struct<url, count>> sorted by url.
 
-    A hot token would make one unbounded row, so each token is split into
-    ``ceil(doc_freq / chunk_rows)`` chunks by a hash of the URL; every chunk
-    is bounded (in expectation) by ``chunk_rows`` postings."""
-    df = doc_frequency(postings)
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("doc_freq") / F.lit(chunk_rows)))
-    with_chunk = (postings.join(df, "token")
-                  .withColumn("chunk", F.pmod(F.xxhash64("url"), chunks).cast("int")))
-    return (with_chunk.groupBy("token", "chunk")
+    ``part_digits=0``: the reference's form, one row per token.  Such a row
+    grows with the token's documents, so for large corpora a token's list is
+    split by the first ``part_digits`` hex digits of md5(url): 16 ** digits
+    parts for every token, whatever the size of the data.  The flat postings
+    stay the form that is stored and searched."""
+    part = F.substring(F.md5(F.col("url").cast("binary")), 1, part_digits)
+    return (postings.groupBy("token", part.alias("part"))
             .agg(F.array_sort(F.collect_list(F.struct("url", "count"))).alias("urls")))
 
 
@@ -130,9 +129,13 @@ def tokens_column(corpus: DataFrame, key: str = "url", text_col: str = "text",
     is bounded by the size of one text."""
     if not stem:
         return corpus.select(key, text.tokens(text_col).alias("tokens"))
-    occ = occurrences(corpus, stem=stem, key=key, text_col=text_col)
-    per_row = (occ.groupBy(key)
+    # rows are told apart by content, not by key: the same URL may hold two
+    # texts; rows equal in both share one token list
+    row = F.sha2(F.to_json(F.struct(F.col(key).alias("k"), F.col(text_col).alias("t"))), 256)
+    rows = corpus.select(key, text_col, row.alias("_row"))
+    occ = occurrences(rows.dropDuplicates(["_row"]), stem=stem, key="_row", text_col=text_col)
+    per_row = (occ.groupBy("_row")
                .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t")))
-    return (corpus.select(key).join(per_row, key, "left")
+    return (rows.select(key, "_row").join(per_row, "_row", "left")
             .select(key, F.coalesce(F.transform("_t", lambda s: s["token"]),
                                     F.array().cast("array<string>")).alias("tokens")))

@@ -128,8 +128,13 @@ def search(queries: DataFrame, postings: DataFrame, stem: bool = True, k: int =
 def results(ranked: DataFrame, pages: DataFrame) -> DataFrame:
     """SE7-SE8: join the ranked URLs to non-stub pages and add the result-page
     columns.  Candidates without a full page row are dropped (the reference
-    fails the request), and ranks are renumbered over what remains."""
-    full = pages.filter(F.col("title").isNotNull()).select("url", "title", "description")
+    fails the request), and ranks are renumbered over what remains.  Of
+    several rows of a URL the first by ``ingest_seq`` is shown (without that
+    column, the smallest title and description), so a result is listed once."""
+    first = "ingest_seq" if "ingest_seq" in pages.columns else F.struct("title", "description")
+    full = (pages.filter(F.col("title").isNotNull()).groupBy("url")
+            .agg(F.min_by(F.struct("title", "description"), first).alias("_p"))
+            .select("url", "_p.title", "_p.description"))
     joined = ranked.select("query_id", "url", "score").join(full, "url")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("url"))
     return joined.select(

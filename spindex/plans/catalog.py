@@ -30,13 +30,18 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
         F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _parsed(spark: SparkSession, sf: str) -> DataFrame:
-    """The parsed pages collection, written once (checkpoint) like the
-    reference's stored pages.  Queries then filter and join a stored table:
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The parsed pages, not stored: for queries that read them once."""
+    return pages.parse(tables.only_ok(tables.raw_pages(spark, sf)))
+
+
+def _parsed(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The given columns of the parsed pages, written once (checkpoint) like
+    the reference's stored pages.  Queries then filter and join a stored table:
     a predicate on ``urls`` or ``title`` stops at the written table instead
     of being pushed into (and re-planning) the extraction expressions."""
     checkpoint_dir(spark)
-    return pages.parse(tables.raw_pages(spark, sf)).checkpoint()
+    return _pages(spark, sf).select(*columns).checkpoint()
 
 
 # ----------------------------------------------------------------- text (TX)
@@ -115,32 +120,32 @@ def se_results_pages(spark, sf):
     """SE7-SE8, SE10, TX8, TX9: benchmark texts searched against the stemmed
     page index; results joined to the stored pages with the result-page
     columns (default texts, 200-char snippet, result count)."""
-    p = _parsed(spark, sf)
+    p = _parsed(spark, sf, "url", "text", "title", "description", "ingest_seq")
     index = postings.term_counts(p.select("url", "text"), stem=True).checkpoint()
     ranked = search.search(_queries(spark, sf), index, stem=True)
-    return search.results(ranked, p.select("url", "title", "description"))
+    return search.results(ranked, p.select("url", "title", "description", "ingest_seq"))
 
 
 # --------------------------------------------------------------- pages (HX)
 
 def hx_title_description(spark, sf):
     """SRC1, HX4, HX5."""
-    return _parsed(spark, sf).select("url", "title", "description")
+    return _pages(spark, sf).select("url", "title", "description")
 
 
 def hx_text(spark, sf):
     """HX1-HX3: document text."""
-    return _parsed(spark, sf).select("url", "text")
+    return _pages(spark, sf).select("url", "text")
 
 
 def hx_term_counts(spark, sf):
     """HX6 (stem off): page postings."""
-    return postings.term_counts(_parsed(spark, sf).select("url", "text"), stem=False)
+    return postings.term_counts(_pages(spark, sf).select("url", "text"), stem=False)
 
 
 def hx_term_counts_stemmed(spark, sf):
     """HX6 (stem on): page postings as the reference stores them."""
-    return postings.term_counts(_parsed(spark, sf).select("url", "text"), stem=True)
+    return postings.term_counts(_parsed(spark, sf, "url", "text").select("url", "text"), stem=True)
 
 
 def hx_rejects(spark, sf):
@@ -150,7 +155,7 @@ def hx_rejects(spark, sf):
 
 def hx_links(spark, sf):
     """HX7, UR4, LG3: link edges in document order."""
-    return pages.link_edges(_parsed(spark, sf)).select("src", "dst", "pos")
+    return pages.link_edges(_pages(spark, sf)).select("src", "dst", "pos")
 
 
 def ur_normalised(spark, sf):
@@ -165,7 +170,7 @@ def ur_normalised(spark, sf):
 # ------------------------------------------------------------ link graph (LG)
 
 def _graph(spark, sf):
-    parsed = _parsed(spark, sf).select("url", "urls")
+    parsed = _parsed(spark, sf, "url", "urls").select("url", "urls")
     return parsed, pages.link_edges(parsed)
 
 
@@ -205,7 +210,13 @@ def lg_frontier(spark, sf):
 
 
 def lg_bfs_depth(spark, sf):
-    """LG7/LG8: BFS depth (max 4) from the pages nothing links to."""
+    """LG7: BFS depth from the pages nothing links to."""
+    p, e = _graph(spark, sf)
+    return links.bfs_depth(p, e)
+
+
+def lg_depth_limit(spark, sf):
+    """LG8: the same, no deeper than 4."""
     p, e = _graph(spark, sf)
     return links.bfs_depth(p, e, max_depth=4)
 
@@ -221,7 +232,7 @@ def lg_depth_counts(spark, sf):
 # row of ``pages`` is processed.
 
 def _split(spark, sf):
-    p = _parsed(spark, sf)
+    p = _parsed(spark, sf, "url", "title", "description", "urls", "text", "time", "ingest_seq")
     has_q = F.col("url").contains("?")
     return p, p.filter(~has_q), p.filter(has_q)
 
@@ -242,7 +253,7 @@ def m_insert_ignore(spark, sf):
     """SNK1: stored crawl, then a re-crawl of every page (title marked,
     later ingest): stored rows win, new URLs are inserted."""
     _, ex, _ = _split(spark, sf)
-    all_pages = _parsed(spark, sf)
+    all_pages = _parsed(spark, sf, "url", "title", "ingest_seq")
     stored = ex.select("url", "title", "ingest_seq")
     again = all_pages.select("url", F.concat(F.lit("re-crawl: "), "title").alias("title"),
                              (F.col("ingest_seq") + F.lit(1000000)).alias("ingest_seq"))
@@ -322,13 +333,21 @@ def st_running_counts(spark, sf):
 
 # ------------------------------------------------------------ images (HX8-10)
 
+# The driver pages hold no <img>: these queries put an image before every link
+# of every page, its source and text the link's target.
+
+def _illustrated(spark, sf):
+    return tables.only_ok(tables.raw_pages(spark, sf)).withColumn("html", F.regexp_replace(
+        "html", '<a href="([^"]*)"', '<img src="$1" alt="to $1"><a href="$1"'))
+
+
 def _contexts(spark, sf):
-    return images.image_contexts(tables.raw_pages(spark, sf))
+    return images.image_contexts(_illustrated(spark, sf))
 
 
 def hx_images(spark, sf):
     """HX8: every <img> of every page: (page_url, img_pos, url=src, alt)."""
-    return pages.image_rows(_parsed(spark, sf)).select("page_url", "img_pos", "url", "alt")
+    return pages.image_rows(pages.parse(_illustrated(spark, sf))).select("page_url", "img_pos", "url", "alt")
 
 
 def hx_image_context(spark, sf):
@@ -357,19 +376,19 @@ def se_images(spark, sf):
 
 def scn_find(spark, sf):
     """SCN1: pages with more than 5 links, (url, title), by url, skip 10, take 20."""
-    p = _parsed(spark, sf)
+    p = _parsed(spark, sf, "url", "title", "urls")
     return scans.find(p, F.size("urls") > 5, ["url", "title"], ["url"], skip=10, limit=20)
 
 
 def scn_count(spark, sf):
     """SCN3: number of pages whose title has more than 5 words."""
-    p = _parsed(spark, sf)
+    p = _pages(spark, sf)
     return scans.count_where(p, F.size(F.split("title", " ")) > 5)
 
 
 def scn_exists(spark, sf):
     """SCN4: every distinct link target with its stored-page flag."""
-    p = _parsed(spark, sf)
+    p = _parsed(spark, sf, "url", "urls")
     targets = pages.link_edges(p).select(F.col("dst").alias("url")).distinct()
     return scans.exists(targets, "url", p)
 
@@ -383,19 +402,19 @@ def scn_time_range(spark, sf):
 
 def scn_pages_by_backlink(spark, sf):
     """SCN6: backlink pairs whose target is a stored page."""
-    p = _parsed(spark, sf)
+    p = _parsed(spark, sf, "url", "urls", "title")
     return scans.pages_linked_from(_page_backlinks(p), p.select(links.page_key("url").alias("url"), "title"))
 
 
 def scn_forward_index(spark, sf):
     """SCN7: tokens and occurrences per page (stem off)."""
-    return scans.forward_summary(postings.term_counts(_parsed(spark, sf).select("url", "text"), stem=False))
+    return scans.forward_summary(postings.term_counts(_pages(spark, sf).select("url", "text"), stem=False))
 
 
 def scn_nested_index(spark, sf):
-    """AG3: token -> [url:count, ...] (sorted by url), bounded chunks."""
-    nv = postings.nested_view(postings.term_counts(_parsed(spark, sf).select("url", "text"), stem=False))
-    return nv.select("token", "chunk", F.size("urls").cast("bigint").alias("n_urls"),
+    """AG3: token -> [url:count, ...] (sorted by url), in 256 parts by md5(url)."""
+    nv = postings.nested_view(postings.term_counts(_pages(spark, sf).select("url", "text"), stem=False), part_digits=2)
+    return nv.select("token", "part", F.size("urls").cast("bigint").alias("n_urls"),
                      F.array_join(F.transform("urls", lambda e: F.concat(e["url"], F.lit(":"),
                                                                            e["count"].cast("string"))),
                                   ",").alias("urls"))
@@ -404,7 +423,7 @@ def scn_nested_index(spark, sf):
 def ag_corpus_stats(spark, sf):
     """AG1: sizes of the page, image, page-token and image-token collections
     and the number of pages scraped, as (metric, value) rows."""
-    p = _parsed(spark, sf)
+    p = _parsed(spark, sf, "url", "title", "description", "urls", "text", "time", "ingest_seq")
     post = postings.term_counts(p.select("url", "text"), stem=False)
     ctx = _contexts(spark, sf)
     view = merge.page_view(merge.first_full_rows(p), _page_backlinks(p))
@@ -419,7 +438,7 @@ def ag_corpus_stats(spark, sf):
 
 def snk_keep_tokens(spark, sf):
     """SNK4 (upload switch off): tokens kept on the page row (stem off)."""
-    t = postings.tokens_column(_parsed(spark, sf).select("url", "text"), stem=False)
+    t = postings.tokens_column(_pages(spark, sf).select("url", "text"), stem=False)
     return t.select("url", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -449,6 +468,7 @@ QUERIES: dict[str, Query] = {
     "lg_frontier": lg_frontier,
     "lg_bfs_depth": lg_bfs_depth,
     "lg_depth_counts": lg_depth_counts,
+    "lg_depth_limit": lg_depth_limit,
     "m_page_merge": m_page_merge,
     "m_insert_ignore": m_insert_ignore,
     "m_postings_upsert": m_postings_upsert,

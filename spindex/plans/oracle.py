@@ -28,13 +28,17 @@ SELECT token, url, count, word_rank FROM (
 WHERE word_rank <= 50"""
 
 
-IMG_RE = r"(?is)<img\b[^>]*>"
-
-
-def _attr(name: str) -> str:
-    pat = r"""(?is)\s""" + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    return ("regexp_replace(regexp_extract(tag, " + O.q(pat) + ", 1), "
-            "'^\"([^\"]*)\"$|^''([^'']*)''$', '\\1\\2')")
+def _images_sql(select: str) -> str:
+    """CTE imr (url, alt, page_url, ingest_seq, img_pos): the images put before every link."""
+    html = ("regexp_replace(html, '<a href=\"([^\"]*)\"', "
+            "'<img src=\"\\1\" alt=\"to \\1\"><a href=\"\\1\"', 'g')")
+    attr = {n: O.unquoted(f"regexp_extract(tag, {O.q('(?is)' + chr(92) + 's' + n + O.VALUE)}, 1)") for n in ("src", "alt")}
+    return f"""WITH {O.parsed_pages_ctes(html)},
+im AS (SELECT url AS page_url, ingest_seq, unnest(t) AS tag, generate_subscripts(t, 1) - 1 AS img_pos
+       FROM (SELECT url, ingest_seq, regexp_extract_all(clean, {O.q('(?is)' + O.open_tag('img'))}) AS t FROM pp)),
+ia AS (SELECT page_url, ingest_seq, img_pos, {attr['src']} AS s0, {attr['alt']} AS a0 FROM im),
+imr AS (SELECT page_url, ingest_seq, img_pos, {O.decode_entities('s0', True)} AS url, {O.decode_entities('a0', True)} AS alt FROM ia)
+{select}"""
 
 
 def _graph_sql(select: str, recursive: bool = False) -> str:
@@ -58,12 +62,13 @@ seeds AS (SELECT node FROM keys WHERE node NOT IN (SELECT nxt FROM e WHERE nxt I
 {select}"""
 
 
-def _bfs_sql(select: str) -> str:
-    return _graph_sql(""",
+def _bfs_sql(select: str, limit: str = "(SELECT count(*) FROM (SELECT node FROM keys UNION SELECT nxt FROM e))") -> str:
+    """No shortest path is longer than the number of nodes."""
+    return _graph_sql(f""",
 r(node, depth) AS (
     SELECT node, 0 FROM seeds
     UNION
-    SELECT e.nxt, r.depth + 1 FROM r JOIN e ON e.node = r.node WHERE r.depth < 4),
+    SELECT e.nxt, r.depth + 1 FROM r JOIN e ON e.node = r.node WHERE r.depth < {limit}),
 walk AS (SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node)
 """ + select, recursive=True)
 
@@ -86,7 +91,7 @@ SQL: dict[str, str] = {
     "hx_term_counts": f"WITH {O.parsed_pages_ctes()}\n{O.postings_nostem('pp')}",
     "hx_term_counts_stemmed": _hx_stemmed(),
     "hx_rejects": (f"WITH {O.parsed_pages_ctes()}\nSELECT url, 'empty document' AS reason FROM rp "
-                   f"WHERE length(trim(html)) = 0"),
+                   f"WHERE NOT regexp_matches(html, {O.NOT_BLANK})"),
     "hx_links": f"WITH {O.parsed_pages_ctes()},\n{O.links_ctes()}\nSELECT src, dst, pos FROM lk",
     "ur_normalised": (f"SELECT page_id, {O.format_url('url')} AS formatted, {O.remove_fragments('url')} AS no_fragment, "
                       f"lower(regexp_extract(url, {O.q(SCHEME_RE)}, 1)) AS scheme, "
@@ -143,9 +148,9 @@ SQL: dict[str, str] = {
                           f"SELECT url, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(count) AS BIGINT) AS n_occurrences "
                           f"FROM allp GROUP BY url"),
     "scn_nested_index": (f"WITH {O.parsed_pages_ctes()},\nallp AS ({O.postings_nostem('pp')})\n"
-                         f"SELECT token, 0 AS chunk, CAST(count(*) AS BIGINT) AS n_urls, "
+                         f"SELECT token, substr(md5(url), 1, 2) AS part, CAST(count(*) AS BIGINT) AS n_urls, "
                          f"string_agg(url || ':' || CAST(count AS VARCHAR), ',' ORDER BY url) AS urls "
-                         f"FROM allp GROUP BY token"),
+                         f"FROM allp GROUP BY 1, 2"),
     "ag_corpus_stats": _graph_sql(
         "SELECT * FROM (VALUES ('scraped', (SELECT CAST(count(*) AS BIGINT) FROM pp)), "
         "('pages', (SELECT CAST(count(*) AS BIGINT) FROM (SELECT node FROM keys UNION SELECT url FROM indeg))), "
@@ -155,16 +160,11 @@ SQL: dict[str, str] = {
     "snk_keep_tokens": (f"WITH {O.parsed_pages_ctes()}\nSELECT url, array_to_string({O.tokens('text')}, ' ') AS tokens "
                         f"FROM pp"),
     "se_results_pages": O.results_pages_sql(),
-    "hx_images": (f"WITH {O.parsed_pages_ctes()},\nim AS (SELECT url AS page_url, unnest(t) AS tag, "
-                  f"generate_subscripts(t, 1) - 1 AS img_pos FROM (SELECT url, regexp_extract_all(clean, "
-                  f"{O.q(IMG_RE)}) AS t FROM pp))\nSELECT page_url, CAST(img_pos AS INTEGER) AS img_pos, "
-                  f"{O.decode_entities(_attr('src'))} AS url, {O.decode_entities(_attr('alt'))} AS alt FROM im"),
-    "m_images_insert_ignore": (f"WITH {O.parsed_pages_ctes()},\nim AS (SELECT url AS page_url, ingest_seq, unnest(t) AS tag, "
-                               f"generate_subscripts(t, 1) AS img_pos FROM (SELECT url, ingest_seq, regexp_extract_all(clean, "
-                               f"{O.q(IMG_RE)}) AS t FROM pp)),\nimr AS (SELECT {O.decode_entities(_attr('src'))} AS url, "
-                               f"{O.decode_entities(_attr('alt'))} AS alt, page_url, ingest_seq, img_pos FROM im)\n"
-                               f"SELECT url, arg_min(alt, (ingest_seq, img_pos)) AS alt, "
-                               f"arg_min(page_url, (ingest_seq, img_pos)) AS page_url FROM imr GROUP BY url"),
+    "hx_images": _images_sql("SELECT page_url, CAST(img_pos AS INTEGER) AS img_pos, url, alt FROM imr"),
+    "m_images_insert_ignore": _images_sql(
+        "SELECT url, arg_min(alt, (ingest_seq, img_pos)) AS alt, "
+        "arg_min(page_url, (ingest_seq, img_pos)) AS page_url FROM imr GROUP BY url"),
     "lg_bfs_depth": _bfs_sql("SELECT node AS url, depth FROM walk"),
+    "lg_depth_limit": _bfs_sql("SELECT node AS url, depth FROM walk", limit="4"),
     "lg_depth_counts": _bfs_sql("SELECT depth, CAST(count(*) AS BIGINT) AS n FROM walk GROUP BY depth"),
 }

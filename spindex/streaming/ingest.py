@@ -2,11 +2,13 @@
 
 A crawl is an unbounded stream of raw pages.  Each micro-batch goes through
 the same batch operators and is fanned out, in the reference's flush order,
-to three tables under one output folder:
+to the tables of one output folder:
 
-    pages/batch_id=N     parsed page rows                      (ST2)
-    links/batch_id=N     (url, backlink) pairs                 (ST5)
-    postings/batch_id=N  (token, url, count) delta             (ST3)
+    postings/batch_id=N        (token, url, count) delta             (ST3)
+    image_postings/batch_id=N  (token, url, count) delta of images   (M4)
+    images/batch_id=N          (url, alt, page_url) rows             (M2)
+    pages/batch_id=N           parsed page rows                      (ST2)
+    links/batch_id=N           (url, backlink) pairs                 (ST5)
 
 Each write overwrites its own ``batch_id`` partition, so a micro-batch that
 is replayed after a failure leaves the tables unchanged (idempotent sink).
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import links, merge, pages, postings
+from ..operators import images, links, merge, pages, postings
 from ..session import checkpoint_dir
 from ..sources import tables
 
@@ -56,17 +58,26 @@ def _write_partition(df: DataFrame, folder: str, batch_id: int) -> None:
 
 
 def fan_out(out: str, stem: bool = True):
-    """SNK2/SNK3: the ``foreachBatch`` function -- parse once, then write
-    pages, links (backlinks) and the postings delta, in that order."""
+    """SNK2/SNK3: the ``foreachBatch`` function -- parse once, then write the
+    token postings, image postings, images, pages and links (backlinks), in
+    that order.  ``run.seen`` holds the pages of each batch it has written."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        parsed = pages.parse(tables.only_ok(batch)).persist()
+        ok = tables.only_ok(batch)
+        parsed = pages.parse(ok).drop("images").persist()
+        contexts = images.image_contexts(ok).persist()
         try:
-            _write_partition(parsed.drop("text", "images"), f"{out}/pages", batch_id)
-            _write_partition(links.backlinks(pages.link_edges(parsed)), f"{out}/links", batch_id)
             _write_partition(postings.term_counts(parsed.select("url", "text"), stem=stem),
                              f"{out}/postings", batch_id)
+            _write_partition(images.image_postings(contexts, stem=stem), f"{out}/image_postings", batch_id)
+            rows = contexts.select(F.col("src").alias("url"), "alt", "page_url", "ingest_seq", "img_pos")
+            _write_partition(rows, f"{out}/images", batch_id)
+            _write_partition(parsed.drop("text"), f"{out}/pages", batch_id)
+            _write_partition(links.backlinks(pages.link_edges(parsed)), f"{out}/links", batch_id)
+            run.seen[batch_id] = parsed.count()
         finally:
             parsed.unpersist()
+            contexts.unpersist()
+    run.seen = {}
     return run
 
 
@@ -74,16 +85,16 @@ def ingest(raw_stream: DataFrame, out: str, stem: bool = True) -> dict:
     """Run the fan-out over everything available now and wait for it.
 
     Returns the run summary of AG1 that is not a table size: elapsed seconds,
-    micro-batches and pages read (from the query's progress reports)."""
+    micro-batches and pages scraped, counted as they are written (a replayed
+    batch counts once; the query's progress reports keep only the last ones)."""
     t0 = time.time()
-    q = (raw_stream.writeStream.foreachBatch(fan_out(out, stem))
+    run = fan_out(out, stem)
+    q = (raw_stream.writeStream.foreachBatch(run)
          .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    progress = q.recentProgress
-    rows = sum(int(getattr(p, "numInputRows", None) if not isinstance(p, dict) else p.get("numInputRows", 0)) or 0
-               for p in progress)
-    return {"elapsed_sec": round(time.time() - t0, 3), "batches": len(progress), "pages_read": rows}
+    return {"elapsed_sec": round(time.time() - t0, 3), "batches": len(run.seen),
+            "pages_read": sum(run.seen.values())}
 
 
 def read_postings(spark: SparkSession, out: str) -> DataFrame:
@@ -94,8 +105,23 @@ def read_postings(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, out: str) -> DataFrame:
-    """ST2 read side: first full row per URL key across all batches."""
-    return merge.first_full_rows(spark.read.parquet(f"{out}/pages"))
+    """ST2 read side: first full row per URL key across all batches; an
+    earlier batch comes first, whatever its ``ingest_seq``."""
+    return merge.first_full_rows(spark.read.parquet(f"{out}/pages"), ("batch_id", "ingest_seq"))
+
+
+def read_images(spark: SparkSession, out: str) -> DataFrame:
+    """M2 read side: one row per image URL, the first one ingested."""
+    rows = spark.read.parquet(f"{out}/images")
+    best = F.min_by(F.struct("url", "alt", "page_url"), F.struct("batch_id", "ingest_seq", "img_pos"))
+    return rows.groupBy("url").agg(best.alias("_r")).select("_r.*")
+
+
+def read_image_postings(spark: SparkSession, out: str) -> DataFrame:
+    """M4 read side: image deltas summed per (token, url)."""
+    d = spark.read.parquet(f"{out}/image_postings")
+    return (d.groupBy("token", "url").agg(F.sum("count").alias("count"))
+            .select(*postings.POSTINGS_COLUMNS))
 
 
 def read_backlinks(spark: SparkSession, out: str) -> DataFrame:
@@ -108,7 +134,7 @@ def running_counts(raw_stream: DataFrame, out: str) -> None:
     update mode; each micro-batch's updated counts go to their own
     ``batch_id`` partition.  The state grows with the distinct pairs (no
     event time to expire it), so this is for bounded inputs."""
-    parsed = pages.parse(raw_stream)
+    parsed = pages.parse(tables.only_ok(raw_stream))
     occ = postings.occurrences(parsed.select("url", "text"), stem=False)
     counts = occ.groupBy("token", "url").agg(F.count(F.lit(1)).alias("count"))
 

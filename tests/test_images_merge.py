@@ -83,3 +83,34 @@ def test_insert_ignore_first_wins(spark):
     got = {r.key: r.v for r in merge.insert_ignore(a, b, "key").collect()}
     assert got == {"k": "old", "j": "y"}
     assert F is not None
+
+
+def test_stored_row_wins_over_earlier_numbered_batch(spark):
+    merged = merge.merge_pages(_pages(spark, [("http://u", "OLD", 9)]), _pages(spark, [("http://u", "NEW", 3)]))
+    assert [r.title for r in merged.collect()] == ["OLD"]
+
+
+def test_left_out_end_tags(spark):
+    html = f"<ul><li>one <img src='a.png'><li>two {'x' * 400}</ul>"
+    row = images.image_contexts(_raw(spark, [("http://h/l", "<html><body>" + html)])).first()
+    assert len(row.context) > 400        # the list itself, as the first item is short
+    html = f"<table><tr><td>{'y' * 301}<img src='b.png'><td>second</table>"
+    row = images.image_contexts(_raw(spark, [("http://h/t", "<html><body>" + html)])).first()
+    assert row.context == "y" * 301
+
+
+def test_nested_view_and_repeated_urls(spark):
+    post = spark.range(12000).selectExpr("'tok' AS token", "concat('u', id) AS url", "1L AS count")
+    assert [len(r.urls) for r in postings.nested_view(post).collect()] == [12000]
+    parts = postings.nested_view(post, part_digits=1).collect()
+    assert len(parts) == 16 and sum(len(r.urls) for r in parts) == 12000
+    rows = spark.createDataFrame([("u", "cat fish"), ("u", "dog"), ("u", "dog"), (None, "cow")], "url string, text string")
+    got = sorted((r.url or "", r.tokens) for r in postings.tokens_column(rows).collect())
+    assert got == [("", ["cow"]), ("u", ["cat", "fish"]), ("u", ["dog"]), ("u", ["dog"])]
+
+
+def test_result_page_lists_a_repeated_url_once(spark):
+    from spindex.operators import search
+    ranked = spark.createDataFrame([(1, 1, "u", 5)], "query_id long, rank long, url string, score long")
+    got = search.results(ranked, _pages(spark, [("u", "T2", 2), ("u", "T1", 1)])).collect()
+    assert [(r.title, r.n_results) for r in got] == [("T1", 1)]

@@ -37,3 +37,11 @@ def test_frontier_scope(spark):
     doms = spark.createDataFrame([("d",)], "domain string")
     assert [r.url for r in links.frontier(pages, edges, doms).collect()] == ["http://d"]
     assert [r.url for r in links.frontier(pages, edges, None).collect()] == ["http://d"]
+
+
+def test_bfs_without_a_limit(spark):
+    pages = spark.createDataFrame([(f"http://{i}", [f"http://{i + 1}"]) for i in range(7)], "url string, urls array<string>")
+    edges = (pages.select(F.col("url").alias("src"), F.posexplode("urls").alias("pos", "dst"))
+             .withColumn("dst_key", F.col("dst")))
+    depth = {r.url: r.depth for r in links.bfs_depth(pages, edges).collect()}
+    assert depth == {f"http://{i}": i for i in range(8)}

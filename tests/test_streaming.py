@@ -43,3 +43,28 @@ def test_stream_run_summary(spark, tmp_path):
     assert summary["pages_read"] == 2 and summary["batches"] >= 1
     assert _counts(ingest.read_postings(spark, out)) == [("alpha", "http://h/a", 1), ("beta", "http://h/a", 1),
                                                          ("gamma", "http://h/b", 1)]
+
+
+def test_images_and_earlier_batch_wins(spark, tmp_path):
+    out = str(tmp_path / "out")
+    run = ingest.fan_out(out, stem=False)
+    run(_raw(spark, [("http://h/a", "<title>First</title><p>kitten <img src='i.png' alt='one'></p>")], start=9), 0)
+    later = _raw(spark, [("http://h/a", "<title>Second</title><p>puppy <img src='i.png' alt='two'></p>")], start=3)
+    run(later, 1)
+    run(later, 1)
+    assert [r.title for r in ingest.read_pages(spark, out).collect()] == ["First"]
+    assert [(r.url, r.alt) for r in ingest.read_images(spark, out).collect()] == [("i.png", "one")]
+    got = {(t, n) for t, _, n in _counts(ingest.read_image_postings(spark, out))}
+    assert got == {("first", 1), ("kitten", 1), ("one", 1), ("second", 1), ("puppy", 1), ("two", 1)}
+
+
+def test_summary_counts_every_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        for i in range(4):
+            (spark.createDataFrame([(i, f"http://h/{i}", "<p>word</p>")], ingest.DRIVER_PAGES_SCHEMA).coalesce(1)
+             .write.mode("append").parquet(str(tmp_path / "in")))
+        got = ingest.ingest(ingest.raw_page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), stem=False)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert (got["batches"], got["pages_read"]) == (4, 4)

@@ -88,3 +88,47 @@ def test_break_on_any_tag(spark):
     any_tag = pages.parse(tables.responses(raw), break_on="any_tag").first().text.split()
     assert default == ["abcd", "efgh"]
     assert any_tag == ["ab", "cd", "ef", "gh"]
+
+
+def test_comments_and_scripts_leftmost_first(spark):
+    p = _parse(spark, "http://h/p", "<!-- <script> --><p>kept words</p><script>v=1</script><p>tail</p>").first()
+    assert p.text.split() == ["kept", "words", "tail"]
+
+
+def test_greater_than_inside_attribute(spark):
+    p = _parse(spark, "http://h/p", "<img alt=\"x > y\" src=\"z.png\"><p title=don't>a < b</p><i class=\"x>c</i>").first()
+    assert [(i.src, i.alt) for i in p.images] == [("z.png", "x > y")]
+    assert p.text.split() == ["a", "<", "b", "c"]
+
+
+def test_long_tag_does_not_recurse(spark):
+    long = "".join(f" a{i}='{i}'" for i in range(20000)) + f' data="{"y" * 200000}"'
+    p = _parse(spark, "http://h/p", f"<p{long}>one</p><a{long} href='/z'>two</a>").first()
+    assert p.text.split() == ["one", "two"] and list(p.urls) == ["http://h/z"]
+
+
+def test_meta_description_attributes(spark):
+    def described(tags):
+        return _parse(spark, "http://h/p", tags + "<p>x</p>").first().description
+    assert described('<meta data-name="description" content="X"><meta name="description" content="Y">') == "Y"
+    assert described('<meta NAME="description" data-content="X" CONTENT="Y">') == "Y"
+    assert described('<meta name="Description" content="X">') == ""
+
+
+def test_element_names_are_whole(spark):
+    p = _parse(spark, "http://h/p", '<a-card href="/bad">b</a-card><a href="/good">g</a><imgx src="n">').first()
+    assert list(p.urls) == ["http://h/good"] and list(p.images) == []
+
+
+def test_character_references(spark):
+    s = "caf&eacute; &copy B &#000000065; &notit; &unknown; &amp;lt; &#x110000; &#123456789012; A&T"
+    df = spark.createDataFrame([(s, "?a=1&copy=2&copyright&lt;")], "t string, u string")
+    got = df.select(html.decode_entities("t").alias("d"), html.decode_entities("u", attribute=True).alias("a")).first()
+    assert got.d == "café © B A ¬it; &unknown; &lt; � � A&T"
+    assert got.a == "?a=1&copy=2&copyright<"
+
+
+def test_white_space_page_is_rejected(spark):
+    raw = spark.createDataFrame([("http://h/e", "\n \t", 200, None, None, 1)], tables.RAW_PAGES_SCHEMA)
+    assert pages.parse(tables.responses(raw)).count() == 0
+    assert pages.rejects(tables.responses(raw)).count() == 1
