@@ -1,7 +1,18 @@
-"""Removal of repeated passages by content-defined line chunks, in DataFrame
-functions only.
+"""Removal of repeated passages of whole lines, in DataFrame functions only.
 
-A line's hash is the leading 32 bits of its md5.  A chunk ends after a line
+:func:`dedup_passages` is the operator.  A line goes if it is part of a run of
+two or more lines, not all of them white space, that occurred earlier, by (key,
+position in the text), or if it has ``MIN_WORDS`` words or more and occurred
+earlier itself.  Every run of two or more lines is covered by its pairs of
+neighbours, so each pair and each long line is looked up once, by the SHA-256
+of its bytes: nothing depends on where a passage begins or ends, nor on the
+lines around it.  The first occurrence of a line is never removed.  White space
+beside white space is no pair.
+
+:func:`dedup_lines` is the coarser rule that came before it (whole chunks that
+recur), which the SQL twin and its tests describe.
+
+Chunks.  A line's hash is the leading 32 bits of its md5.  A chunk ends after a line
 where the rolling hash over the last two line hashes is 0 modulo ``DIVISOR``
 (and at the end of the text): the boundary depends on the lines around it
 alone, so a passage is cut the same way wherever it is shifted.  Chunks of at
@@ -9,9 +20,9 @@ least two lines that occur more than once in the table are found by hash and
 then compared byte by byte; every occurrence but the first, by (key, position
 in the text), is removed.
 
-Chunks of white space only are never removed.  A null text stays null with 0
+White space only is never removed for itself.  A null text stays null with 0
 lines.  Rows that share key and text are one document here: they lose the same
-chunks, and none because of each other.
+lines, and none because of each other.
 """
 
 from __future__ import annotations
@@ -23,6 +34,7 @@ from .common import stored
 
 DIVISOR = 3
 MIN_LINES = 2
+MIN_WORDS = 50
 
 
 def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
@@ -85,3 +97,44 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", diviso
         F.col("k").alias(key), F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
         F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n_lines") - n_left).cast("long").alias("removed_lines"),
         F.regexp_replace("left", "(?dm)^L", "").alias("text"))
+
+
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``k, h`` (hash of the text), ``no`` (of the first line), ``lines`` (1 or 2) and ``digest`` of
+    every line of ``min_words`` words or more and of every pair of neighbouring lines."""
+    split = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"),
+                        F.split(F.col(text), "\n", -1).alias("lines"))
+    after = F.concat(F.expr("slice(lines, 2, size(lines))"), F.array(F.lit(None).cast("string")))
+    rows = split.select("k", "h", F.posexplode(F.zip_with("lines", after, lambda x, y: F.struct(
+        x.alias("x"), y.alias("y")))).alias("no", "p")).select("k", "h", "no", "p.x", "p.y")
+    # anchored and possessive: one look at the line
+    long = F.col("x").rlike(r"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (min_words - 1))
+    filled = F.concat("x", "y").rlike(r"[^\x20\x09-\x0D]")  # null after the last line
+    digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    item = lambda n, c: F.struct(F.lit(n).alias("lines"), digest(c).alias("digest"))
+    items = F.array(F.when(long, item(1, F.col("x"))), F.when(filled, item(2, F.concat("x", F.lit("\n"), "y"))))
+    return rows.select("k", "h", "no", F.explode(items).alias("i")).where("i IS NOT NULL").select(
+        "k", "h", "no", "i.lines", "i.digest")
+
+
+def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``key, n_lines, removed_lines, text`` (what is left of it), one row per row of ``docs``."""
+    found = stored(passages(docs, key, text, min_words), "passages")
+    at = F.struct("k", "h", "no")
+    # seen at two places at least; written, so that a join on it may split a hot digest's rows
+    repeated = stored(found.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(
+        ~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "repeated")
+    gone = (found.join(repeated, "digest").where(~at.eqNullSafe(F.col("first")))
+            .select("k", "h", F.explode(F.sequence("no", F.col("no") + F.col("lines") - 1)).alias("no"))
+            .groupBy("k", "h").agg(F.collect_set("no").alias("nos")))
+    split = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.split(F.col(text), "\n", -1).alias("lines"))
+    left = split.alias("d").join(gone.alias("g"), F.col("d.k").eqNullSafe(F.col("g.k")) & F.col("d.h").eqNullSafe(
+        F.col("g.h")), "left")
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    stay = F.when(F.col("nos").isNull(), F.col("lines")).otherwise(
+        F.transform(F.array_except(every, "nos"), lambda i: F.get("lines", i)))
+    known = F.col("lines").isNotNull()
+    return left.select(
+        F.col("d.k").alias(key), F.when(known, F.size("lines")).otherwise(0).cast("long").alias("n_lines"),
+        F.when(F.col("nos").isNotNull(), F.size("nos")).otherwise(0).cast("long").alias("removed_lines"),
+        F.array_join(stay, "\n").alias("text"))

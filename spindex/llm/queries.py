@@ -46,7 +46,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.dedup_passages(table(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

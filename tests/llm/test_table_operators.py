@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindex.llm import ann, exact, jaccard, lines, shingles, warc
+from spindex.llm import ann, exact, jaccard, lines, queries, shingles, warc
 from spindex.llm.common import shared_path
 
 # ----------------------------------------------------------------- 3 WARC
@@ -380,6 +380,67 @@ def test_lines_are_native(docs_of):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def plain_passages(rows):
+    """By (key, position): later occurrences of two neighbouring lines or of a line of 50 words or more go."""
+    seen, out = set(), []
+    for k, t in sorted(rows):
+        if t is None:
+            out.append((k, 0, 0, None))
+            continue
+        parts, gone = t.split("\n"), set()
+        for i in range(len(parts)):
+            for n in (1, 2):
+                run = tuple(parts[i:i + n])
+                if len(run) < n or not "".join(run).strip(" \t\n\v\f\r") or n == 1 and len(run[0].split()) < 50:
+                    continue
+                if run in seen:
+                    gone |= set(range(i, i + n))
+                seen.add(run)
+        out.append((k, len(parts), len(gone), "\n".join(x for i, x in enumerate(parts) if i not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_planted_passages_go_whole(spark, docs_of, tmp_path, size):
+    """Passages of over 50 words in 1 to 4 lines, anywhere in a text: all lines but the first occurrence's go."""
+    rng = random.Random(size)
+    planted = [[" ".join(f"p{size}x{i}y{j}w{w}" for w in range(60 // size + 1)) for j in range(size)] for i in range(8)]
+    rows, held = [], {}
+    for k in range(40):
+        own = [f"own {k} {i}" for i in range(rng.randrange(7))]
+        at = rng.randrange(len(own) + 1)
+        rows.append((k, "\n".join(own[:at] + planted[k % 8] + own[at:])))
+        held[k] = own
+    rows += [(50, "short\nalone"), (51, "short"), (52, "x\nshort\ny")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[k]["text"] == "\n".join(held[k]) and got[k]["removed_lines"] == size for k in range(8, 40))
+    assert all(got[k]["removed_lines"] == 0 for k in [*range(8), 50, 51, 52])
+
+
+def test_passages(docs_of):
+    rng = random.Random(12)
+    shared = [[f"shared {i} {j}" for j in range(9)] for i in range(4)]
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = []
+    for k in range(60):
+        body = [f"own {k} {i}" for i in range(rng.randrange(6))]
+        for s in rng.sample(shared, rng.randrange(3)):
+            a = rng.randrange(8)
+            body[rng.randrange(len(body) + 1):0] = s[a:a + rng.randrange(1, 5)]
+        rows.append((k, "\n".join(body)))
+    rows += [(100, None), (101, ""), (102, "\n\n\n"), (103, "\n\n\n"), (104, "a\nb\na\nb\na\nb\na\nb"), (105, "line\n" * 20_000),
+             (106, long), (107, f" {long}"), (108, f"q\n{long}\nr"), (109, long[:-4]), (110, long[:-4]), (111, "w" * 60_000)]
+    got = sorted((r["doc_id"], r["n_lines"], r["removed_lines"], r["text"]) for r in lines.dedup_passages(docs_of(rows)).collect())
+    assert got == plain_passages(rows)
+    assert {k: n for k, _, n, _ in got if k >= 106} == {106: 0, 107: 0, 108: 1, 109: 0, 110: 0, 111: 0}
+    same = [(1, "x y\nz z\nq"), (1, "x y\nz z\nq"), (None, "u\nv")]
+    assert {(r["doc_id"], r["removed_lines"]) for r in lines.dedup_passages(docs_of(same)).collect()} == {(1, 0), (None, 0)}
+    assert lines.dedup_passages(docs_of(rows).limit(0)).count() == 0
+    plan = lines.dedup_passages(docs_of([(1, "a\nb")]))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 # --------------------------------------------------------------- pipeline
 
 def test_pipeline(spark, data, tmp_path):
