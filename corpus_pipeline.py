@@ -13,15 +13,18 @@ from spindex.llm import bpe, exact, jaccard, langid, mixing
 from spindex.llm.common import stored, table
 from spindex.llm.queries import WORD_BPE
 
-#: A document is rejected when its language can't be told: no letter, or a best
-#: one-versus-rest score (0 to 1) that speaks clearly against every language.
+#: A document is rejected when its language can't be told: no letter, n-grams
+#: that none of the languages has (langid), or a best one-versus-rest score (0 to
+#: 1) that speaks clearly against every language.  The best score is 1 / L at
+#: least with L languages, so the last can only occur with more than four.
 MIN_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is identified."""
-    found = langid.annotate(docs, langid.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_SCORE)).select(*docs.columns)
+    found = langid.annotate(docs, langid.train(docs), foreign="__foreign")
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_SCORE) & ~F.col("__foreign")).select(
+        *docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

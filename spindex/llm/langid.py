@@ -12,6 +12,13 @@ Training takes a documented, bounded sample: about ``MAX_TRAIN`` labelled rows
 over all languages, the same number of each (those with the smallest key
 hashes), and ``LANDMARKS`` of them as landmarks.  Scoring reads whole texts.
 
+Whether a text is in any of the languages is told by its *familiarity*, which
+doesn't depend on their number: the share of its distinct letter trigrams (of
+letter pairs or letters, if it has no longer ones) that ``COMMON`` of some
+language's landmarks have.  A text is foreign if its familiarity is below half
+of the training rows' median (each looked up without itself) by more than one
+standard error, so a few junk rows among the labelled ones don't move the cut.
+
 A text that is null or has no letter is ``und`` with score 0; so is every text
 if there is no labelled row.  Ties go to the language that is first in order.
 """
@@ -28,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import freeing, held_out, small_batches
 
 MAX_TRAIN, LANDMARKS, RIDGE = 2400, 160, 1e-2
+COMMON = 0.2  # of a language's landmarks, two at least
 _SIZES = (0, 256, 256 + 65536, 256 + 65536 + (1 << 24))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -51,10 +59,21 @@ def grams(text: bytes) -> np.ndarray:
 
 class Model:
     """``names``: languages; ``vocab``: the landmarks' n-grams; ``weights``
-    (n-grams x languages) and ``bias`` give the scores."""
+    (n-grams x languages) and ``bias`` give the scores; ``common`` marks the
+    n-grams that make a text familiar, ``cut`` is the least familiarity."""
 
-    def __init__(self, names: list[str], vocab: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+    def __init__(self, names: list[str], vocab: np.ndarray, weights: np.ndarray, bias: np.ndarray, common: np.ndarray,
+                 cut: float):
         self.names, self.vocab, self.weights, self.bias = names, vocab, weights.astype(np.float32), bias
+        self.common, self.cut = np.append(common, False), cut
+
+    def foreign(self, s: np.ndarray) -> bool:
+        """A text's n-grams are too few of any language's, beyond one standard error."""
+        own = of_letters(s)
+        if not len(own):
+            return False
+        share = self.common[_lookup(self.vocab)[own]].mean()
+        return bool(share + np.sqrt(self.cut * (1 - self.cut) / len(own)) < self.cut)
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         lookup = _lookup(self.vocab)
@@ -65,6 +84,49 @@ class Model:
         return (presence[:, :-1] @ self.weights) / size[:, None] + self.bias
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = _LETTER[128:] = True  # ASCII letters and all bytes of other characters
+
+
+def of_letters(s: np.ndarray) -> np.ndarray:
+    """The longest n-grams of a set that are made of letters alone."""
+    for size in (2, 1, 0):
+        v = s[(s >= _SIZES[size]) & (s < _SIZES[size + 1])]
+        b = v - _SIZES[size]
+        v = v[np.logical_and.reduce([_LETTER[(b >> (8 * i)) & 255] for i in range(size + 1)])]
+        if len(v):
+            return v
+    return s[:0]
+
+
+def _common(sets: list[np.ndarray], langs: list[str], chosen: list[int], vocab: np.ndarray) -> tuple[np.ndarray, float]:
+    """Which n-grams of the vocabulary are common, and the least familiarity of a text that isn't foreign."""
+    if not len(vocab):
+        return np.zeros(0, bool), 0.0
+
+    def place(s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(vocab, s), len(vocab) - 1)
+        return at[vocab[at] == s]
+    spare = {}  # landmarks that have the n-gram, beyond those it needs
+    for name in sorted({langs[i] for i in chosen}):
+        own = [i for i in chosen if langs[i] == name]
+        spare[name] = -np.full(len(vocab), max(2, int(np.ceil(COMMON * len(own)))))
+        for i in own:
+            spare[name][place(sets[i])] += 1
+    common = np.logical_or.reduce([x >= 0 for x in spare.values()])
+    landmark, shares = set(chosen), []
+    for i, s in enumerate(sets):
+        tri = of_letters(s)
+        at = place(tri)
+        if i in landmark:  # without itself
+            hit = np.logical_or.reduce([x[at] >= (name == langs[i]) for name, x in spare.items()])
+        else:
+            hit = common[at]
+        if len(tri):
+            shares.append(hit.sum() / len(tri))
+    return common, float(np.median(shares)) / 2 if shares else 0.0
+
+
 def _lookup(vocab: np.ndarray) -> np.ndarray:
     """n-gram number to column, made once per worker; the last column is for all others."""
     mark = vocab.tobytes()
@@ -100,7 +162,7 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     penalty = ridge * len(sets) / max(1, features.shape[1]) * np.eye(features.shape[1])
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(features.T @ features + penalty, features.T @ target)
-    return Model(names, vocab, z.T @ (half @ beta[:-1]), beta[-1])
+    return Model(names, vocab, z.T @ (half @ beta[:-1]), beta[-1], *_common(sets, langs, chosen, vocab))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -133,26 +195,32 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def annotate(docs: DataFrame, model: Model | None, text: str = "text", name: str = "lang_pred",
-             score: str = "lang_score") -> DataFrame:
+             score: str = "lang_score", foreign: str | None = None) -> DataFrame:
     """``docs`` with the columns ``name`` and ``score`` (0 to 1) added, in place of
-    any that are called so.  Only the text is looked at."""
+    any that are called so, and ``foreign`` (boolean) if that is given.  Only the
+    text is looked at."""
     spark = docs.sparkSession
     small_batches(spark, 256)
     if model is None:
-        return docs.withColumns({name: F.lit("und"), score: F.lit(0.0)})
+        return docs.withColumns({name: F.lit("und"), score: F.lit(0.0)} | ({foreign: F.lit(False)} if foreign else {}))
     shared = spark.sparkContext.broadcast(model)  # n-grams of LANDMARKS texts: bounded
 
     def scored(m: Model, texts: list[bytes | None]) -> pa.Array:
         known = [i for i, t in enumerate(texts) if t is not None]
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        names, scores, strange = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
         for at in range(0, len(known), 256):
             block = known[at:at + 256]
-            s = m.scores([grams(texts[i]) for i in block])
+            sets = [grams(texts[i]) for i in block]
+            s = m.scores(sets)
             for i, j, top in zip(block, s.argmax(1), s.max(1)):
                 names[i], scores[i] = m.names[j], float(min(1.0, max(0.0, (top + 1) / 2)))
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["name", "score"])
+            if foreign:
+                for i, own in zip(block, sets):
+                    strange[i] = m.foreign(own)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()),
+                                           pa.array(strange, pa.bool_())], ["name", "score", "foreign"])
 
-    @F.arrow_udf("struct<name: string, score: double>")
+    @F.arrow_udf("struct<name: string, score: double, foreign: boolean>")
     def each(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             for column in columns:
@@ -163,7 +231,8 @@ def annotate(docs: DataFrame, model: Model | None, text: str = "text", name: str
             pa.default_memory_pool().release_unused()
 
     found = docs.withColumn("__found", each(F.when(F.col(text).rlike(r"\p{L}"), F.col(text).cast("binary"))))
-    return found.withColumns({name: F.col("__found.name"), score: F.col("__found.score")}).drop("__found")
+    more = {foreign: F.col("__found.foreign")} if foreign else {}
+    return found.withColumns({name: F.col("__found.name"), score: F.col("__found.score")} | more).drop("__found")
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -212,6 +212,25 @@ def test_language_edges(docs_of):
     assert langid.identify(none.limit(0)).count() == 0
 
 
+def test_foreign_texts_are_rejected(spark, data):
+    """Foreign script and random letters go in the pipeline's first stage, even if labelled; all clean documents stay."""
+    import corpus_pipeline as p
+
+    rng = random.Random(5)
+    base = spark.read.parquet(f"{data}/documents.parquet")
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 10)))
+    scripts = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x4F00))),
+               "abcdefghijklmnopqrstuvwxyz"]
+    planted = [(9000 + i, " ".join(word(scripts[i % 4]) for _ in range([12, 60, 400][i % 3])), ["en", "de", None][i // 4 % 3], "src0", 1)
+               for i in range(24)]
+    planted += [(9100, "Это обычный русский текст о погоде и природе", "en", "src0", 1), (9101, "今日は天気がいいですね", "fr", "src0", 1)]
+    docs = base.unionByName(spark.createDataFrame(planted, base.schema))
+    left = p.language_id(spark, docs, data)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(r["doc_id"] for r in base.collect())
+    found = langid.annotate(docs, langid.train(docs)).where("doc_id >= 9000").collect()
+    assert all(r["lang_pred"] != "und" and r["lang_score"] >= p.MIN_SCORE for r in found)  # the score alone keeps them
+
+
 def test_kernel_is_presence_of_distinct_grams():
     got = set(langid.grams(b"AbabA").tolist())
     text = b"ababa"
