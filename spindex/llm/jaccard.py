@@ -33,6 +33,7 @@ Repeated keys are separate rows; a component's id is its smallest key.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -119,13 +120,13 @@ def fold(sketch: bytes, length: int) -> np.ndarray:
     return words
 
 
-_SCAN = [("kind", "int"), ("k", None), ("node", "long"), ("n", "long"), ("ref", "long"), ("sketch", "binary"),
-         ("region", "long"), ("member", "long"), ("pivot", "long"), ("part", "int"), ("low", "binary"),
+_SCAN = [("kind", "int"), ("k", None), ("node", "long"), ("n", "long"), ("digest", "binary"), ("ref", "long"),
+         ("sketch", "binary"), ("region", "long"), ("member", "long"), ("pivot", "long"), ("part", "int"), ("low", "binary"),
          ("high", "binary"), ("who", "binary")]
 
 
 def _scan(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, parts: int) -> DataFrame:
-    """One pass over the texts.  kind 0: a row's (k, node, n).  kind 1: a node
+    """One pass over the texts.  kind 0: a row's (k, node, n, digest).  kind 1: a node
     of a block, (ref, node, n, sketch).  kind 2: (region, member, pivot) within
     a block.  kind 3: the block's region keys, one entry per region and packed
     by part: 48 bits of the key, 16 bits for the node; ref is the block's."""
@@ -148,7 +149,8 @@ def _scan(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, part
             for a, b in blocks(texts):
                 got = sets(texts[a:b], n)
                 names = [node_of(s) if len(s) else None for s in got]
-                yield rows(0, b - a, k=batch.column("k").slice(a, b - a), node=names, n=[len(s) for s in got])
+                yield rows(0, b - a, k=batch.column("k").slice(a, b - a), node=names, n=[len(s) for s in got],
+                           digest=[hashlib.sha256(t).digest() for t in texts[a:b]])
                 place: dict[int, int] = {}
                 own = []
                 for s, name in zip(got, names):
@@ -418,13 +420,13 @@ def _unresolved(stars: DataFrame, pairs: DataFrame, refs: DataFrame, nodes: Data
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100,
          region_rows: int = REGION) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The self-join of ``docs`` with n-word shingles and Jaccard similarity of
-    num / den or more: ``rows`` (key, node, n_shingles), ``links`` between nodes
-    (a, b) that connect all linked ones, and ``labels`` (node, label)."""
+    num / den or more: ``rows`` (key, node, n_shingles, digest of the text), ``links``
+    between nodes (a, b) that connect all linked ones, and ``labels`` (node, label)."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = 4 * partitions(spark)
     scan = stored(_scan(docs, key, text, n, num, den, parts), "scan")
-    rows = stored(scan.where("kind = 0").select("k", "node", "n"), "rows")
+    rows = stored(scan.where("kind = 0").select("k", "node", "n", "digest"), "rows")
     refs = stored(scan.where("kind = 1").select("ref", "node", "n", "sketch"), "refs")
     across = scan.where("kind = 3").select("part", "ref", "low", "high", "who").groupBy("part").applyInArrow(
         freeing_group(_stars), "region long, member long, pivot long")
@@ -458,7 +460,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
             freeing_group(_recurse(num, den)), "a long, b long"), "more_links")
         links = links.unionByName(more)
         labels = components(links)
-    return rows.select(F.col("k").alias(key), "node", F.col("n").alias("n_shingles")), links, labels
+    return rows.select(F.col("k").alias(key), "node", F.col("n").alias("n_shingles"), "digest"), links, labels
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80,
@@ -484,9 +486,35 @@ def _component_rows(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key is their component's smallest; of rows that repeat such a key, one."""
+    """The rows of ``docs`` whose key is their component's smallest; of rows that repeat such a key, one.
+    That loses texts where keys are null or repeated: :func:`survivors` goes by component."""
     stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__k")).agg(
         F.count(F.lit(1)).alias("__n"))
     rows = docs.join(stay, docs[key].eqNullSafe(F.col("__k")))
     once = rows.where("__n = 1").drop("__k", "__n")
     return once.unionByName(rows.where("__n > 1").drop("__k", "__n").dropDuplicates([key]))
+
+
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of ``docs`` of each component, with all its columns: the one with the
+    smallest key (null last), then node, then digest of the text.  Rows that agree
+    in key and text are interchangeable.  A row without words is its own component."""
+    with temporary(docs.sparkSession) as folders:
+        rows, _, labels = join(docs, key, text, n, num, den)
+        rows = rows.select(F.col(key).alias("k"), "node", "digest")
+        best = F.struct(F.col("k").isNull().alias("no_key"), "k", "node", "digest", "same")
+        # combined per text, per node and then per component
+        nodes = (rows.where("node IS NOT NULL").groupBy("node", "k", "digest").agg(F.count(F.lit(1)).alias("same"))
+                 .groupBy("node").agg(F.min(best).alias("best")))
+        nodes = nodes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(
+            F.min("best").alias("best"))
+        empty = rows.where("node IS NULL").select("k", "digest").distinct().withColumn("same", F.lit(1).cast("long"))
+        stay = stored(nodes.select("best.k", "best.digest", "best.same").unionByName(empty), "survivors")
+        folders.pop()  # the result stays
+    t = F.coalesce(F.col("d." + text), F.lit(""))
+    found = docs.alias("d").join(stay.alias("s"), F.col("d." + key).eqNullSafe(F.col("s.k")) & (
+        F.unhex(F.sha2(t.cast("binary"), 256)) == F.col("s.digest")))
+    names = [F.col(f"d.`{c}`") for c in docs.columns]
+    single = found.where("s.same = 1").select(*names)
+    again = found.where("s.same > 1").select(*names, F.col("s.digest").alias("__digest")).dropDuplicates([key, "__digest"])
+    return single.unionByName(again.drop("__digest"))

@@ -318,6 +318,29 @@ def test_repeated_keys_and_empty(docs_of):
     assert jaccard.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_one_survivor_per_component(spark, docs_of):
+    """Null and repeated keys: the pipeline's stage keeps one row of every component, and all rows without words."""
+    import corpus_pipeline as p
+
+    lone, near = "a text that nothing else is like", " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d e"), (1, "z z z z z"), (3, "z z z z z"), (None, lone), (None, "quite another text on its own here"),
+            (4, near), (None, near + " more"), (None, near), (5, "q r s t u v"), (5, "q r s t u v"), (5, "Q R s t u v"),
+            (None, "two null keys alike"), (None, "two null keys alike"), (6, ""), (6, None), (None, " \n")]
+    docs = docs_of(rows)
+    left = p.jaccard_join(spark, docs, "")
+    assert left.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    five = [x for x in got if x[0] == 5]
+    want = [(1, "a b c d e"), (1, "z z z z z"), (None, lone), (None, "quite another text on its own here"), (4, near),
+            (None, "two null keys alike"), (6, ""), (6, None), (None, " \n")]
+    assert len(five) == 1 and sorted([x for x in got if x[0] != 5], key=str) == sorted(want, key=str)
+    # a null-key component of one row doesn't bring other null-key rows along
+    one = docs_of([(4, near), (None, near), (None, lone)])
+    assert sorted(((r["doc_id"], r["text"]) for r in p.jaccard_join(spark, one, "").collect()), key=str) == sorted(
+        [(4, near), (None, lone)], key=str)
+    assert p.jaccard_join(spark, docs.limit(0), "").count() == 0
+
+
 # ----------------------------------------------------------- 8 line dedup
 
 def plain_lines(rows):
