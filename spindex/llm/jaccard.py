@@ -48,6 +48,7 @@ from .shingles import U, blocks, forget, mix, sets
 SKETCH = 1024       # bits of the smallest sketch
 REGION = 4096       # members that one task joins
 LEAF = 48           # members that are joined pair by pair
+BLOCK = 512         # members of a component that are compared with as many others in one task
 
 
 class Bands:
@@ -421,7 +422,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
          region_rows: int = REGION) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The self-join of ``docs`` with n-word shingles and Jaccard similarity of
     num / den or more: ``rows`` (key, node, n_shingles, digest of the text), ``links``
-    between nodes (a, b) that connect all linked ones, and ``labels`` (node, label)."""
+    between nodes (a, b) that connect all linked ones (not all links: see
+    :func:`all_links`), and ``labels`` (node, label)."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = 4 * partitions(spark)
@@ -485,6 +487,100 @@ def _component_rows(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
         F.when(F.col("node").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _shared(members: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many hashes each two of the sets share."""
+    who = np.repeat(np.arange(len(members)), [len(s) for s in members])
+    _, column, times = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    twice = times[column] > 1
+    who, column = who[twice], (np.cumsum(times > 1) - 1)[column[twice]]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    inter = np.zeros((len(members), len(members)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        has = np.zeros((len(members), min(width, int(column[-1]) + 1 - start)), np.float32)
+        has[who[a:b], column[a:b] - start] = 1
+        inter += (has @ has.T).astype(np.int64)  # at most ``width``: exact
+    return inter
+
+
+def _within(num: int, den: int, pairs: bool):
+    """All links in blocks of components: the pairs themselves, or how many rows each node is linked with."""
+    def each(table: pa.Table) -> pa.Table:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for rows in _by_region(table):
+            members = [np.frombuffer(x, U) for x in rows.column("s").to_pylist()]
+            node, side = rows.column("node").to_numpy(), rows.column("side").to_numpy()
+            size, inter = np.array([len(s) for s in members]), _shared(members)
+            link = den * inter >= num * (size[:, None] + size - inter)
+            link &= side[:, None] != side if side[0] >= 0 else ~np.eye(len(node), dtype=bool)
+            if pairs:
+                i, j = np.nonzero(link & (node[:, None] < node))
+                a.append(node[i])
+                b.append(node[j])
+            else:
+                a.append(node)
+                b.append(link @ rows.column("same").to_numpy())
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+    return each
+
+
+def _links(docs: DataFrame, nodes: DataFrame, key: str, text: str, n: int, num: int, den: int, pairs: bool,
+           block: int) -> DataFrame:
+    """Linked nodes are in one component, so every pair of a component's nodes
+    (``nodes``: node, k, same, label) is compared, once: a large component is
+    split into blocks, and each pair of blocks is a task's."""
+    parts = 4 * partitions(docs.sparkSession)
+    many = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    held = nodes.join(many.select("label", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "label")
+    held = stored(held.join(_node_sets(docs, held.select("node", "k"), key, text, n), "node"), "component_sets")
+    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("node", "same", "s", F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("sub"),
+                       F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
+    return held.withColumn("part", F.pmod(F.col("sub"), F.lit(parts))).groupBy("part").applyInArrow(
+        freeing_group(_within(num, den, pairs)), "a long, b long")
+
+
+def _nodes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("same"))
+    return stored(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "link_nodes")
+
+
+def all_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100,
+              block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``rows`` as of :func:`join`, and every link ``a, b`` (a < b) between different nodes: as many
+    as there are, which is the square of a group of near copies."""
+    with temporary(docs.sparkSession) as folders:
+        rows, _, labels = join(docs, key, text, n, num, den)
+        nodes = _nodes(rows.select(F.col(key).alias("k"), "node"), labels)
+        links = stored(_links(docs, nodes, key, text, n, num, den, True, block), "all_links")
+        rows = stored(rows, "rows")
+        del folders[-2:]  # the results stay
+    return rows, links
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100,
+                block: int = BLOCK) -> DataFrame:
+    """``key, n_shingles, component_id, n_links``: the last is the number of other
+    rows that a row is linked with, copies included; one row per row of ``docs``."""
+    with temporary(docs.sparkSession) as folders:
+        rows, _, labels = join(docs, key, text, n, num, den)
+        rows = rows.select(F.col(key).alias("k"), "node", "n_shingles")
+        nodes = _nodes(rows, labels)
+        counts = _links(docs, nodes, key, text, n, num, den, False, block).groupBy(F.col("a").alias("node")).agg(
+            F.sum("b").alias("others"))
+        least = nodes.groupBy("label").agg(F.min("k").alias("component_id"))
+        ids = nodes.join(least, "label").join(counts, "node", "left").select(
+            "node", "component_id", (F.col("same") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        found = stored(rows.join(ids, "node", "left").select(
+            F.col("k").alias(key), "n_shingles",
+            F.when(F.col("node").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "link_counts")
+        folders.pop()  # the result stays
+    return found
+
+
 def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose key is their component's smallest; of rows that repeat such a key, one.
     That loses texts where keys are null or repeated: :func:`survivors` goes by component."""

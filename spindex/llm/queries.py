@@ -45,6 +45,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op7_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_passages(table(spark, sf_dir, "documents"))
 
@@ -58,5 +62,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_token_counts, op3_warc, op4_ann, op5_mix, op6_exact_dedup, op7_jaccard_join, op8_line_dedup,
-    op9_language_id, op10_quality)}
+    op1_bpe, op2_token_counts, op3_warc, op4_ann, op5_mix, op6_exact_dedup, op7_jaccard_join, op7_link_counts,
+    op8_line_dedup, op9_language_id, op10_quality)}

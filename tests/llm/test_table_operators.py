@@ -318,6 +318,29 @@ def test_repeated_keys_and_empty(docs_of):
     assert jaccard.near_duplicates(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_all_links(docs_of, block):
+    """Every linked pair is found and counted, copies included, in whole components and in blocks."""
+    rows = corpus(7, 90)
+    rows += [(3000 + i, rows[i][1]) for i in range(0, 90, 9)] + [(4000, ""), (4001, None), (None, "z y x w v"), (None, "Z y x w v")]
+    rows += [(5000 + i, " ".join(f"v{w}" if w != 16 * i + 5 else f"other{i}" for w in range(200))) for i in range(12)]
+    sets = plain_sets(rows, 4)
+    pairs = {(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j]
+             and 100 * (x := len(sets[i] & sets[j])) >= 85 * (len(sets[i]) + len(sets[j]) - x)}
+    want = sorted(((k, sum(i in p for p in pairs)) for i, (k, _) in enumerate(rows)), key=str)
+    got = jaccard.link_counts(docs_of(rows), n=4, num=85, den=100, block=block)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted(((r["doc_id"], r["n_links"]) for r in got.collect()), key=str) == want
+    if block == 512:
+        found, links = jaccard.all_links(docs_of(rows), n=4, num=85, den=100)
+        mine = {frozenset((r["a"], r["b"])) for r in links.collect()}
+        names = {r["doc_id"]: r["node"] for r in found.collect()}
+        assert mine == {frozenset((names[rows[i][0]], names[rows[j][0]])) for i, j in pairs if sets[i] != sets[j]}
+        assert links.count() == len(mine)
+        _, few, _ = jaccard.join(docs_of(rows), n=4, num=85, den=100)
+        assert few.count() < len(mine)  # a spanning set
+
+
 def test_one_survivor_per_component(spark, docs_of):
     """Null and repeated keys: the pipeline's stage keeps one row of every component, and all rows without words."""
     import corpus_pipeline as p
