@@ -88,6 +88,20 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int):
+    """Jobs run inside hand Python workers at most ``rows`` rows at a time;
+    the session's own setting is back at the end.  The package is sent first."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def freeing(f):
     """A function on a task's batches that hands Arrow's unused memory back at
     the end: Spark keeps its Python workers for the next stage."""

@@ -107,4 +107,23 @@ SELECT d.doc_id, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS n_lines, CAST(coalesce
 FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
-SQL = {"op3_warc": OP3, "op5_mix": OP5, "op6_exact_dedup": OP6, "op7_jaccard_join": OP7, "op8_line_dedup": OP8}
+OP13 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?(?:INST|SYS|ROLE|TEXT)\]')) AS n_text,
+    length(role) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?(?:INST|SYS|ROLE|TEXT)\]')) AS n_role
+  FROM t
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n_text + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 WHEN 'system' THEN 13 ELSE 23 + n_role END) AS BIGINT)
+    AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+SQL = {"op3_warc": OP3, "op5_mix": OP5, "op6_exact_dedup": OP6, "op7_jaccard_join": OP7, "op8_line_dedup": OP8,
+       "op13_chat": OP13}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, jaccard, langid, lines, mixing, quality, warc, wordpiece
+from . import ann, bpe, chat, exact, jaccard, langid, lines, mixing, quality, warc, wordpiece
 from .common import table
 
 #: Folder of the public tokenizer files.
@@ -61,6 +61,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Conversation -1, which the formatting query adds to the table.
+CONTROL_CHAT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(CONTROL_CHAT, turns.schema)
+    return chat.digests(chat.format_chats(turns.unionByName(planted)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_token_counts, op3_warc, op4_ann, op5_mix, op6_exact_dedup, op7_jaccard_join, op7_link_counts,
-    op8_line_dedup, op9_language_id, op10_quality)}
+    op8_line_dedup, op9_language_id, op10_quality, op13_chat)}
