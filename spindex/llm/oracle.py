@@ -107,6 +107,39 @@ SELECT d.doc_id, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS n_lines, CAST(coalesce
 FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
+_OP12_ROUND = """, a{r} AS (
+  SELECT vec_id, x.p, x.x, min(struct_pack(d := list_sum(list_transform(list_zip(x.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), i := e.i)) AS b
+  FROM parts x JOIN e{r} e ON x.p = e.p GROUP BY vec_id, x.p, x.x
+), e{s} AS (
+  SELECT e.p, e.i, coalesce(m.x, e.x) AS x
+  FROM e{r} e LEFT JOIN (
+    SELECT p, i, list(CAST(floor(total / n) AS BIGINT) ORDER BY pos) AS x
+    FROM (SELECT p, b.i AS i, pos, CAST(sum(x[pos]) AS DOUBLE) AS total, count(*) AS n
+          FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS pos) GROUP BY p, b.i, pos)
+    GROUP BY p, i
+  ) m ON m.p = e.p AND m.i = e.i
+)"""
+
+OP12 = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda z: CAST(floor(4096 * CAST(z AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0
+), parts AS (
+  SELECT vec_id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS x FROM kept, (SELECT unnest(range(8)) AS p)
+), e0 AS (
+  SELECT p, i, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i FROM parts) WHERE i < 16
+)""" + "".join(_OP12_ROUND.format(r=r, s=r + 1) for r in range(6)) + """, f AS (
+  SELECT vec_id, x.p, min(struct_pack(d := list_sum(list_transform(list_zip(x.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), i := e.i)) AS b
+  FROM parts x JOIN e6 e ON x.p = e.p GROUP BY vec_id, x.p
+), c AS (
+  SELECT vec_id, string_agg(format('{:02x}', b.i), '' ORDER BY p) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM f GROUP BY vec_id
+), h AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM e6
+)
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN kept ON c.vec_id = kept.vec_id CROSS JOIN h
+"""
+
 OP13 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -126,4 +159,4 @@ FROM e GROUP BY conv_id
 """
 
 SQL = {"op3_warc": OP3, "op5_mix": OP5, "op6_exact_dedup": OP6, "op7_jaccard_join": OP7, "op8_line_dedup": OP8,
-       "op13_chat": OP13}
+       "op12_codes": OP12, "op13_chat": OP13}
