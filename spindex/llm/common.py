@@ -53,13 +53,17 @@ def temporary(spark: SparkSession):
         delete(spark, *_TEMPORARY.pop())
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy", group_bytes: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: the
-    lineage ends there, and a lost executor costs no recomputation."""
+    lineage ends there, and a lost executor costs no recomputation.  Tables of
+    very wide rows ask for small row groups, which bound a reader's batch."""
     path = shared_path(df.sparkSession, name)
     if _TEMPORARY:
         _TEMPORARY[-1].append(path)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

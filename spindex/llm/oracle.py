@@ -107,6 +107,26 @@ SELECT d.doc_id, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS n_lines, CAST(coalesce
 FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+z AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n),
+p AS (SELECT doc_id, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM d)
+      WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY t, nn),
+s AS (
+  SELECT q.item_id, p.doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * n.n * z.nn) // z.ll)))) AS BIGINT) AS score
+  FROM q JOIN p ON p.t = q.t JOIN w ON w.t = q.t JOIN n ON n.doc_id = p.doc_id, z GROUP BY q.item_id, p.doc_id
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+) WHERE rank <= 50
+"""
+
 _OP12_ROUND = """, a{r} AS (
   SELECT vec_id, x.p, x.x, min(struct_pack(d := list_sum(list_transform(list_zip(x.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), i := e.i)) AS b
   FROM parts x JOIN e{r} e ON x.p = e.p GROUP BY vec_id, x.p, x.x
@@ -159,4 +179,4 @@ FROM e GROUP BY conv_id
 """
 
 SQL = {"op3_warc": OP3, "op5_mix": OP5, "op6_exact_dedup": OP6, "op7_jaccard_join": OP7, "op8_line_dedup": OP8,
-       "op12_codes": OP12, "op13_chat": OP13}
+       "op11_lexical_search": OP11, "op12_codes": OP12, "op13_chat": OP13}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, codes, exact, jaccard, langid, lines, mixing, quality, warc, wordpiece
+from . import ann, bpe, chat, codes, exact, jaccard, langid, lexical, lines, mixing, quality, warc, wordpiece
 from .common import table
 
 #: Folder of the public tokenizer files.
@@ -61,6 +61,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -77,4 +81,5 @@ def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_token_counts, op3_warc, op4_ann, op5_mix, op6_exact_dedup, op7_jaccard_join, op7_link_counts,
-    op8_line_dedup, op9_language_id, op10_quality, op12_codes, op13_chat)}
+    op8_line_dedup, op9_language_id, op10_quality, op11_lexical_search, op12_codes,
+    op13_chat)}
