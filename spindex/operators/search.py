@@ -6,7 +6,7 @@ A table of queries is answered in one plan:
       -> postings semi-joined to the query tokens            (index lookup)
       -> top ``k`` postings per token, count desc, url asc    SE2, SE9
       -> candidates = distinct (query, url) of those          SE3
-      -> candidates x query words LEFT JOIN postings          SE4
+      -> all postings of candidate URLs and query words       SE4
       -> score (sum or the reference's literal rule)          SE5, SE5b
       -> rank per query, score desc, url asc                  SE6
       -> join non-stub pages, presentation columns            SE7, SE8
@@ -32,6 +32,7 @@ from ..functions import text
 from ..session import checkpoint_dir
 from . import postings as P
 from .sizing import broadcast_if_small
+from .store import Snapshot
 
 PER_WORD_LIMIT = 50   # fixed value: postings kept per query word
 PER_WORD_SKIP = 0     # fixed value: postings skipped per query word
@@ -65,7 +66,7 @@ def _top_k(postings: DataFrame, k: int, skip: int) -> DataFrame:
             .filter((F.col("word_rank") > skip) & (F.col("word_rank") <= skip + k)))
 
 
-def score(queries_analyzed: DataFrame, postings: DataFrame, k: int = PER_WORD_LIMIT,
+def score(queries_analyzed: DataFrame, postings: DataFrame | Snapshot, k: int = PER_WORD_LIMIT,
           skip: int = PER_WORD_SKIP, scoring: str = "sum", require_all: bool = False) -> DataFrame:
     """SE3-SE5: (query_id, url, score) for every candidate URL.
 
@@ -73,7 +74,8 @@ def score(queries_analyzed: DataFrame, postings: DataFrame, k: int = PER_WORD_LI
     a missing count being 0.  ``scoring='literal'``: the reference's loop --
     the count of the first query word whose top-k holds the URL, times the
     number of query words whose top-k holds it, plus the counts of the words
-    whose top-k misses it.  ``require_all``: drop candidates missing a word."""
+    whose top-k misses it.  ``require_all``: drop candidates missing a word.
+    ``postings`` is a table or the snapshot of a ``PostingStore``."""
     if scoring not in ("sum", "literal"):
         raise ValueError(f"unknown scoring {scoring!r}")
     # The analysed queries (queries x words rows) and the top-k postings
@@ -82,32 +84,40 @@ def score(queries_analyzed: DataFrame, postings: DataFrame, k: int = PER_WORD_LI
     # runs again for the size checks or for each branch of the plan below.
     checkpoint_dir(queries_analyzed.sparkSession)
     q = queries_analyzed.select("query_id", "token", "qpos").checkpoint()
-    # the query tokens are few (queries x words); broadcast after a size check
-    # so the postings are filtered in place, not shuffled by a hot token
-    wanted = broadcast_if_small(q.select("token").distinct())
-    relevant = postings.join(wanted, "token", "left_semi").select("token", "url", "count")
-    top = _top_k(relevant, k, skip).select("token", "url").checkpoint()
+    if isinstance(postings, Snapshot):
+        # a stored index: only the tokens' buckets are read, and the heads kept
+        # there are the top-k
+        relevant = postings.postings(q)
+        if skip + k <= postings.head:
+            top = postings.heads(q, k, skip)
+        else:
+            top = _top_k(relevant, k, skip)
+    else:
+        # the query tokens are few (queries x words); broadcast after a size check
+        # so the postings are filtered in place, not shuffled by a hot token
+        wanted = broadcast_if_small(q.select("token").distinct())
+        relevant = postings.join(wanted, "token", "left_semi").select("token", "url", "count")
+        top = _top_k(relevant, k, skip)
+    top = top.select("token", "url").checkpoint()
     cand = q.join(top, "token").select("query_id", "url").distinct()
-    # SE4 only needs the postings of candidate URLs: at most queries x words x k
+    # SE4 needs the postings of candidate URLs only, and only those that exist:
+    # a missing count adds nothing to a score
     cand_urls = broadcast_if_small(cand.select("url").distinct())
     needed = relevant.join(cand_urls, "url", "left_semi")
-    grid = (cand.join(q, "query_id")
-            .join(top.withColumn("in_top", F.lit(True)), ["token", "url"], "left")
-            .join(needed, ["token", "url"], "left")
-            .select("query_id", "url", "qpos",
-                    F.coalesce("in_top", F.lit(False)).alias("in_top"),
-                    F.coalesce("count", F.lit(0)).cast("bigint").alias("c")))
+    grid = (needed.join(top.withColumn("in_top", F.lit(True)), ["token", "url"], "left")
+            .join(q, "token").join(cand, ["query_id", "url"], "left_semi")
+            .select("query_id", "url", "qpos", F.coalesce("in_top", F.lit(False)).alias("in_top"), F.col("count").alias("c")))
     if scoring == "sum":
         s = F.sum("c")
     else:
         first = F.min(F.when(F.col("in_top"), F.struct("qpos", "c")))
         n_top = F.count(F.when(F.col("in_top"), F.lit(1)))
         s = first["c"] * n_top + F.coalesce(F.sum(F.when(~F.col("in_top"), F.col("c"))), F.lit(0))
-    out = grid.groupBy("query_id", "url").agg(s.cast("bigint").alias("score"),
-                                              F.min("c").alias("_min_c"))
+    out = grid.groupBy("query_id", "url").agg(s.cast("bigint").alias("score"), F.count(F.lit(1)).alias("_n"))
     if require_all:
-        out = out.filter(F.col("_min_c") > 0)
-    return out.drop("_min_c")
+        words = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("_words"))
+        out = out.join(words, "query_id").filter(F.col("_n") == F.col("_words")).drop("_words")
+    return out.drop("_n")
 
 
 def rank(scored: DataFrame) -> DataFrame:
@@ -116,7 +126,7 @@ def rank(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
-def search(queries: DataFrame, postings: DataFrame, stem: bool = True, k: int = PER_WORD_LIMIT,
+def search(queries: DataFrame, postings: DataFrame | Snapshot, stem: bool = True, k: int = PER_WORD_LIMIT,
            skip: int = PER_WORD_SKIP, scoring: str = "sum", require_all: bool = False,
            id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """SE1-SE6, SE10: (query_id, rank, url, score)."""
@@ -125,6 +135,28 @@ def search(queries: DataFrame, postings: DataFrame, stem: bool = True, k: int =
         "query_id", "rank", "url", "score")
 
 
+def page_after(ranked: DataFrame, cursors: DataFrame, size: int) -> DataFrame:
+    """SE9: the next ``size`` rows of each query's stored results ``(query_id,
+    url, score, ...)`` behind a keyset cursor ``(query_id, score, url)``, the
+    last row that was shown; a null score asks for the first page.  Queries
+    without a cursor row are not asked for.  Unlike an offset, a cursor skips
+    and repeats nothing when rows before it appear or go, and the rows before
+    it are neither sorted nor moved; at most ``size`` rows of a query leave a
+    map task (group limit)."""
+    after = cursors.select("query_id", F.col("score").alias("_s"), F.col("url").alias("_u"))
+    behind = (F.col("_s").isNull() | (F.col("score") < F.col("_s"))
+              | ((F.col("score") == F.col("_s")) & (F.col("url") > F.col("_u"))))
+    rows = ranked.join(broadcast_if_small(after), "query_id").filter(behind).select(*ranked.columns)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("url"))
+    return (rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size).drop("_n"))
+
+
+def next_cursors(page: DataFrame) -> DataFrame:
+    """The cursor behind each query's page: its last row."""
+    last = F.max_by(F.struct("score", "url"), F.struct(-F.col("score"), "url"))
+    return page.groupBy("query_id").agg(last.alias("_c")).select("query_id", "_c.score", "_c.url")
+
+
 def results(ranked: DataFrame, pages: DataFrame) -> DataFrame:
     """SE7-SE8: join the ranked URLs to non-stub pages and add the result-page
     columns.  Candidates without a full page row are dropped (the reference

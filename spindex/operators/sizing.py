@@ -1,8 +1,9 @@
 """Size-checked broadcast.
 
-A side is broadcast only after counting it against a row bound (the count
-reads at most ``max_rows + 1`` rows); above the bound the caller's join is
-left to the planner (sort-merge, with AQE's skew split).
+A side is broadcast only after measuring it against a bound in rows and in
+bytes of text (the measurement reads at most ``max_rows + 1`` rows); beyond
+either the caller's join is left to the planner (sort-merge, with AQE's skew
+split).
 """
 
 from __future__ import annotations
@@ -10,13 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000   # keys of a few tens of bytes: well under 1 GB
+BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 128 << 20   # of strings; other columns are of fixed width
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    text = [F.octet_length(F.col(f"`{c}`")) for c, kind in df.dtypes if kind == "string"]
+    size = sum((F.coalesce(F.sum(t), F.lit(0)) for t in text), F.lit(0).cast("bigint"))
+    n = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+    return n["n"] <= max_rows and n["b"] <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when it is within both bounds, else ``df``."""
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import images, links, merge, pages, postings, scans, search
-from ..session import checkpoint_dir
+from ..operators.store import PostingStore, Snapshot
+from ..session import checkpoint_dir, file_stamps
 from ..sources import tables
 from ..streaming import ingest
 
@@ -83,14 +84,31 @@ def tx_term_counts_stemmed(spark, sf):
 
 # -------------------------------------------------------------- search (SE)
 
-def _doc_index(spark, sf):
-    """The stemmed document index, built once and written (checkpointed) --
-    what a search service reads."""
-    return postings.term_counts(_docs(spark, sf), stem=True).checkpoint()
+_STORES: dict[tuple, str] = {}
+
+
+def _stored_index(spark, sf, table: str, corpus: Callable[[], DataFrame]) -> Snapshot:
+    """The stemmed index of a corpus, written once per application and state of
+    the table's files, as a search service keeps it; later queries only read
+    the buckets of their tokens."""
+    key = (spark.sparkContext.applicationId, table, *file_stamps(spark, f"{sf.rstrip('/')}/{table}.parquet"))
+    if key not in _STORES:
+        store = PostingStore.create(spark, ingest.stream_folder(spark, f"index-{table}"))
+        store.append("all", postings.term_counts(corpus(), stem=True))
+        _STORES[key] = store.path
+    return PostingStore(spark, _STORES[key]).snapshot()
+
+
+def document_index(spark, sf) -> Snapshot:
+    return _stored_index(spark, sf, "documents", lambda: _docs(spark, sf))
+
+
+def page_index(spark, sf) -> Snapshot:
+    return _stored_index(spark, sf, "pages", lambda: _parsed(spark, sf, "url", "text"))
 
 
 def _doc_search(spark, sf, **kw):
-    return search.search(_queries(spark, sf), _doc_index(spark, sf), stem=True, **kw)
+    return search.search(_queries(spark, sf), document_index(spark, sf), stem=True, **kw)
 
 
 def se_ranked_documents(spark, sf):
@@ -110,9 +128,9 @@ def se_require_all(spark, sf):
 
 def se_topk_per_word(spark, sf):
     """SE2: top-50 postings (count desc, url asc) of every query token."""
-    post = _doc_index(spark, sf)
-    q = search.analyze(_queries(spark, sf), stem=True)
-    top = search.top_postings(post, q)
+    checkpoint_dir(spark)
+    q = search.analyze(_queries(spark, sf), stem=True).checkpoint()
+    top = document_index(spark, sf).heads(q)
     return top.select("token", "url", "count", F.col("word_rank").cast("bigint").alias("word_rank"))
 
 
@@ -120,10 +138,27 @@ def se_results_pages(spark, sf):
     """SE7-SE8, SE10, TX8, TX9: benchmark texts searched against the stemmed
     page index; results joined to the stored pages with the result-page
     columns (default texts, 200-char snippet, result count)."""
-    p = _parsed(spark, sf, "url", "text", "title", "description", "ingest_seq")
-    index = postings.term_counts(p.select("url", "text"), stem=True).checkpoint()
-    ranked = search.search(_queries(spark, sf), index, stem=True)
-    return search.results(ranked, p.select("url", "title", "description", "ingest_seq"))
+    ranked = search.search(_queries(spark, sf), page_index(spark, sf), stem=True)
+    return search.results(ranked, _parsed(spark, sf, "url", "title", "description", "ingest_seq"))
+
+
+def se_result_pages(spark, sf):
+    """SE9: the ranking of every benchmark text read in pages of 20 behind
+    keyset cursors, until no query has rows left: (query_id, page, rank in page, url, score)."""
+    ranked = _doc_search(spark, sf).select("query_id", "url", "score").checkpoint()
+    cursors = ranked.select("query_id").distinct().withColumn("score", F.lit(None).cast("bigint")).withColumn(
+        "url", F.lit(None).cast("string"))
+    out, number = None, 0
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("url"))
+    while True:
+        page = search.page_after(ranked, cursors, 20).checkpoint()
+        if page.isEmpty():
+            break
+        rows = page.withColumn("page", F.lit(number)).withColumn("place", F.row_number().over(w))
+        out = rows if out is None else out.unionByName(rows)
+        cursors, number = search.next_cursors(page), number + 1
+    out = out if out is not None else ranked.withColumn("page", F.lit(0)).withColumn("place", F.lit(0))
+    return out.select("query_id", "page", "place", "url", "score")
 
 
 # --------------------------------------------------------------- pages (HX)
@@ -305,7 +340,7 @@ def _streamed(spark, sf):
     """Run the streaming ingest over the ``pages`` file and return its output
     folder (ST1, SNK2, SNK3)."""
     out = ingest.stream_folder(spark, "st")
-    ingest.ingest(ingest.raw_page_stream(spark, sf, "pages.parquet"), out, stem=False)
+    ingest.ingest(ingest.page_table_stream(spark, sf), out, stem=False)
     return out
 
 
@@ -327,7 +362,7 @@ def st_backlinks(spark, sf):
 def st_running_counts(spark, sf):
     """ST4: running (token, url) counts, stateful aggregation in update mode."""
     out = ingest.stream_folder(spark, "st-counts")
-    ingest.running_counts(ingest.raw_page_stream(spark, sf, "pages.parquet"), out)
+    ingest.running_counts(ingest.page_table_stream(spark, sf), out)
     return ingest.read_running_counts(spark, out)
 
 
@@ -425,7 +460,7 @@ def ag_corpus_stats(spark, sf):
     and the number of pages scraped, as (metric, value) rows."""
     p = _parsed(spark, sf, "url", "title", "description", "urls", "text", "time", "ingest_seq")
     post = postings.term_counts(p.select("url", "text"), stem=False)
-    ctx = _contexts(spark, sf)
+    ctx = images.image_contexts(tables.only_ok(tables.raw_pages(spark, sf)))
     view = merge.page_view(merge.first_full_rows(p), _page_backlinks(p))
     return scans.corpus_stats({
         "scraped": p,
@@ -454,6 +489,7 @@ QUERIES: dict[str, Query] = {
     "se_ranked_literal": se_ranked_literal,
     "se_require_all": se_require_all,
     "se_results_pages": se_results_pages,
+    "se_result_pages": se_result_pages,
     "hx_title_description": hx_title_description,
     "hx_text": hx_text,
     "hx_term_counts": hx_term_counts,

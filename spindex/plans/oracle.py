@@ -86,6 +86,8 @@ SQL: dict[str, str] = {
     "se_ranked_documents": O.search_sql("sum"),
     "se_ranked_literal": O.search_sql("literal"),
     "se_require_all": O.search_sql("sum", require_all=True),
+    "se_result_pages": (f"SELECT query_id, CAST((rank - 1) // 20 AS INTEGER) AS page, CAST((rank - 1) % 20 + 1 AS INTEGER) AS place, "
+                        f"url, score FROM ({O.search_sql('sum')})"),
     "hx_title_description": f"WITH {O.parsed_pages_ctes()}\nSELECT url, title, description FROM pp",
     "hx_text": f"WITH {O.parsed_pages_ctes()}\nSELECT url, text FROM pp",
     "hx_term_counts": f"WITH {O.parsed_pages_ctes()}\n{O.postings_nostem('pp')}",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,7 +69,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder for written intermediate tables, next to the checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and a function that makes its paths:
+    small bookkeeping files lie in the same store as the tables."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    fs, make = file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(make(path))] if fs.exists(make(path)) else []
+
+
+def file_stamps(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of a file, or of the files of a folder."""
+    fs, make = file_system(spark, path)
+    return sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(make(path)))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, make = file_system(spark, path)
+    return fs.exists(make(path)) and fs.getFileStatus(make(path)).isDirectory()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, make = file_system(spark, path)
+    stream = fs.open(make(path))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new_text(spark: SparkSession, path: str, content: str) -> None:
+    """Writes a small file that must not exist yet; it appears complete or not at all."""
+    fs, make = file_system(spark, path)
+    target, part = make(path), make(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    stream = fs.create(part, False)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    if fs.exists(target) or not fs.rename(part, target):
+        fs.delete(part, False)
+        raise FileExistsError(path)

@@ -68,3 +68,38 @@ def test_summary_counts_every_batch(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert (got["batches"], got["pages_read"]) == (4, 4)
+
+
+def test_page_table_as_file_or_folder(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>word{i} <a href='/{i + 1}'>x</a></p>") for i in range(6)]
+    df = spark.createDataFrame(rows, ingest.DRIVER_PAGES_SCHEMA)
+    df.repartition(3).write.parquet(str(tmp_path / "folder" / "pages.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "file" / "pages.parquet")
+    got = []
+    for kind in ("folder", "file"):
+        out = str(tmp_path / f"out-{kind}")
+        ingest.ingest(ingest.page_table_stream(spark, str(tmp_path / kind)), out, stem=False)
+        got.append((_counts(ingest.read_postings(spark, out)),
+                    sorted(r.url for r in ingest.read_pages(spark, out).collect()),
+                    sorted((r.url, r.backlink) for r in ingest.read_backlinks(spark, out).collect())))
+    assert got[0] == got[1] and len(got[0][0]) == 12
+
+
+def test_nothing_arrived(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for read in (ingest.read_postings, ingest.read_pages, ingest.read_backlinks, ingest.read_images,
+                 ingest.read_image_postings, ingest.read_running_counts):
+        assert read(spark, out).count() == 0
+
+
+def test_runs_are_compacted(spark, tmp_path):
+    out = str(tmp_path / "out")
+    run = ingest.fan_out(out, stem=False, compact_after=2)
+    for i in range(3):
+        run(_raw(spark, [(f"http://h/{i}", f"<p>shared word{i}</p>")], start=i), i)
+    run(_raw(spark, [("http://h/1", "<p>shared word1</p>")], start=1), 1)   # replay of a batch that was merged
+    assert len(ingest.posting_store(spark, out).manifest()["runs"]) <= 2
+    assert [(t, n) for t, _, n in _counts(ingest.read_postings(spark, out))] == [("shared", 1)] * 3 + [
+        ("word0", 1), ("word1", 1), ("word2", 1)]
