@@ -32,6 +32,14 @@ def backlinks(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst_key").alias("url"), F.col("src").alias("backlink")).distinct()
 
 
+def referrer_backlinks(raw: DataFrame) -> DataFrame:
+    """LG1, the referrer route: responses that name the page they were reached
+    from give a (url, backlink) pair as well; both ends are formatted, and the
+    URL loses its fragment."""
+    return (raw.filter(F.col("referrer").isNotNull() & (F.col("referrer") != ""))
+            .select(urls.remove_fragments("url").alias("url"), urls.format_url("referrer").alias("backlink")).distinct())
+
+
 def in_degree(edges: DataFrame) -> DataFrame:
     """LG4 (in): number of distinct pages linking to each URL."""
     return backlinks(edges).groupBy("url").agg(F.count(F.lit(1)).alias("in_degree"))
@@ -89,27 +97,26 @@ def bfs_depth(pages: DataFrame, edges: DataFrame, seeds: DataFrame | None = None
 
     Seeds default to the fetched pages no other fetched page links to.  Each
     level is one join of the frontier with the edges and one anti join with
-    the visited set; the visited set is checkpointed to the shared checkpoint
-    folder every level, so the lineage stays one level deep.  The loop stops
-    when a level adds nothing, or at ``max_depth`` when one is given (LG8); the
-    only driver action per level is the emptiness test of the new frontier.
-    The edges are written once, so no level derives them again."""
+    the levels before it.  A level is written once (checkpointed to the shared
+    folder) and never again, so the work written is one row per node, and the
+    lineage stays one level deep.  The loop stops when a level adds nothing, or
+    at ``max_depth`` when one is given (LG8); the only driver action per level
+    is the emptiness test of the new frontier.  The edges are written once, so
+    no level derives them again.  For a graph that grows see ``crawl_depth``."""
     checkpoint_dir(pages.sparkSession)
     e = edges.select(page_key("src").alias("node"), F.col("dst_key").alias("next")).distinct().checkpoint()
     if seeds is None:
         keys = pages.select(page_key("url").alias("node")).distinct()
         linked = e.select(F.col("next").alias("node")).join(keys, "node", "left_semi").distinct()
         seeds = keys.join(linked, "node", "left_anti")
-    visited = seeds.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
-    level = visited
+    level = visited = seeds.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
     for d in count(1) if max_depth is None else range(1, max_depth + 1):
-        nxt = (level.join(e, "node").select(F.col("next").alias("node")).distinct()
-               .join(visited.select("node"), "node", "left_anti")
-               .select("node", F.lit(d).alias("depth"))).checkpoint()
-        if nxt.isEmpty():
+        level = (level.join(e, "node").select(F.col("next").alias("node")).distinct()
+                 .join(visited.select("node"), "node", "left_anti")
+                 .select("node", F.lit(d).alias("depth"))).checkpoint()
+        if level.isEmpty():
             break
-        visited = visited.unionByName(nxt).checkpoint()
-        level = nxt
+        visited = visited.unionByName(level)
     return visited.select(F.col("node").alias("url"), F.col("depth").cast("int").alias("depth"))
 
 

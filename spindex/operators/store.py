@@ -1,21 +1,15 @@
 """Stored postings: a versioned, token-bucketed inverted index that is written
 once and searched many times (SE2, SCN7, M3, ST3, AG2).
 
-Layout below one folder::
-
-    manifest/<version>.json          what is current: the highest version
-    run-<id>/postings/bucket=<b>/    (token, url, count), sorted by token, count desc, url
-    run-<id>/heads/bucket=<b>/       (token, head): the best ``head`` postings of a token
-    run-<id>/df/bucket=<b>/          (token, doc_freq)
-    run-<id>/urls/                   the distinct URLs of the run
-
-A *run* holds the summed postings of a set of batches and never changes.
-``append`` writes one run per batch, ``compact`` merges all runs into one.
-Both end in one atomic step, a new manifest; a reader resolves the manifest
-once and then only reads runs that nobody rewrites, so it finishes on the
-version it began with, whatever is appended or compacted meanwhile.  Runs that
-no kept manifest names are removed by ``vacuum``.  A batch id that a run already
-holds is not added again, so a replayed batch changes nothing.
+A ``VersionedFolder`` whose runs hold::
+
+    postings/bucket=<b>/    (token, url, count), sorted by token, count desc, url
+    heads/bucket=<b>/       (token, head): the best ``head`` postings of a token
+    df/bucket=<b>/          (token, doc_freq)
+    urls/                   the distinct URLs of the run
+
+A run is the summed postings of a set of batches; ``append`` writes one per
+batch, ``compact`` merges all into one.
 
 Buckets are folders, and the bucket of a token is ``xxhash64(token) mod
 buckets``: a search collects the buckets of its tokens (never more than there
@@ -30,20 +24,16 @@ the touched postings decide the new one exactly.  A token's document frequency
 rises by its touched pairs that are new to the store.  Both need the old counts
 of touched pairs only; a batch of pages that were never stored, which the URL
 lists tell, reads no old postings at all.
-
-There is one writer at a time; a second one fails at its manifest.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import file_system, list_names, read_text, write_new_text
+from ..session import checkpoint_dir
 from .sizing import broadcast_if_small
+from .versions import VersionedFolder, new_run
 
 BUCKETS = 64
 HEAD = 50          # fixed value: postings kept per query word
@@ -53,35 +43,12 @@ _HEADS = "token string, head array<struct<count: bigint, url: string>>, bucket i
 _DF = "token string, doc_freq bigint, bucket int"
 
 
-class PostingStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    # ----------------------------------------------------------- manifests
+class PostingStore(VersionedFolder):
+    SETTINGS = ("buckets", "head")
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, buckets: int = BUCKETS, head: int = HEAD) -> PostingStore:
-        """A new, empty store; the bucket count is a property of the stored
-        data and is read back with it."""
-        store = cls(spark, path)
-        if store.versions():
-            raise ValueError(f"{path} already holds a store")
-        store._commit(0, {"buckets": buckets, "head": head, "runs": []})
-        return store
-
-    def versions(self) -> list[int]:
-        return sorted(int(n.removesuffix(".json")) for n in list_names(self.spark, f"{self.path}/manifest")
-                      if n.endswith(".json") and n[0] != ".")
-
-    def manifest(self, version: int | None = None) -> dict:
-        """The current manifest, or that of an older version."""
-        if version is None:
-            version = self.versions()[-1]
-        return json.loads(read_text(self.spark, f"{self.path}/manifest/{version:012d}.json")) | {"version": version}
-
-    def _commit(self, version: int, content: dict) -> None:
-        content = {k: content[k] for k in ("buckets", "head", "runs")}
-        write_new_text(self.spark, f"{self.path}/manifest/{version:012d}.json", json.dumps(content))
+        return super().create(spark, path, buckets=buckets, head=head)
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         return Snapshot(self, self.manifest(version))
@@ -98,15 +65,17 @@ class PostingStore:
         """Adds a batch of postings ``(token, url, count)``, counts of a pair
         adding up.  False, and nothing is done, if the batch is already in."""
         now = self.manifest()
-        if any(batch_id in r["batches"] for r in now["runs"]):
+        if self.holds(now, batch_id):
             return False
-        before, run = Snapshot(self, now), f"run-{uuid.uuid4().hex}"
+        checkpoint_dir(self.spark)
+        before, run = Snapshot(self, now), new_run()
         rows = delta.groupBy("token", "url").agg(F.sum("count").cast("bigint").alias("count"))
         self._write(rows, run, "postings", "token", F.desc("count"), "url", buckets=now["buckets"])
         added = Snapshot(self, now | {"runs": [{"path": run, "batches": [batch_id]}]})
         rows = added.postings()
         rows.select("url").distinct().write.parquet(f"{self.path}/{run}/urls")
-        touched = before._totals(rows, added.urls())
+        # read twice, so the look-up of old counts is written once
+        touched = before._totals(rows, added.urls()).checkpoint()
         fresh = touched.where("NOT known").groupBy("token").agg(F.count(F.lit(1)).alias("doc_freq"))
         self._write(fresh, run, "df", "token", buckets=now["buckets"])
         heads = touched.select("token", "url", "count")
@@ -115,7 +84,7 @@ class PostingStore:
             # a touched posting of the old head is there with both counts: the larger is the new one
             heads = heads.unionByName(old).groupBy("token", "url").agg(F.max("count").alias("count"))
         self._write(_head(heads, now["head"]), run, "heads", "token", buckets=now["buckets"])
-        self._commit(now["version"] + 1, now | {"runs": [*now["runs"], {"path": run, "batches": [batch_id]}]})
+        self._add_run(now, run, batch_id)
         return True
 
     def compact(self) -> bool:
@@ -123,28 +92,14 @@ class PostingStore:
         now = self.manifest()
         if len(now["runs"]) < 2:
             return False
-        all_, run = Snapshot(self, now), f"run-{uuid.uuid4().hex}"
+        all_, run = Snapshot(self, now), new_run()
         self._write(all_.postings(), run, "postings", "token", F.desc("count"), "url", buckets=now["buckets"])
         all_.urls().write.parquet(f"{self.path}/{run}/urls")
         self._write(all_.doc_frequency(), run, "df", "token", buckets=now["buckets"])
         self._write(all_._head_rows(), run, "heads", "token", buckets=now["buckets"])
-        batches = [b for r in now["runs"] for b in r["batches"]]
-        self._commit(now["version"] + 1, now | {"runs": [{"path": run, "batches": batches}]})
+        self._one_run(now, run)
         return True
 
-    def vacuum(self, keep: int = 2) -> list[str]:
-        """Removes the runs that none of the last ``keep`` manifests names, and
-        older manifests.  Returns the removed runs."""
-        versions = self.versions()
-        kept = {r["path"] for v in versions[-keep:] for r in self.manifest(v)["runs"]}
-        fs, path = file_system(self.spark, self.path)
-        gone = [n for n in list_names(self.spark, self.path) if n.startswith("run-") and n not in kept]
-        for v in versions[:-keep]:
-            fs.delete(path(f"{self.path}/manifest/{v:012d}.json"), False)
-        for n in gone:
-            fs.delete(path(f"{self.path}/{n}"), True)
-        return gone
-
 
 def _head(postings: DataFrame, head: int) -> DataFrame:
     """(token, head) with the best ``head`` postings, count desc, url asc."""
@@ -161,18 +116,11 @@ class Snapshot:
         self.store, self.spark = store, store.spark
         self.buckets, self.head, self.runs = manifest["buckets"], manifest["head"], manifest["runs"]
 
-    def _read(self, name: str, schema: str, run: dict) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.store.path}/{run['path']}/{name}")
-
     def _of(self, name: str, schema: str, tokens: DataFrame | None) -> DataFrame:
         """Rows of all runs with the run's number ``_run``, of the given tokens:
         the buckets of the tokens select the folders to read."""
-        parts = [self._read(name, schema, r).withColumn("_run", F.lit(i)) for i, r in enumerate(self.runs)]
-        if not parts:
-            return self.spark.createDataFrame([], schema + ", _run int")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = self.store.union([self.store.read_run(name, schema, r).withColumn("_run", F.lit(i))
+                                for i, r in enumerate(self.runs)], schema + ", _run int")
         if tokens is None:
             return out
         wanted = tokens.select("token").distinct()
@@ -207,13 +155,8 @@ class Snapshot:
         return rows.groupBy("token").agg(F.sum("doc_freq").alias("doc_freq"))
 
     def urls(self) -> DataFrame:
-        parts = [self._read("urls", "url string", r) for r in self.runs]
-        if not parts:
-            return self.spark.createDataFrame([], "url string")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out if len(parts) < 2 else out.distinct()
+        out = self.store.union([self.store.read_run("urls", "url string", r) for r in self.runs], "url string")
+        return out if len(self.runs) < 2 else out.distinct()
 
     def stats(self) -> DataFrame:
         """AG1 over the store: (metric, value) of tokens, postings, URLs and occurrences."""
@@ -221,11 +164,7 @@ class Snapshot:
         counts = self._of("postings", _POSTINGS, None).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("occurrences"))
         urls = self.urls().agg(F.count(F.lit(1)).alias("urls"))
         one = lambda d: [d.select(F.lit(c).alias("metric"), F.col(c).cast("bigint").alias("value")) for c in d.columns]
-        parts = [*one(df), *one(counts), *one(urls)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self.store.union([*one(df), *one(counts), *one(urls)], "metric string, value bigint")
 
     def _totals(self, rows: DataFrame, batch_urls: DataFrame) -> DataFrame:
         """Touched pairs with their new totals, and whether they were known."""
