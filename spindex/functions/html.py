@@ -36,8 +36,9 @@ def _open(name: str) -> str:
 
 VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 # comments and dropped elements in one pass, leftmost first: a '<script>'
-# inside a comment, or '<!--' inside a script, opens nothing
-DROP_RE = (r"(?is)<!--.*?-->|" + _open("script") + r".*?</script\s*>|" + _open("style") + r".*?</style\s*>")
+# inside a comment, or '<!--' inside a script, opens nothing; a script or style
+# that is never closed goes on to the end of the document
+DROP_RE = (r"(?is)<!--.*?-->|" + _open("script") + r".*?(?:</script\s*>|\z)|" + _open("style") + r".*?(?:</style\s*>|\z)")
 TAG_RE = r"(?s)<[A-Za-z/!?]" + INSIDE + ">"
 TITLE_RE = "(?is)" + _open("title") + "(.*?)</title"
 META_RE = "(?is)" + _open("meta")

@@ -2,164 +2,43 @@
 (HX8-HX10, M2, M4, SE11).
 
 The context of an image is the text of its nearest ancestor (starting at the
-parent) whose text is longer than 300 characters, or the document root.
-That needs the element tree, which regex cannot give, so the one per-row
-Python piece in the library is ``_image_contexts``: a ``mapInArrow`` over
-the pages that contain ``<img`` which walks each page once with the stdlib
-HTML parser and emits one row per image.  Tokenising, counting, merging and
-ranking are the same Spark operators as for pages.
+parent) whose text is longer than 300 characters, or the whole document.  It is
+a containment join in array form: ``functions.tree`` folds a page's tags into
+the spans of the elements that hold images, and an image takes the innermost
+span around it that is long enough.  Everything is one projection over the
+pages that contain ``<img``, without a shuffle and without Python.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import html, tree
 from . import merge, postings
 
 CONTEXT_MIN_CHARS = 300   # fixed value: an ancestor's text must be longer than this
 
-CONTEXT_SCHEMA = "page_url string, ingest_seq bigint, img_pos int, src string, alt string, context string"
-
-# Elements without content, and the elements whose start
-# closes an open <p> (HTML's implied end tag).
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CLOSES_P = frozenset(("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 "
-                       "header hr main nav ol p pre section table ul").split())
-_DROP = frozenset(("script", "style"))
-# Elements whose end tag may be left out -> the start tags that
-# end them, and the elements beyond which they are not looked for.
-_IMPLIED_END = {
-    "li": (("li",), ("ul", "ol", "menu")),
-    "dt": (("dt", "dd"), ("dl",)),
-    "dd": (("dt", "dd"), ("dl",)),
-    "td": (("td", "th"), ("tr", "table")),
-    "th": (("td", "th"), ("tr", "table")),
-    "tr": (("tr",), ("table", "thead", "tbody", "tfoot")),
-    "option": (("option",), ("select", "datalist")),
-}
-_P_SCOPE = ("table", "td", "th", "button", "object", "caption")
-BATCH_CHARS = 16_000_000   # context characters gathered before a batch is handed over
-
-
-class _Tree(HTMLParser):
-    """Builds, per element, the span of the document's text stream it
-    covers; images remember their ancestor chain."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.text: list[str] = []
-        self.length = 0
-        self.stack: list[list] = [["#root", 0, None]]     # [tag, text start, text end]
-        self.spans: list[list] = [self.stack[0]]
-        self.images: list[tuple[str, str, list]] = []
-        self.skip = 0
-
-    def handle_starttag(self, tag, attrs):
-        if self.skip:
-            if tag in _DROP:
-                self.skip += 1
-            return
-        if tag in _DROP:
-            self.skip = 1
-            return
-        if tag in _CLOSES_P:
-            self._close_within(("p",), _P_SCOPE)
-        if tag in _IMPLIED_END:
-            self._close_within(*_IMPLIED_END[tag])
-        if tag == "img":
-            a = dict(attrs)
-            self.images.append((a.get("src") or "", a.get("alt") or "", list(self.stack)))
-            return
-        if tag in _VOID:
-            return
-        node = [tag, self.length, None]
-        self.stack.append(node)
-        self.spans.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        if tag == "img":
-            self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        if self.skip:
-            if tag in _DROP:
-                self.skip -= 1
-            return
-        self._close(tag)
-
-    def _close(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                for node in self.stack[i:]:
-                    node[2] = self.length
-                del self.stack[i:]
-                return
-
-    def _close_within(self, tags, scope):
-        """Ends the innermost open element of ``tags``, unless one of ``scope`` lies around it first."""
-        for node in reversed(self.stack[1:]):
-            if node[0] in tags:
-                return self._close(node[0])
-            if node[0] in scope:
-                return
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.text.append(data)
-            self.length += len(data)
-
-    def contexts(self):
-        for node in self.spans:
-            if node[2] is None:
-                node[2] = self.length
-        doc = "".join(self.text)
-        for src, alt, chain in self.images:
-            # chain[-1] is the parent; climb while the text is short
-            pick = chain[0]
-            for node in reversed(chain):
-                pick = node
-                if (node[2] if node[2] is not None else self.length) - node[1] > CONTEXT_MIN_CHARS:
-                    break
-            end = pick[2] if pick[2] is not None else self.length
-            yield src, alt, doc[pick[1]:end]
-
-
-_ARROW = pa.schema([("page_url", pa.string()), ("ingest_seq", pa.int64()), ("img_pos", pa.int32()),
-                    ("src", pa.string()), ("alt", pa.string()), ("context", pa.string())])
-
-
-def _image_contexts(batches):
-    for rb in batches:
-        d = rb.to_pydict()
-        out = {f.name: [] for f in _ARROW}
-        held = 0
-        for url, seq, html in zip(d["url"], d["ingest_seq"], d["html"]):
-            tree = _Tree()
-            tree.feed((html or "").replace("</", " </"))
-            tree.close()
-            for i, (src, alt, ctx) in enumerate(tree.contexts()):
-                out["page_url"].append(url)
-                out["ingest_seq"].append(seq)
-                out["img_pos"].append(i)
-                out["src"].append(src)
-                out["alt"].append(alt)
-                out["context"].append(ctx)
-                held += len(ctx)
-                if held > BATCH_CHARS:
-                    yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
-                    out, held = {f.name: [] for f in _ARROW}, 0
-        yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
-
 
 def image_contexts(raw: DataFrame) -> DataFrame:
     """HX8+HX9: one row per image of the raw pages (url, ingest_seq, html),
-    with its context text.  Only pages containing '<img' reach Python."""
-    with_img = raw.filter(F.lower(F.col("html")).contains("<img")).select("url", "ingest_seq", "html")
-    return with_img.mapInArrow(_image_contexts, CONTEXT_SCHEMA)
+    with its context text: (page_url, ingest_seq, img_pos, src, alt, context)."""
+    pages = raw.filter(F.lower(F.col("html")).contains("<img")).select("url", "ingest_seq", html.cleaned("html").alias("_clean"))
+    # each stage is its own projection and reads the columns of the one before
+    s1 = pages.select("url", "ingest_seq", tree.tags("_clean").alias("_tags"), tree.pieces("_clean").alias("_texts"),
+                      html.images("_clean").alias("_images"))
+    s2 = s1.select("url", "ingest_seq", "_images", F.array_join("_texts", "").alias("_doc"), tree.events("_tags", "_texts").alias("_events"))
+    s3 = s2.select("url", "ingest_seq", "_images", "_doc", F.length("_doc").alias("_length"), "_events",
+                   tree.image_spans("_events", F.length("_doc")).alias("_spans"))
+    at = F.transform(F.filter("_events", lambda e: e["img"]), lambda e: e["i"])
+    s4 = s3.select("url", "ingest_seq", "_doc", F.arrays_zip(
+        F.col("_images"), F.transform(at, lambda i: tree.nearest(F.col("_spans"), i, CONTEXT_MIN_CHARS, F.col("_length"))).alias("span")
+    ).alias("_found"))
+    rows = s4.select(F.col("url").alias("page_url"), "ingest_seq", "_doc", F.posexplode_outer("_found").alias("img_pos", "_f"))
+    rows = rows.filter(F.col("_f").isNotNull())
+    return rows.select("page_url", "ingest_seq", F.col("img_pos").cast("int").alias("img_pos"), F.col("_f._images.src").alias("src"),
+                       F.col("_f._images.alt").alias("alt"),
+                       F.col("_doc").substr(F.col("_f.span.start") + 1, F.col("_f.span.end") - F.col("_f.span.start")).alias("context"))
 
 
 def image_table(contexts: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import images, links, merge, pages, postings, scans, search
+from ..operators.crawl_depth import DepthStore
+from ..operators.seen import SeenSet
 from ..operators.store import PostingStore, Snapshot
 from ..session import checkpoint_dir, file_stamps
 from ..sources import tables
@@ -87,24 +89,28 @@ def tx_term_counts_stemmed(spark, sf):
 _STORES: dict[tuple, str] = {}
 
 
-def _stored_index(spark, sf, table: str, corpus: Callable[[], DataFrame]) -> Snapshot:
-    """The stemmed index of a corpus, written once per application and state of
-    the table's files, as a search service keeps it; later queries only read
-    the buckets of their tokens."""
-    key = (spark.sparkContext.applicationId, table, *file_stamps(spark, f"{sf.rstrip('/')}/{table}.parquet"))
+def _stored(spark, sf, name: str, table: str, fill: Callable[[PostingStore], object]) -> Snapshot:
+    """A posting store that is written once per application and state of the
+    table's files, as a search service keeps it; later queries only read the
+    buckets of their tokens."""
+    key = (spark.sparkContext.applicationId, name, *file_stamps(spark, f"{sf.rstrip('/')}/{table}.parquet"))
     if key not in _STORES:
-        store = PostingStore.create(spark, ingest.stream_folder(spark, f"index-{table}"))
-        store.append("all", postings.term_counts(corpus(), stem=True))
+        store = PostingStore.create(spark, ingest.stream_folder(spark, name))
+        fill(store)
         _STORES[key] = store.path
     return PostingStore(spark, _STORES[key]).snapshot()
 
 
 def document_index(spark, sf) -> Snapshot:
-    return _stored_index(spark, sf, "documents", lambda: _docs(spark, sf))
+    """The stemmed index of the documents."""
+    return _stored(spark, sf, "document-index", "documents", lambda store: store.append(
+        "all", postings.term_counts(_docs(spark, sf), stem=True)))
 
 
 def page_index(spark, sf) -> Snapshot:
-    return _stored_index(spark, sf, "pages", lambda: _parsed(spark, sf, "url", "text"))
+    """The stemmed index of the pages."""
+    return _stored(spark, sf, "page-index", "pages", lambda store: store.append(
+        "all", postings.term_counts(_parsed(spark, sf, "url", "text"), stem=True)))
 
 
 def _doc_search(spark, sf, **kw):
@@ -204,9 +210,21 @@ def ur_normalised(spark, sf):
 
 # ------------------------------------------------------------ link graph (LG)
 
+def _tree_links(spark, sf) -> DataFrame:
+    """Links between the fetched pages themselves: page i to pages 2i and
+    2i + 1.  The links of the driver pages lead to no fetched page, so seen
+    targets, in-degrees and depths beyond 1 occur only with these."""
+    p = tables.raw_pages(spark, sf).select("url", F.col("ingest_seq").alias("id"))
+    child = p.select(F.col("url").alias("dst"), F.col("id").alias("child"), F.floor(F.col("id") / 2).alias("id"))
+    return (p.join(child, "id").where(F.col("child") != F.col("id"))
+            .select(F.col("url").alias("src"), "dst", urls.remove_fragments("dst").alias("dst_key"),
+                    (F.lit(1000) + F.pmod("child", F.lit(2))).cast("int").alias("pos")))
+
+
 def _graph(spark, sf):
+    """The parsed pages, and their links with those between the pages."""
     parsed = _parsed(spark, sf, "url", "urls").select("url", "urls")
-    return parsed, pages.link_edges(parsed)
+    return parsed, pages.link_edges(parsed).unionByName(_tree_links(spark, sf))
 
 
 def _host_domains(parsed: DataFrame) -> DataFrame:
@@ -256,6 +274,40 @@ def lg_depth_limit(spark, sf):
     return links.bfs_depth(p, e, max_depth=4)
 
 
+def lg_seen_set(spark, sf):
+    """LG5 over two crawls: pages without a query string are fetched first,
+    those with one later; every link target is probed against the stored set."""
+    p, e = _graph(spark, sf)
+    seen = SeenSet.create(spark, ingest.stream_folder(spark, "seen"))
+    has_q = F.col("url").contains("?")
+    seen.add("first", p.where(~has_q))
+    seen.add("second", p.where(has_q))
+    return seen.probe(e.select("src", "pos", "dst"), "dst")
+
+
+def lg_new_targets(spark, sf):
+    """LG6 by the stored set of the first crawl: targets it has not fetched."""
+    p, e = _graph(spark, sf)
+    seen = SeenSet.create(spark, ingest.stream_folder(spark, "seen"))
+    seen.add("first", p.where(~F.col("url").contains("?")))
+    return seen.unseen(e.select(F.col("dst").alias("url")).distinct())
+
+
+def lg_depths_incremental(spark, sf):
+    """LG7 kept while the graph grows: the links of pages without a query
+    string come first, then the pages' own tree, then the other links."""
+    p, e = _graph(spark, sf)
+    rows = e.select(links.page_key("src").alias("node"), F.col("dst_key").alias("next"),
+                    (F.col("pos") >= 1000).alias("tree"), F.col("src").contains("?").alias("late")).checkpoint()
+    keys = p.select(links.page_key("url").alias("node")).distinct()
+    linked = rows.select(F.col("next").alias("node")).distinct()
+    store = DepthStore.create(spark, ingest.stream_folder(spark, "depths"))
+    store.add("first", rows.where("NOT tree AND NOT late"), keys.join(linked, "node", "left_anti"))
+    store.add("tree", rows.where("tree"))
+    store.add("late", rows.where("NOT tree AND late"))
+    return store.depths().select(F.col("node").alias("url"), "depth")
+
+
 def lg_depth_counts(spark, sf):
     """LG9: nodes per BFS depth."""
     return links.depth_counts(lg_bfs_depth(spark, sf))
@@ -319,6 +371,42 @@ def m_recrawl_skip(spark, sf):
     return _recrawl(spark, sf, "skip")
 
 
+def _updated_index(spark, sf) -> Snapshot:
+    """The page index after an ingest, a batch of new pages that is replayed, a
+    compaction and a re-crawl of the first ingest's pages."""
+    def fill(store: PostingStore) -> None:
+        _, ex, bt = _split(spark, sf)
+        counts = lambda df: postings.term_counts(df.select("url", "text"), stem=False)
+        store.append("first", counts(ex))
+        store.append("second", counts(bt))
+        store.append("second", counts(bt))
+        store.compact()
+        store.append("again", counts(ex))
+
+    return _stored(spark, sf, "updated-index", "pages", fill)
+
+
+def m_store_updates(spark, sf):
+    """M3, M5, ST3: the stored postings after batches, a replay and a compaction."""
+    return _updated_index(spark, sf).postings().select(*postings.POSTINGS_COLUMNS)
+
+
+def se_heads_under_updates(spark, sf):
+    """SE2: the best 50 postings of every token, kept under the same updates."""
+    h = _updated_index(spark, sf).heads()
+    return h.select("token", "url", "count", F.col("word_rank").cast("bigint").alias("word_rank"))
+
+
+def ag_doc_frequency_under_updates(spark, sf):
+    """AG2: documents per token, kept under the same updates."""
+    return _updated_index(spark, sf).doc_frequency()
+
+
+def ag_store_stats(spark, sf):
+    """AG1: sizes of the stored index after the same updates."""
+    return _updated_index(spark, sf).stats()
+
+
 def m_token_url_lookup(spark, sf):
     """M6: postings of the title tokens restricted to the batch URLs."""
     p, _, bt = _split(spark, sf)
@@ -423,9 +511,8 @@ def scn_count(spark, sf):
 
 def scn_exists(spark, sf):
     """SCN4: every distinct link target with its stored-page flag."""
-    p = _parsed(spark, sf, "url", "urls")
-    targets = pages.link_edges(p).select(F.col("dst").alias("url")).distinct()
-    return scans.exists(targets, "url", p)
+    p, e = _graph(spark, sf)
+    return scans.exists(e.select(F.col("dst").alias("url")).distinct(), "url", p)
 
 
 def scn_time_range(spark, sf):
@@ -438,7 +525,8 @@ def scn_time_range(spark, sf):
 def scn_pages_by_backlink(spark, sf):
     """SCN6: backlink pairs whose target is a stored page."""
     p = _parsed(spark, sf, "url", "urls", "title")
-    return scans.pages_linked_from(_page_backlinks(p), p.select(links.page_key("url").alias("url"), "title"))
+    bl = links.backlinks(pages.link_edges(p).unionByName(_tree_links(spark, sf)))
+    return scans.pages_linked_from(bl, p.select(links.page_key("url").alias("url"), "title"))
 
 
 def scn_forward_index(spark, sf):
@@ -505,11 +593,18 @@ QUERIES: dict[str, Query] = {
     "lg_bfs_depth": lg_bfs_depth,
     "lg_depth_counts": lg_depth_counts,
     "lg_depth_limit": lg_depth_limit,
+    "lg_seen_set": lg_seen_set,
+    "lg_new_targets": lg_new_targets,
+    "lg_depths_incremental": lg_depths_incremental,
     "m_page_merge": m_page_merge,
     "m_insert_ignore": m_insert_ignore,
     "m_postings_upsert": m_postings_upsert,
     "m_recrawl_add": m_recrawl_add,
     "m_recrawl_skip": m_recrawl_skip,
+    "m_store_updates": m_store_updates,
+    "se_heads_under_updates": se_heads_under_updates,
+    "ag_doc_frequency_under_updates": ag_doc_frequency_under_updates,
+    "ag_store_stats": ag_store_stats,
     "m_token_url_lookup": m_token_url_lookup,
     "m_backlink_set_add": m_backlink_set_add,
     "st_postings_equals_batch": st_postings_equals_batch,
