@@ -1,56 +1,63 @@
 """Removal of repeated passages of whole lines, in DataFrame functions only.
 
-:func:`dedup_passages` is the operator.  A line goes if it is part of a run of
-two or more lines, not all of them white space, that occurred earlier, by (key,
-position in the text), or if it has ``MIN_WORDS`` words or more and occurred
-earlier itself.  Every run of two or more lines is covered by its pairs of
-neighbours, so each pair and each long line is looked up once, by the SHA-256
-of its bytes: nothing depends on where a passage begins or ends, nor on the
-lines around it.  The first occurrence of a line is never removed.  White space
-beside white space is no pair.
-
-:func:`dedup_lines` is the coarser rule that came before it (whole chunks that
-recur), which the SQL twin and its tests describe.
-
-Chunks.  A line's hash is the leading 32 bits of its md5.  A chunk ends after a line
-where the rolling hash over the last two line hashes is 0 modulo ``DIVISOR``
-(and at the end of the text): the boundary depends on the lines around it
-alone, so a passage is cut the same way wherever it is shifted.  Chunks of at
-least two lines that occur more than once in the table are found by hash and
-then compared byte by byte; every occurrence but the first, by (key, position
-in the text), is removed.
-
-White space only is never removed for itself.  A null text stays null with 0
-lines.  Rows that share key and text are one document here: they lose the same
-lines, and none because of each other.
+The rule: a line goes if it is one of two neighbouring lines, not both white
+space, that occurred together earlier, by (key, position in the text), or if it
+has ``min_words`` words or more and occurred earlier itself.  A run of lines that
+recurs is made of such pairs, wherever it begins or ends, so no part of it is
+missed; the first occurrence is never removed.  Shorter single lines that recur
+are ordinary text ("Yes.", "* * *", a heading); ``min_words=1`` removes them too.
+
+Content-defined chunks do most of the work.  A line's hash is the leading 32
+bits of its md5, and a chunk ends after a line where the rolling hash over the
+last two line hashes is 0 modulo ``DIVISOR`` (and at the end of the text): the
+boundary depends on the lines around it alone, so a passage is cut the same way
+wherever it is shifted.  Chunks of two lines or more that occur more than once
+in the table are found by a hash of 8 bytes and their length, and compared byte
+by byte.  Every occurrence but the first goes with all pairs inside it; only
+narrow rows of chunks move for that, however long the passages are.
+
+What is left, the pairs across a boundary, those of chunks that are a first
+occurrence, and long lines, extends the chunks to both sides, line by line: each
+is looked up by the SHA-256 of its bytes.  The first occurrence of a pair
+is never inside a removed chunk, so the two steps decide as the rule says.
+
+A null text stays null with 0 lines.  Rows that share key and text are one
+document here: they lose the same lines, and none because of each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sizing import broadcast_if_small
 from .common import stored
 
 DIVISOR = 3
-MIN_LINES = 2
 MIN_WORDS = 50
 
+_NOT_SPACE = r"[^\x20\x09-\x0D]"
+
 
 def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """``k, h`` (hash of the text), ``n_lines`` and ``chunks``, an array of strings
-    in order.  Each line of a chunk is led by the letter L: with a line C put
-    after every boundary, splitting at those lines is unambiguous, and no step
-    looks into an array by position."""
-    split = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"),
-                        F.split(F.col(text), "\n", -1).alias("lines"))
+    """``k, h`` (hash of the text), ``start`` (the number of its first line), ``body`` per
+    chunk.  Each line of a body is led by the letter L: with a line C put after
+    every boundary, splitting at those lines is unambiguous, and no step looks
+    into an array by position."""
+    split = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.split(F.col(text), "\n", -1).alias("lines"))
     hashes = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
     closes = F.zip_with("lh", F.concat(F.array(F.lit(0).cast("long")), "lh"), lambda a, b: (a + b * 31) % divisor == 0)
-    marked = F.array_join(F.zip_with("lines", closes, lambda x, c: F.concat(
+    marked = F.array_join(F.zip_with("lines", "closes", lambda x, c: F.concat(
         F.lit("L"), x, F.when(c, "\nC").otherwise(""))), "\n")
-    text = split.withColumn("lh", hashes).select("k", "h", F.size("lines").cast("long").alias("n_lines"), marked.alias("m"))
-    # a boundary after the last line adds nothing
-    return text.select("k", "h", "n_lines", F.split(F.regexp_replace("m", r"\nC\z", ""), "\nC\n", -1).alias("chunks"))
+    ends = F.filter(F.transform("closes", lambda c, i: F.when(c, (i + 1).cast("long"))), lambda i: i.isNotNull())
+    text = (split.withColumn("lh", hashes).withColumn("closes", closes)
+            .select("k", "h", F.concat(F.array(F.lit(0).cast("long")), ends).alias("starts"), marked.alias("m")))
+    # a boundary after the last line opens no chunk
+    cut = text.select("k", "h", "starts", F.split(F.regexp_replace("m", r"\nC\z", ""), "\nC\n", -1).alias("bodies"))
+    return (cut.select("k", "h", F.explode(F.arrays_zip("starts", "bodies")).alias("c")).where("c.bodies IS NOT NULL")
+            .select("k", "h", F.col("c.starts").alias("start"), F.col("c.bodies").alias("body")))
 
 
 def _count(body: Column) -> Column:
@@ -58,45 +65,33 @@ def _count(body: Column) -> Column:
     return (F.length(body) - F.length(F.replace(body, F.lit("\n"))) + 1).cast("long")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR,
-                min_lines: int = MIN_LINES) -> DataFrame:
-    """``key, n_lines, removed_lines, text`` (what is left of it), one row per row of ``docs``."""
-    parts = chunked(docs, key, text, divisor)
+def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR,
+                    hashed: Callable[[str], Column] = F.xxhash64) -> DataFrame:
+    """``k, h, start, n`` of every chunk of two lines or more, not all white
+    space, whose bytes occurred earlier."""
     body = F.col("body")
-    occurrences = stored(
-        parts.select("k", "h", F.posexplode("chunks").alias("no", "body")).where(_count(body) >= min_lines)
-        .where(body.rlike(r"(?dm)^L[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"))
-        .select("k", "h", "no", F.xxhash64("body").alias("digest"), F.octet_length("body").alias("bytes")), "chunks")
-    # a digest seen under two (document, number) pairs at least
-    repeated = occurrences.groupBy("digest", "bytes").agg(
-        F.min(F.struct("k", "h", "no")).alias("a"), F.max(F.struct("k", "h", "no")).alias("b")).where(
-        ~F.col("a").eqNullSafe(F.col("b"))).select("digest", "bytes")
-    suspects = occurrences.join(repeated, ["digest", "bytes"], "left_semi").groupBy("k", "h").agg(
-        F.collect_set("no").alias("nos"))
-    on = lambda a, b: F.col(f"{a}.k").eqNullSafe(F.col(f"{b}.k")) & F.col(f"{a}.h").eqNullSafe(F.col(f"{b}.h"))
-    # byte comparison of the suspects: grouping by the bytes themselves, combined before they move
-    bodies = (parts.alias("d").join(suspects.alias("s"), on("d", "s"))
-              .select("d.k", "d.h", F.explode(F.transform("nos", lambda i: F.struct(
-                  i.alias("no"), F.get("chunks", i).alias("body")))).alias("c"))
-              .select("k", "h", "c.no", "c.body", F.xxhash64("c.body").alias("digest")))
-    bodies = stored(bodies, "suspects")
-    classes = bodies.groupBy("digest", "body").agg(F.min(F.struct("k", "h", "no")).alias("first"),
-                                                   F.max(F.struct("k", "h", "no")).alias("last"))
-    classes = classes.where(~F.col("first").eqNullSafe(F.col("last")))
-    # the bytes decide: equal digests with other bytes are another class
-    gone = (bodies.alias("o").join(classes.alias("c"), F.expr("o.digest = c.digest AND o.body = c.body"))
-            .where(~F.struct("o.k", "o.h", "o.no").eqNullSafe(F.struct("c.first.k", "c.first.h", "c.first.no")))
-            .groupBy("o.k", "o.h").agg(F.collect_set("o.no").alias("nos")))
-    every = F.sequence(F.lit(0), F.size("chunks") - 1)
-    stay = F.when(F.col("nos").isNull(), F.col("chunks")).otherwise(
-        F.transform(F.array_except(every, "nos"), lambda i: F.get("chunks", i)))
-    left = parts.alias("d").join(gone.alias("g"), on("d", "g"), "left").select(
-        "d.k", "d.n_lines", stay.alias("stay")).select("k", "n_lines", F.size("stay").alias("n_stay"), F.array_join("stay", "\n").alias("left"))
-    n_left = F.when(F.col("n_stay") > 0, _count(F.col("left"))).otherwise(F.lit(0))
-    return left.select(
-        F.col("k").alias(key), F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n_lines") - n_left).cast("long").alias("removed_lines"),
-        F.regexp_replace("left", "(?dm)^L", "").alias("text"))
+    chunks = (chunked(docs, key, text, divisor).withColumn("n", _count(body)).where("n > 1")
+              .where(body.rlike(rf"(?dm)^L[\x20\x09\x0B-\x0D]*{_NOT_SPACE}"))
+              .withColumn("digest", hashed("body")).withColumn("bytes", F.octet_length("body")))
+    at = F.struct("k", "h", "start")
+    found = stored(chunks.select("k", "h", "start", "n", "digest", "bytes"), "chunks")
+    by = ["digest", "bytes"]
+    twice = lambda df, *keys: df.groupBy(*keys).agg(F.min(at).alias("first"), F.max(at).alias("last")).where(
+        ~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    # written, so that the joins below are of plain scans, which may be split at a hot digest
+    suspects = stored(twice(found, *by), "suspects")
+    # the bytes of suspects: one body per digest and task moves
+    bodies = chunks.join(broadcast_if_small(suspects.select(*by)), by, "left_semi")
+    compared = stored(bodies.groupBy(*by).agg((F.min("body") == F.max("body")).alias("same")), "compared")
+    equal = suspects.join(compared.where("same").select(*by), by, "left_semi")
+    gone = found.join(equal, by).where(~at.eqNullSafe(F.col("first"))).select("k", "h", "start", "n")
+    collided = compared.where("NOT same").select(*by)
+    if collided.isEmpty():
+        return gone
+    # equal hashes of other bytes: grouped by the bytes themselves
+    bodies = stored(chunks.join(F.broadcast(collided) if collided.count() < 10_000 else collided, by, "left_semi"), "collided")
+    return gone.unionByName(bodies.join(stored(twice(bodies, "body"), "classes"), "body")
+                            .where(~at.eqNullSafe(F.col("first"))).select("k", "h", "start", "n"))
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -106,10 +101,10 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
                         F.split(F.col(text), "\n", -1).alias("lines"))
     after = F.concat(F.expr("slice(lines, 2, size(lines))"), F.array(F.lit(None).cast("string")))
     rows = split.select("k", "h", F.posexplode(F.zip_with("lines", after, lambda x, y: F.struct(
-        x.alias("x"), y.alias("y")))).alias("no", "p")).select("k", "h", "no", "p.x", "p.y")
+        x.alias("x"), y.alias("y")))).alias("no", "p")).select("k", "h", F.col("no").cast("long").alias("no"), "p.x", "p.y")
     # anchored and possessive: one look at the line
     long = F.col("x").rlike(r"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (min_words - 1))
-    filled = F.concat("x", "y").rlike(r"[^\x20\x09-\x0D]")  # null after the last line
+    filled = F.concat("x", "y").rlike(_NOT_SPACE)  # null after the last line
     digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
     item = lambda n, c: F.struct(F.lit(n).alias("lines"), digest(c).alias("digest"))
     items = F.array(F.when(long, item(1, F.col("x"))), F.when(filled, item(2, F.concat("x", F.lit("\n"), "y"))))
@@ -117,16 +112,25 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
         "k", "h", "no", "i.lines", "i.digest")
 
 
-def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+                   divisor: int = DIVISOR, hashed: Callable[[str], Column] = F.xxhash64) -> DataFrame:
     """``key, n_lines, removed_lines, text`` (what is left of it), one row per row of ``docs``."""
-    found = stored(passages(docs, key, text, min_words), "passages")
+    chunks = repeated_chunks(docs, key, text, divisor, hashed)
+    # the first lines of the pairs inside removed chunks
+    inside = stored(chunks.select(F.col("k").alias("ck"), F.col("h").alias("ch"), F.explode(
+        F.sequence("start", F.col("start") + F.col("n") - 2)).alias("cno")), "inside")
+    on = F.col("k").eqNullSafe(F.col("ck")) & F.col("h").eqNullSafe(F.col("ch")) & (F.col("no") == F.col("cno"))
+    found = stored(passages(docs, key, text, min_words).join(inside, on, "left").select(
+        "k", "h", "no", "lines", "digest", F.col("cno").isNotNull().alias("known")), "passages")
     at = F.struct("k", "h", "no")
+    rest = found.where("NOT known")
     # seen at two places at least; written, so that a join on it may split a hot digest's rows
-    repeated = stored(found.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(
+    repeated = stored(rest.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(
         ~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "repeated")
-    gone = (found.join(repeated, "digest").where(~at.eqNullSafe(F.col("first")))
+    later = rest.join(repeated, "digest").where(~at.eqNullSafe(F.col("first"))).select("k", "h", "no", "lines")
+    gone = (later.unionByName(found.where("known").select("k", "h", "no", "lines"))
             .select("k", "h", F.explode(F.sequence("no", F.col("no") + F.col("lines") - 1)).alias("no"))
-            .groupBy("k", "h").agg(F.collect_set("no").alias("nos")))
+            .groupBy("k", "h").agg(F.collect_set(F.col("no").cast("int")).alias("nos")))
     split = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.split(F.col(text), "\n", -1).alias("lines"))
     left = split.alias("d").join(gone.alias("g"), F.col("d.k").eqNullSafe(F.col("g.k")) & F.col("d.h").eqNullSafe(
         F.col("g.h")), "left")

@@ -88,23 +88,23 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS c
 
 OP8 = r"""
 WITH l AS (
-  SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i
         FROM documents WHERE text IS NOT NULL)
-), e AS (
-  SELECT *, CAST((h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS INT) AS closes FROM l
-), k AS (
-  SELECT *, coalesce(sum(closes) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM e
-), c AS (
-  SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM k GROUP BY doc_id, no
+), p AS (
+  SELECT doc_id, i, 2 AS n, x || chr(10) || y AS body FROM l WHERE y IS NOT NULL AND regexp_matches(x || y, '[^\x20\x09-\x0D]')
+  UNION ALL
+  SELECT doc_id, i, 1, x FROM l WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50
 ), f AS (
-  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, no) > 1 AND n >= 2
-    AND regexp_matches(body, '[^\x20\x09-\x0D]') AS gone
-  FROM c
+  SELECT doc_id, i, n FROM p QUALIFY row_number() OVER (PARTITION BY n, body ORDER BY doc_id, i) > 1
+), g AS (
+  SELECT doc_id, i FROM f UNION SELECT doc_id, i + 1 FROM f WHERE n = 2
+), k AS (
+  SELECT l.doc_id, l.i, l.x, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i
 )
-SELECT d.doc_id, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS n_lines, CAST(coalesce(sum(f.n) FILTER (gone), 0) AS BIGINT) AS removed_lines,
-  CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(f.body, chr(10) ORDER BY f.no) FILTER (NOT gone), '') END AS text
-FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id, d.text
+SELECT d.doc_id, CAST(count(k.i) AS BIGINT) AS n_lines, CAST(count(*) FILTER (k.gone) AS BIGINT) AS removed_lines,
+  CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(k.x, chr(10) ORDER BY k.i) FILTER (NOT k.gone), '') END AS text
+FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
 _TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "

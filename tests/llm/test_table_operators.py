@@ -366,43 +366,30 @@ def test_one_survivor_per_component(spark, docs_of):
 
 # ----------------------------------------------------------- 8 line dedup
 
-def plain_lines(rows):
-    """By (key, position): every later occurrence of a chunk of two lines or more goes."""
-    cut = {}
-    for k, t in rows:
-        if t is None:
-            cut[k] = None
-            continue
-        parts, held, before = [], [], 0
-        for line in t.split("\n"):
+def plain_chunks(rows):
+    """(key, first line, lines) of every later occurrence of a chunk of two lines or more, by (key, position)."""
+    seen, out = set(), []
+    for k, t in sorted(rows, key=lambda r: r[0]):
+        held, before = [], 0
+        parts = t.split("\n") if t is not None else []
+        for i, line in enumerate(parts):
             h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
             held.append(line)
-            if (h + 31 * before) % lines.DIVISOR == 0:
-                parts.append(held)
+            if (h + 31 * before) % lines.DIVISOR == 0 or i == len(parts) - 1:
+                body = tuple(held)
+                if len(body) >= 2 and re.search(r"[^\x20\x09-\x0D]", "".join(body)):
+                    if body in seen:
+                        out.append((k, i + 1 - len(body), len(body)))
+                    seen.add(body)
                 held = []
             before = h
-        cut[k] = parts + [held] if held else parts
-    seen, out = set(), []
-    for k in sorted(cut):
-        if cut[k] is None:
-            out.append((k, 0, 0, None))
-            continue
-        stay = []
-        for c in cut[k]:
-            body = "\n".join(c)
-            if len(c) >= 2 and re.search(r"[^\x20\x09-\x0D]", body):
-                if body in seen:
-                    continue
-                seen.add(body)
-            stay.append(c)
-        n = sum(map(len, cut[k]))
-        out.append((k, n, n - sum(map(len, stay)), "\n".join("\n".join(c) for c in stay)))
-    return out
+    return sorted(out)
 
 
-def test_lines(docs_of):
+def test_repeated_chunks(docs_of):
+    """Chunks are found, compared byte by byte (with any hash, however poor), and most repeated pairs lie inside them."""
     rng = random.Random(12)
-    shared = [[f"shared {i} {j}" for j in range(9)] for i in range(4)]
+    shared = [[f"shared {i} {j}" for j in range(30)] for i in range(4)]
     rows = []
     for k in range(60):
         body = [f"own {k} {i}" for i in range(rng.randrange(6))]
@@ -410,20 +397,16 @@ def test_lines(docs_of):
             body[rng.randrange(len(body) + 1):0] = s
         rows.append((k, "\n".join(body)))
     rows += [(100, None), (101, ""), (102, "\n\n\n"), (103, "\n\n\n"), (104, "a\nb\na\nb\na\nb\na\nb"), (105, "line\n" * 20_000)]
-    got = sorted((r["doc_id"], r["n_lines"], r["removed_lines"], r["text"]) for r in lines.dedup_lines(docs_of(rows)).collect())
-    want = plain_lines(rows)
-    assert got == want and sum(x[2] for x in want) > 100
-    assert lines.dedup_lines(docs_of(rows).limit(0)).count() == 0
-
-
-def test_lines_of_repeated_rows(docs_of):
-    rows = [(1, "x y\nz z\nq"), (1, "x y\nz z\nq"), (None, "u\nv")]
-    assert {(r["doc_id"], r["removed_lines"]) for r in lines.dedup_lines(docs_of(rows)).collect()} == {(1, 0), (None, 0)}
-
-
-def test_lines_are_native(docs_of):
-    plan = lines.dedup_lines(docs_of([(1, "a\nb")]))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    want = plain_chunks(rows)
+    for hashed in (F.xxhash64, lambda c: F.pmod(F.xxhash64(c), F.lit(5)), lambda c: F.lit(0).cast("long")):
+        got = lines.repeated_chunks(docs_of(rows), hashed=hashed)
+        assert sorted((r["k"], r["start"], r["n"]) for r in got.collect()) == want
+    inside = sum(n - 1 for k, _, n in want if k < 100)
+    removed = sum(n for k, _, n, _ in plain_passages(rows) if k < 100)
+    assert 0.4 * removed < inside < removed
+    got = sorted((r["doc_id"], r["n_lines"], r["removed_lines"], r["text"]) for r in lines.dedup_passages(
+        docs_of(rows), hashed=lambda c: F.pmod(F.xxhash64(c), F.lit(5))).collect())
+    assert got == plain_passages(rows)
 
 
 def plain_passages(rows):
