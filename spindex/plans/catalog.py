@@ -17,9 +17,10 @@ from ..operators import images, links, merge, pages, postings, scans, search
 from ..operators.crawl_depth import DepthStore
 from ..operators.seen import SeenSet
 from ..operators.store import PostingStore, Snapshot
+from ..operators.timeline import TimeTable
 from ..session import checkpoint_dir, file_stamps
 from ..sources import tables
-from ..streaming import ingest
+from ..streaming import first_wins, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -442,6 +443,13 @@ def st_pages_first_wins(spark, sf):
     return ingest.read_pages(spark, _streamed(spark, sf)).select("url", "title", "description")
 
 
+def st_first_wins_state(spark, sf):
+    """ST2 by keyed state: only the first row of a URL key leaves the stream."""
+    out = ingest.stream_folder(spark, "st-first")
+    first_wins.run(pages.parse(tables.only_ok(ingest.page_table_stream(spark, sf))), out)
+    return spark.read.schema(first_wins.SCHEMA).parquet(f"{out}/first").select("url", "title", "description")
+
+
 def st_backlinks(spark, sf):
     """ST5: backlink pairs from the stream."""
     return ingest.read_backlinks(spark, _streamed(spark, sf))
@@ -522,6 +530,16 @@ def scn_time_range(spark, sf):
         "event_id", "user_id", "event_type", "value")
 
 
+def scn_time_clustered(spark, sf):
+    """SCN5 over a table clustered by time, filled in four batches and compacted."""
+    ev = tables.table(spark, sf, "events")
+    store = TimeTable.create(spark, ingest.stream_folder(spark, "events"), ev, "ts")
+    for i in range(4):
+        store.add(str(i), ev.where(F.pmod("event_id", F.lit(4)) == i))
+    store.compact()
+    return store.between("2024-01-10 00:00:00", "2024-01-20 00:00:00").select("event_id", "user_id", "event_type", "value")
+
+
 def scn_pages_by_backlink(spark, sf):
     """SCN6: backlink pairs whose target is a stored page."""
     p = _parsed(spark, sf, "url", "urls", "title")
@@ -609,6 +627,7 @@ QUERIES: dict[str, Query] = {
     "m_backlink_set_add": m_backlink_set_add,
     "st_postings_equals_batch": st_postings_equals_batch,
     "st_pages_first_wins": st_pages_first_wins,
+    "st_first_wins_state": st_first_wins_state,
     "st_backlinks": st_backlinks,
     "st_running_counts": st_running_counts,
     "hx_images": hx_images,
@@ -620,6 +639,7 @@ QUERIES: dict[str, Query] = {
     "scn_count": scn_count,
     "scn_exists": scn_exists,
     "scn_time_range": scn_time_range,
+    "scn_time_clustered": scn_time_clustered,
     "scn_pages_by_backlink": scn_pages_by_backlink,
     "scn_forward_index": scn_forward_index,
     "scn_nested_index": scn_nested_index,

@@ -169,6 +169,9 @@ SQL: dict[str, str] = {
     "st_pages_first_wins": (f"WITH {O.parsed_pages_ctes()}\nSELECT arg_min(url, ingest_seq) AS url, "
                             f"arg_min(title, ingest_seq) AS title, arg_min(description, ingest_seq) AS description "
                             f"FROM pp GROUP BY {O.remove_fragments('url')}"),
+    "st_first_wins_state": (f"WITH {O.parsed_pages_ctes()}\nSELECT arg_min(url, ingest_seq) AS url, "
+                            f"arg_min(title, ingest_seq) AS title, arg_min(description, ingest_seq) AS description "
+                            f"FROM pp GROUP BY {O.remove_fragments('url')}"),
     "st_backlinks": _graph_sql("SELECT url, backlink FROM bl"),
     "st_running_counts": f"WITH {O.parsed_pages_ctes()}\n{O.postings_nostem('pp')}",
     "scn_find": (f"WITH {O.parsed_pages_ctes()},\n{O.links_ctes()}\nSELECT url, title FROM pp WHERE "
@@ -179,6 +182,8 @@ SQL: dict[str, str] = {
                              "rtrim(rtrim(dst, '/'), ' ') IN (SELECT rtrim(rtrim(url, '/'), ' ') FROM pp) AS exists FROM ln", tree=True),
     "scn_time_range": ("SELECT event_id, user_id, event_type, value FROM events "
                        "WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"),
+    "scn_time_clustered": ("SELECT event_id, user_id, event_type, value FROM events "
+                       "WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"),
     "scn_pages_by_backlink": _graph_sql("SELECT url, backlink FROM bl WHERE url IN (SELECT node FROM keys)", tree=True),
     "scn_forward_index": (f"WITH {O.parsed_pages_ctes()},\nallp AS ({O.postings_nostem('pp')})\n"
                           f"SELECT url, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(count) AS BIGINT) AS n_occurrences "
