@@ -67,6 +67,20 @@ def stored(df: DataFrame, name: str, codec: str = "snappy", group_bytes: int | N
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, and ``more``: whatever the
+    columns are called, names that an operator adds can't clash with them.
+    ``select("row.*")`` gives the columns back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, freeing, freeing_group, partitions, small_batches, stored, temporary
+from .common import delete, freeing, freeing_group, packed, partitions, small_batches, stored, temporary
 from .shingles import U, blocks, forget, mix, sets
 
 SKETCH = 1024       # bits of the smallest sketch
@@ -581,16 +581,6 @@ def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return found
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key is their component's smallest; of rows that repeat such a key, one.
-    That loses texts where keys are null or repeated: :func:`survivors` goes by component."""
-    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__k")).agg(
-        F.count(F.lit(1)).alias("__n"))
-    rows = docs.join(stay, docs[key].eqNullSafe(F.col("__k")))
-    once = rows.where("__n = 1").drop("__k", "__n")
-    return once.unionByName(rows.where("__n > 1").drop("__k", "__n").dropDuplicates([key]))
-
-
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of ``docs`` of each component, with all its columns: the one with the
     smallest key (null last), then node, then digest of the text.  Rows that agree
@@ -607,10 +597,9 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
         empty = rows.where("node IS NULL").select("k", "digest").distinct().withColumn("same", F.lit(1).cast("long"))
         stay = stored(nodes.select("best.k", "best.digest", "best.same").unionByName(empty), "survivors")
         folders.pop()  # the result stays
-    t = F.coalesce(F.col("d." + text), F.lit(""))
-    found = docs.alias("d").join(stay.alias("s"), F.col("d." + key).eqNullSafe(F.col("s.k")) & (
-        F.unhex(F.sha2(t.cast("binary"), 256)) == F.col("s.digest")))
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    single = found.where("s.same = 1").select(*names)
-    again = found.where("s.same > 1").select(*names, F.col("s.digest").alias("__digest")).dropDuplicates([key, "__digest"])
-    return single.unionByName(again.drop("__digest"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    given = packed(docs, F.col(key).alias("of"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("of_digest"))
+    found = given.join(stay, F.col("of").eqNullSafe(F.col("k")) & (F.col("of_digest") == F.col("digest")))
+    single = found.where("same = 1").select("row.*")
+    again = found.where("same > 1").select("row", "k", "digest").dropDuplicates(["k", "digest"])
+    return single.unionByName(again.select("row.*"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing, held_out, small_batches
+from .common import free_name, freeing, held_out, small_batches
 
 MAX_TRAIN, LANDMARKS, RIDGE = 2400, 160, 1e-2
 COMMON = 0.2  # of a language's landmarks, two at least
@@ -187,7 +187,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         _SEEN.clear()
 
     sample = rows.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang")))
-    got = sample.limit(4 * max(max_train, 4 * len(counts))).mapInArrow(freeing(sets), "lang string, place double, grams binary").collect()
+    # ordered, so that the bound takes the same rows in every run
+    got = sample.orderBy("place", F.xxhash64("t", "lang"), "t").limit(4 * max(max_train, 4 * len(counts))).mapInArrow(freeing(sets), "lang string, place double, grams binary").collect()
     got.sort(key=lambda r: (r["place"], r["lang"], bytes(r["grams"])))
     if not got:  # so few rows that the hashes chose none
         return None
@@ -230,9 +231,10 @@ def annotate(docs: DataFrame, model: Model | None, text: str = "text", name: str
             _VOCAB.clear()
             pa.default_memory_pool().release_unused()
 
-    found = docs.withColumn("__found", each(F.when(F.col(text).rlike(r"\p{L}"), F.col(text).cast("binary"))))
-    more = {foreign: F.col("__found.foreign")} if foreign else {}
-    return found.withColumns({name: F.col("__found.name"), score: F.col("__found.score")} | more).drop("__found")
+    held = free_name(docs, "found")
+    found = docs.withColumn(held, each(F.when(F.col(text).rlike(r"\p{L}"), F.col(text).cast("binary"))))
+    more = {foreign: F.col(f"{held}.foreign")} if foreign else {}
+    return found.withColumns({name: F.col(f"{held}.name"), score: F.col(f"{held}.score")} | more).drop(held)
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

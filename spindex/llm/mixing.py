@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, packed, stored
 
 BITS, LEVELS = 12, 5
 WEIGHTS = (5, 2, 1)
@@ -109,7 +109,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 def apply(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as :func:`mix` says.  Rows
     of one key and source have one hash, hence one number of copies."""
-    copies = plan.groupBy(F.col(key).alias("__k"), F.col("source").alias("__s")).agg(F.max("copies").alias("__copies"))
-    rows = docs.join(copies, docs[key].eqNullSafe(F.col("__k")) & docs[source].eqNullSafe(F.col("__s")))
-    return rows.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
-        *[docs[c] for c in docs.columns])
+    copies = plan.groupBy(F.col(key).alias("of"), F.col("source").alias("from")).agg(F.max("copies").alias("copies"))
+    rows = packed(docs, F.col(key).alias("k"), F.col(source).alias("s")).join(
+        copies, F.col("k").eqNullSafe(F.col("of")) & F.col("s").eqNullSafe(F.col("from")))
+    repeated = rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select("row.*")

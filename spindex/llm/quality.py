@@ -167,7 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return float(next(iter(counts), 0.5))
     share = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, min(1.0, max_train / 2 / n))])
     place = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("y"))).limit(4 * max_train)
+    chosen = known.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("y")))
+    # ordered, so that the bounds take the same rows in every run
+    chosen = chosen.orderBy("place", "k", "y").limit(4 * max_train)
 
     def cut(batches):
         for batch in batches:
@@ -182,8 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     # at most 4 * MAX_TRAIN small rows are broadcast
-    got = texts.join(F.broadcast(chosen), "k").select(F.col("y").cast("int").alias("y"), "place", "t").limit(
-        8 * max_train).mapInArrow(freeing(cut), "y int, place double, x binary, w binary").collect()
+    got = texts.join(F.broadcast(chosen), "k").select(F.col("y").cast("int").alias("y"), "place", "t").orderBy(
+        "place", F.xxhash64("t", "y"), "t").limit(8 * max_train).mapInArrow(freeing(cut), "y int, place double, x binary, w binary").collect()
     got.sort(key=lambda r: (r["place"], r["y"], bytes(r["x"])))
     y = np.array([r["y"] for r in got], float)
     if len(set(y)) < 2:
