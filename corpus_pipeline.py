@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindex.llm import bpe, exact, jaccard, langid, mixing
-from spindex.llm.common import stored, table
+from spindex.llm.common import packed, stored, table
 from spindex.llm.queries import WORD_BPE
 
 #: A document is rejected when its language can't be told: no letter, n-grams
@@ -22,9 +22,9 @@ MIN_SCORE = 0.25
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is identified."""
-    found = langid.annotate(docs, langid.train(docs), foreign="__foreign")
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_SCORE) & ~F.col("__foreign")).select(
-        *docs.columns)
+    rows = packed(docs, F.col("text").alias("t"))
+    found = langid.annotate(rows, langid.train(docs), text="t", foreign="foreign")
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_SCORE) & ~F.col("foreign")).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
