@@ -74,6 +74,18 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
 
 
+def numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """The columns of ``docs`` as ``c0, c1, ...``, and ``more``: like :func:`packed`,
+    for plans that read a join's result twice.  (Fields of a struct are pulled
+    below the join, differently in each branch, which then share no shuffle.)"""
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *more)
+
+
+def original(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of :func:`numbered` under their own names."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or one like it that ``df`` doesn't have."""
     while name in df.columns:

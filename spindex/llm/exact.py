@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import list_names, read_text, write_new_text
-from .common import SPACE, packed, partitions, shared_path, stored
+from .common import SPACE, numbered, original, partitions, shared_path, stored
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,10 +133,9 @@ def survivors(docs: DataFrame, decisions: DataFrame, key: str = "doc_id", text:
     t = F.coalesce(F.col(text), F.lit(""))
     same = decisions.groupBy(F.col(key).alias("of"), "n_chars", "text_sha256").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n_same"))
-    rows = packed(docs, F.col(key).alias("k"), F.length(t).cast("long").alias("n_chars"),
-                  F.sha2(F.translate(t, SPACE, "").cast("binary"), 256).alias("text_sha256"))
+    rows = numbered(docs, F.col(key).alias("k"), F.length(t).cast("long").alias("n_chars"),
+                    F.sha2(F.translate(t, SPACE, "").cast("binary"), 256).alias("text_sha256"))
     found = rows.join(same.where("kept").withColumnsRenamed({"n_chars": "of_chars", "text_sha256": "of_sha256"}), (
         F.col("k").eqNullSafe(F.col("of")) & (F.col("n_chars") == F.col("of_chars")) & (F.col("text_sha256") == F.col("of_sha256"))))
-    single = found.where("n_same = 1").select("row.*")
-    again = found.where("n_same > 1").select("row", "k", "n_chars", "text_sha256").dropDuplicates(["k", "n_chars", "text_sha256"])
-    return single.unionByName(again.select("row.*"))
+    again = found.where("n_same > 1").dropDuplicates(["k", "n_chars", "text_sha256"])
+    return original(found.where("n_same = 1"), docs).unionByName(original(again, docs))

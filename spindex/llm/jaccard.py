@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, freeing, freeing_group, packed, partitions, small_batches, stored, temporary
+from .common import delete, freeing, freeing_group, numbered, original, partitions, small_batches, stored, temporary
 from .shingles import U, blocks, forget, mix, sets
 
 SKETCH = 1024       # bits of the smallest sketch
@@ -598,8 +598,7 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
         stay = stored(nodes.select("best.k", "best.digest", "best.same").unionByName(empty), "survivors")
         folders.pop()  # the result stays
     t = F.coalesce(F.col(text), F.lit(""))
-    given = packed(docs, F.col(key).alias("of"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("of_digest"))
+    given = numbered(docs, F.col(key).alias("of"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("of_digest"))
     found = given.join(stay, F.col("of").eqNullSafe(F.col("k")) & (F.col("of_digest") == F.col("digest")))
-    single = found.where("same = 1").select("row.*")
-    again = found.where("same > 1").select("row", "k", "digest").dropDuplicates(["k", "digest"])
-    return single.unionByName(again.select("row.*"))
+    again = found.where("same > 1").dropDuplicates(["k", "digest"])
+    return original(found.where("same = 1"), docs).unionByName(original(again, docs))
