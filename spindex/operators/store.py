@@ -74,8 +74,7 @@ class PostingStore(VersionedFolder):
         added = Snapshot(self, now | {"runs": [{"path": run, "batches": [batch_id]}]})
         rows = added.postings()
         rows.select("url").distinct().write.parquet(f"{self.path}/{run}/urls")
-        # read twice, so the look-up of old counts is written once
-        touched = before._totals(rows, added.urls()).checkpoint()
+        touched = before._totals(rows, added.urls())
         fresh = touched.where("NOT known").groupBy("token").agg(F.count(F.lit(1)).alias("doc_freq"))
         self._write(fresh, run, "df", "token", buckets=now["buckets"])
         heads = touched.select("token", "url", "count")
@@ -176,5 +175,7 @@ class Snapshot:
             return new
         old = (self.postings(rows.select("token").distinct()).join(broadcast_if_small(again), "url", "left_semi")
                .select("token", "url", F.col("count").alias("_old")))
+        # read twice, so the look-up of old counts is written once
         return rows.join(old, ["token", "url"], "left").select(
-            "token", "url", (F.col("count") + F.coalesce("_old", F.lit(0))).alias("count"), F.col("_old").isNotNull().alias("known"))
+            "token", "url", (F.col("count") + F.coalesce("_old", F.lit(0))).alias("count"),
+            F.col("_old").isNotNull().alias("known")).checkpoint()
