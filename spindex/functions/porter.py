@@ -12,8 +12,17 @@ letter before it is a consonant; everything else is a consonant.  The pattern
 of a prefix is the prefix of the pattern, so one pattern per step serves every
 stem test of that step.
 
-Like the author's own published implementation, words of one or two letters
-are left as they are.
+Two rule sets, chosen by ``mode``:
+
+* ``'paper'``: the 1980 rules.  Like the author's own published implementation,
+  words of one or two letters are left as they are.
+* ``'extended'`` (the default): the departures that natural-language libraries
+  made the usual default.  A list of irregular words comes first; ``-ies`` and
+  ``-ied`` keep an ``e`` in words of four letters and ``-ied`` is a rule of its
+  own; final ``y`` turns into ``i`` after a consonant only (*enjoy* and *they* stay,
+  so *they* still meets the stop list); ``-bli`` replaces ``-abli``, ``-fulli`` and
+  ``-logi`` are added, ``-alli`` goes through step 2 again; and a stem of a vowel
+  and a consonant counts as short (*are* keeps its ``e``).
 """
 
 from __future__ import annotations
@@ -39,6 +48,19 @@ STEP4_SUFFIXES = (
 )
 VOWELS = ("a", "e", "i", "o", "u")
 
+# What the extended rules add, irregular stems with their words
+# and the changes of step 2.
+IRREGULAR = (
+    ("sky", ("sky", "skies")), ("die", ("dying",)), ("lie", ("lying",)), ("tie", ("tying",)),
+    ("news", ("news",)), ("inning", ("innings", "inning")), ("outing", ("outings", "outing")),
+    ("canning", ("cannings", "canning")), ("howe", ("howe",)), ("proceed", ("proceed",)),
+    ("exceed", ("exceed",)), ("succeed", ("succeed",)),
+)
+STEP2_EXTENDED = tuple(r for r in STEP2_RULES if r[0] != "abli") + (("bli", "ble"), ("fulli", "ful"), ("logi", "log"))
+# the step 2 rules that can follow once -alli has become -al
+STEP2_AFTER_ALLI = tuple(r for r in STEP2_RULES if r[0].endswith("al"))
+MODES = ("extended", "paper")
+
 
 # The 25 letters other than 'y' and their class (v = a e i o u).
 _LETTERS = "abcdefghijklmnopqrstuvwxz"
@@ -89,9 +111,11 @@ def _ends_double_consonant(w: Column, p: Column) -> Column:
     return (F.length(w) >= 2) & (F.substring(w, -1, 1) == F.substring(w, -2, 1)) & p.endswith("cc")
 
 
-def _ends_cvc(w: Column, p: Column) -> Column:
-    """*o: stem ends consonant-vowel-consonant, the last not w, x or y."""
-    return p.endswith("cvc") & ~F.substring(w, -1, 1).isin("w", "x", "y")
+def _ends_cvc(w: Column, p: Column, extended: bool) -> Column:
+    """*o: stem ends consonant-vowel-consonant, the last not w, x or y; by the
+    extended rules also a stem that is a vowel and a consonant."""
+    short = p.endswith("cvc") & ~F.substring(w, -1, 1).isin("w", "x", "y")
+    return short | (p == "vc") if extended else short
 
 
 def _longest_suffix_rule(w: Column, p: Column, rules, min_measure: int) -> Column:
@@ -101,7 +125,8 @@ def _longest_suffix_rule(w: Column, p: Column, rules, min_measure: int) -> Colum
     out = None
     for suffix, repl in ordered:
         k = len(suffix)
-        stem_p = _drop(p, k)
+        # the l of -logi counts for the measure
+        stem_p = _drop(p, 3 if suffix == "logi" else k)
         cond = _measure(stem_p) > min_measure
         if suffix == "ion":
             stem_w = _drop(w, k)
@@ -112,43 +137,54 @@ def _longest_suffix_rule(w: Column, p: Column, rules, min_measure: int) -> Colum
     return out.otherwise(w)
 
 
-def _step1a(w: Column) -> Column:
+def _step1a(w: Column, extended: bool) -> Column:
+    ies = F.when(F.length(w) == 4, _drop(w, 1)).otherwise(_drop(w, 2)) if extended else _drop(w, 2)
     return (F.when(w.endswith("sses"), _drop(w, 2))
-            .when(w.endswith("ies"), _drop(w, 2))
+            .when(w.endswith("ies"), ies)
             .when(w.endswith("ss"), w)
             .when(w.endswith("s"), _drop(w, 1))
             .otherwise(w))
 
 
-def _step1b_strip(w: Column, p: Column) -> tuple[Column, Column]:
+def _step1b_strip(w: Column, p: Column, extended: bool) -> tuple[Column, Column]:
     """Returns (new word, whether the -ed/-ing clean-up must run)."""
-    eed = w.endswith("eed")
-    ed = ~eed & w.endswith("ed") & _has_vowel(_drop(p, 2))
-    ing = ~eed & w.endswith("ing") & _has_vowel(_drop(p, 3))
+    eed, ied = w.endswith("eed"), w.endswith("ied") if extended else F.lit(False)
+    ed = ~eed & ~ied & w.endswith("ed") & _has_vowel(_drop(p, 2))
+    ing = w.endswith("ing") & _has_vowel(_drop(p, 3))
     new = (F.when(eed, F.when(_measure(_drop(p, 3)) > 0, _drop(w, 1)).otherwise(w))
+           .when(ied, F.when(F.length(w) == 4, _drop(w, 1)).otherwise(_drop(w, 2)))
            .when(ed, _drop(w, 2))
            .when(ing, _drop(w, 3))
            .otherwise(w))
     return new, (ed | ing)
 
 
-def _step1b_cleanup(w: Column, p: Column) -> Column:
+def _step1b_cleanup(w: Column, p: Column, extended: bool) -> Column:
     last = F.substring(w, -1, 1)
     return (F.when(w.endswith("at") | w.endswith("bl") | w.endswith("iz"), F.concat(w, F.lit("e")))
             .when(_ends_double_consonant(w, p) & ~last.isin("l", "s", "z"), _drop(w, 1))
-            .when((_measure(p) == 1) & _ends_cvc(w, p), F.concat(w, F.lit("e")))
+            .when((_measure(p) == 1) & _ends_cvc(w, p, extended), F.concat(w, F.lit("e")))
             .otherwise(w))
 
 
-def _step1c(w: Column, p: Column) -> Column:
-    return F.when(w.endswith("y") & _has_vowel(_drop(p, 1)),
-                  F.concat(_drop(w, 1), F.lit("i"))).otherwise(w)
+def _step1c(w: Column, p: Column, extended: bool) -> Column:
+    stem_p = _drop(p, 1)
+    turns = (F.length(stem_p) > 1) & stem_p.endswith("c") if extended else _has_vowel(stem_p)
+    return F.when(w.endswith("y") & turns, F.concat(_drop(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _step2(w: Column, p: Column, extended: bool) -> Column:
+    if not extended:
+        return _longest_suffix_rule(w, p, STEP2_RULES, 0)
+    again = _longest_suffix_rule(_drop(w, 2), _drop(p, 2), STEP2_AFTER_ALLI, 0)
+    return (F.when(w.endswith("alli") & (_measure(_drop(p, 4)) > 0), again)
+            .otherwise(_longest_suffix_rule(w, p, STEP2_EXTENDED, 0)))
 
 
-def _step5a(w: Column, p: Column) -> Column:
+def _step5a(w: Column, p: Column, extended: bool) -> Column:
     stem_w, stem_p = _drop(w, 1), _drop(p, 1)
     m = _measure(stem_p)
-    drop = (m > 1) | ((m == 1) & ~_ends_cvc(stem_w, stem_p))
+    drop = (m > 1) | ((m == 1) & ~_ends_cvc(stem_w, stem_p, extended))
     return F.when(w.endswith("e") & drop, stem_w).otherwise(w)
 
 
@@ -172,31 +208,41 @@ def _patterned(x: Column, f) -> Column:
                                   lambda s: f(s["w"], s["p"])))
 
 
-def _step1b(x: Column) -> Column:
+def _step1b(x: Column, extended: bool) -> Column:
     def strip(w: Column, p: Column) -> Column:
-        new, fix = _step1b_strip(w, p)
+        new, fix = _step1b_strip(w, p, extended)
         return F.struct(new.alias("w"), fix.alias("fix"))
 
     return _let(_patterned(x, strip),
-                lambda r: F.when(r["fix"], _patterned(r["w"], _step1b_cleanup)).otherwise(r["w"]))
+                lambda r: F.when(r["fix"], _patterned(
+                    r["w"], lambda a, b: _step1b_cleanup(a, b, extended))).otherwise(r["w"]))
 
 
-def stem(word: Column | str) -> Column:
+def stem(word: Column | str, mode: str = "extended") -> Column:
     """Porter stem of a lowercase ASCII word of three or more letters, as one
     expression (``stem_steps`` leaves shorter words as they are)."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}, not {mode!r}")
+    extended = mode == "extended"
     word = F.col(word) if isinstance(word, str) else word
     step4 = tuple((s, "") for s in STEP4_SUFFIXES)
-    w = _let(word, _step1a)
-    w = _step1b(w)
-    w = _patterned(w, _step1c)
-    w = _patterned(w, lambda a, b: _longest_suffix_rule(a, b, STEP2_RULES, 0))
+    w = _let(word, lambda a: _step1a(a, extended))
+    w = _step1b(w, extended)
+    w = _patterned(w, lambda a, b: _step1c(a, b, extended))
+    w = _patterned(w, lambda a, b: _step2(a, b, extended))
     w = _patterned(w, lambda a, b: _longest_suffix_rule(a, b, STEP3_RULES, 0))
     w = _patterned(w, lambda a, b: _longest_suffix_rule(a, b, step4, 1))
-    w = _patterned(w, _step5a)
-    return _patterned(w, _step5b)
+    w = _patterned(w, lambda a, b: _step5a(a, b, extended))
+    w = _patterned(w, _step5b)
+    if not extended:
+        return w
+    whole = None
+    for stem_, words in IRREGULAR:
+        whole = F.when(word.isin(*words), stem_) if whole is None else whole.when(word.isin(*words), stem_)
+    return whole.otherwise(w)
 
 
-def stem_steps(df: DataFrame, word: str = "word", out: str = "stem") -> DataFrame:
+def stem_steps(df: DataFrame, word: str = "word", out: str = "stem", mode: str = "extended") -> DataFrame:
     """Adds ``out`` = Porter stem of the lowercase ASCII column ``word``;
     meant for a distinct vocabulary."""
-    return df.withColumn(out, F.when(F.length(F.col(word)) <= 2, F.col(word)).otherwise(stem(F.col(word))))
+    return df.withColumn(out, F.when(F.length(F.col(word)) <= 2, F.col(word)).otherwise(stem(F.col(word), mode)))

@@ -1,5 +1,6 @@
 """Tokeniser, formatter and Porter stemmer on the FIXTURES.md edge rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from spindex.functions import porter, text
@@ -64,10 +65,42 @@ PAPER = {
 
 def test_porter_paper_examples(spark):
     df = spark.createDataFrame([(k,) for k in PAPER], "word string")
-    got = {r.word: r.stem for r in porter.stem_steps(df).collect()}
+    got = {r.word: r.stem for r in porter.stem_steps(df, mode="paper").collect()}
     assert got == PAPER
 
 
+# worked by hand from the extended rules
+EXTENDED = {
+    "they": "they", "are": "are", "enjoy": "enjoy", "enjoyed": "enjoy", "happy": "happi", "by": "by", "sky": "sky", "skies": "sky",
+    "dry": "dri", "cry": "cri", "say": "say", "day": "day", "toy": "toy",
+    "dies": "die", "ties": "tie", "flies": "fli", "ponies": "poni", "died": "die", "tied": "tie", "cried": "cri", "spied": "spi",
+    "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "new": "new", "innings": "inning", "outing": "outing",
+    "cannings": "canning", "howe": "howe", "proceed": "proceed", "proceeds": "proce", "exceed": "exceed", "succeeded": "succeed",
+    "conformabli": "conform", "possibly": "possibl", "hopefully": "hope", "rationally": "ration", "operationally": "oper",
+    "nationally": "nation", "archaeology": "archaeolog", "geology": "geolog", "logy": "logi", "analogously": "analog",
+    "ice": "ice", "use": "use", "used": "use", "using": "use", "axe": "axe", "oxen": "oxen", "agreed": "agre",
+    "feed": "feed", "hissing": "hiss", "controlling": "control", "relational": "relat", "generalizations": "gener",
+}
+
+
+def test_porter_extended_rules(spark):
+    df = spark.createDataFrame([(k,) for k in EXTENDED], "word string")
+    got = {r.word: r.stem for r in porter.stem_steps(df).collect()}
+    assert got == EXTENDED
+
+
+def test_porter_paper_examples_agree_but_for_the_extensions(spark):
+    """Of the paper's own words only these change under the extended rules."""
+    df = spark.createDataFrame([(k,) for k in PAPER], "word string")
+    got = {r.word: r.stem for r in porter.stem_steps(df).collect()}
+    assert {w: s for w, s in got.items() if s != PAPER[w]} == {"ties": "tie"}
+
+
+def test_porter_unknown_mode(spark):
+    with pytest.raises(ValueError):
+        porter.stem("word", mode="other")
+
+
 def test_stop_list_after_stemming(spark):
     corpus = spark.createDataFrame([("u", "this was very good")], "url string, text string")
     stemmed = postings.tokens_column(corpus, stem=True).first().tokens
@@ -76,6 +109,11 @@ def test_stop_list_after_stemming(spark):
     assert list(plain) == ["good"]
 
 
+def test_stop_words_kept_whole_by_the_extended_rules(spark):
+    corpus = spark.createDataFrame([("u", "they are what we enjoy")], "url string, text string")
+    assert list(postings.tokens_column(corpus, stem=True).first().tokens) == ["enjoy"]
+
+
 def test_term_counts_sum_equals_occurrences(spark):
     corpus = spark.createDataFrame([("a", "cat cat dog. Dogs!"), ("b", "the cat")], "url string, text string")
     tc = postings.term_counts(corpus, stem=True)
