@@ -1,5 +1,5 @@
 """Images: rows, context text, image postings and image search
-(HX8-HX10, M2, M4, SE11).
+(HX8-HX10, M2, M4, SE11, SNK4).
 
 The context of an image is the text of its nearest ancestor (starting at the
 parent) whose text is longer than 300 characters, or the whole document.  It is
@@ -11,7 +11,7 @@ pages that contain ``<img``, without a shuffle and without Python.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, tree
@@ -41,18 +41,27 @@ def image_contexts(raw: DataFrame) -> DataFrame:
                        F.col("_doc").substr(F.col("_f.span.start") + 1, F.col("_f.span.end") - F.col("_f.span.start")).alias("context"))
 
 
-def image_table(contexts: DataFrame) -> DataFrame:
+def _text() -> Column:
+    """What is indexed of an image: its context and its alternative text."""
+    return F.concat_ws(" ", "context", "alt")
+
+
+def image_table(contexts: DataFrame, keep_tokens: bool = False, stem: bool = True) -> DataFrame:
     """M2: the images collection -- one row per image URL, the first page's
-    row wins (every src-less image shares the key '')."""
-    rows = contexts.select(F.col("src").alias("url"), "alt", "page_url", "ingest_seq", "img_pos")
-    best = F.min_by(F.struct("url", "alt", "page_url"), F.struct("ingest_seq", "img_pos"))
-    return rows.groupBy("url").agg(best.alias("_r")).select("_r.*")
+    row wins (every src-less image shares the key '').  ``keep_tokens`` (SNK4,
+    upload switch off) leaves the winning row's tokens on it; only winners are
+    tokenised."""
+    fields = ("url", "alt", "page_url") + (("text",) if keep_tokens else ())
+    rows = contexts.select(F.col("src").alias("url"), "alt", "page_url", "ingest_seq", "img_pos", _text().alias("text"))
+    best = F.min_by(F.struct(*fields), F.struct("ingest_seq", "img_pos"))
+    table = rows.groupBy("url").agg(best.alias("_r")).select("_r.*")
+    return postings.tokens_column(table, stem=stem, keep=("alt", "page_url")) if keep_tokens else table
 
 
 def image_postings(contexts: DataFrame, stem: bool = True) -> DataFrame:
     """HX10 + M4: tokens of context + ' ' + alt, counted per image URL over
     every occurrence of the image (duplicates on other pages add up)."""
-    corpus = contexts.select(F.col("src").alias("url"), F.concat_ws(" ", "context", "alt").alias("text"))
+    corpus = contexts.select(F.col("src").alias("url"), _text().alias("text"))
     return postings.term_counts(corpus, stem=stem)
 
 

@@ -121,21 +121,21 @@ def merge_postings(existing: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def tokens_column(corpus: DataFrame, key: str = "url", text_col: str = "text",
-                  stem: bool = True) -> DataFrame:
+                  stem: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """SNK4 (upload switch off): tokens stay on the row as an array, in text
-    order.  Without stemming it is one projection; with stemming it goes
+    order, after the columns ``key`` and ``keep``.  Without stemming it is one projection; with stemming it goes
     through ``occurrences`` (vocabulary job) and ``array_sort`` on
     (pos, token) restores the order -- one document per group, so each group
     is bounded by the size of one text."""
     if not stem:
-        return corpus.select(key, text.tokens(text_col).alias("tokens"))
+        return corpus.select(key, *keep, text.tokens(text_col).alias("tokens"))
     # rows are told apart by content, not by key: the same URL may hold two
     # texts; rows equal in both share one token list
     row = F.sha2(F.to_json(F.struct(F.col(key).alias("k"), F.col(text_col).alias("t"))), 256)
-    rows = corpus.select(key, text_col, row.alias("_row"))
+    rows = corpus.select(key, text_col, *keep, row.alias("_row"))
     occ = occurrences(rows.dropDuplicates(["_row"]), stem=stem, key="_row", text_col=text_col)
     per_row = (occ.groupBy("_row")
                .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t")))
-    return (rows.select(key, "_row").join(per_row, "_row", "left")
-            .select(key, F.coalesce(F.transform("_t", lambda s: s["token"]),
+    return (rows.select(key, *keep, "_row").join(per_row, "_row", "left")
+            .select(key, *keep, F.coalesce(F.transform("_t", lambda s: s["token"]),
                                     F.array().cast("array<string>")).alias("tokens")))

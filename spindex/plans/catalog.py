@@ -209,6 +209,34 @@ def ur_normalised(spark, sf):
                     urls.is_web("url").alias("is_web"))
 
 
+# The driver pages have no description and none is empty: these two queries
+# put a description of another shape before every title, by page id, and
+# empty the documents of two of the seven kinds.
+
+def _varied(spark, sf):
+    kind, u = F.pmod("ingest_seq", F.lit(7)), F.col("fetch_url")
+    meta = (F.when(kind == 1, F.concat(F.lit('<META name="description" content="All of '), u, F.lit(' &amp; more">')))
+            .when(kind == 2, F.concat(F.lit("<meta content='"), F.repeat(F.concat(u, F.lit("  ")), F.lit(9)), F.lit("' name=description>")))
+            .when(kind == 3, F.lit('<meta name="description">'))
+            .when(kind == 4, F.concat(F.lit('<meta name="descriptions" content="no"><meta name="description" content="'), u,
+                                      F.lit('"><meta name="description" content="second">')))
+            .otherwise(F.lit("")))
+    html = (F.when(kind == 5, F.lit("")).when(kind == 6, F.lit(" \n "))
+            .otherwise(F.replace("html", F.lit("<title>"), F.concat(meta, F.lit("<title>")))))
+    return tables.only_ok(tables.raw_pages(spark, sf)).withColumn("html", html)
+
+
+def hx_descriptions(spark, sf):
+    """HX5, TX8: descriptions in several shapes and their snippets; the rejected pages are missing."""
+    p = pages.parse(_varied(spark, sf)).select("url", "ingest_seq", "description")
+    return p.select("url", F.col("ingest_seq").alias("page_id"), "description", text.snippet("description").alias("snippet"))
+
+
+def hx_rejects_varied(spark, sf):
+    """HX11: the empty and blank documents among the varied pages."""
+    return pages.rejects(_varied(spark, sf)).select("url", F.col("ingest_seq").alias("page_id"), "reason")
+
+
 # ------------------------------------------------------------ link graph (LG)
 
 def _tree_links(spark, sf) -> DataFrame:
@@ -263,6 +291,15 @@ def lg_frontier(spark, sf):
     return links.frontier(p, e, _host_domains(p))
 
 
+def lg_frontier_scoped(spark, sf):
+    """UR5 + LG6 with a scope that leaves links out: the hosts of the pages
+    fetched with a query string, without a leading www, blog or m, and their
+    subdomains."""
+    p, e = _graph(spark, sf)
+    site = F.regexp_replace(urls.host("url"), r"^(www|blog|m)\.", "")
+    return links.frontier(p, e, p.where(F.col("url").contains("?")).select(site.alias("domain")).distinct())
+
+
 def lg_bfs_depth(spark, sf):
     """LG7: BFS depth from the pages nothing links to."""
     p, e = _graph(spark, sf)
@@ -496,6 +533,12 @@ def m_images_insert_ignore(spark, sf):
     return images.image_table(_contexts(spark, sf))
 
 
+def snk_keep_image_tokens(spark, sf):
+    """SNK4 (upload switch off): tokens kept on the image row (stem on)."""
+    t = images.image_table(_contexts(spark, sf), keep_tokens=True)
+    return t.select("url", "alt", "page_url", F.array_join("tokens", " ").alias("tokens"))
+
+
 def se_images(spark, sf):
     """SE11: benchmark texts searched against the image index."""
     ctx = _contexts(spark, sf)
@@ -601,6 +644,8 @@ QUERIES: dict[str, Query] = {
     "hx_term_counts": hx_term_counts,
     "hx_term_counts_stemmed": hx_term_counts_stemmed,
     "hx_rejects": hx_rejects,
+    "hx_descriptions": hx_descriptions,
+    "hx_rejects_varied": hx_rejects_varied,
     "hx_links": hx_links,
     "ur_normalised": ur_normalised,
     "lg_backlinks": lg_backlinks,
@@ -608,6 +653,7 @@ QUERIES: dict[str, Query] = {
     "lg_degrees": lg_degrees,
     "lg_seen": lg_seen,
     "lg_frontier": lg_frontier,
+    "lg_frontier_scoped": lg_frontier_scoped,
     "lg_bfs_depth": lg_bfs_depth,
     "lg_depth_counts": lg_depth_counts,
     "lg_depth_limit": lg_depth_limit,
@@ -645,4 +691,5 @@ QUERIES: dict[str, Query] = {
     "scn_nested_index": scn_nested_index,
     "ag_corpus_stats": ag_corpus_stats,
     "snk_keep_tokens": snk_keep_tokens,
+    "snk_keep_image_tokens": snk_keep_image_tokens,
 }

@@ -52,9 +52,32 @@ imr AS (SELECT page_url, ingest_seq, img_pos, {O.decode_entities('s0', True)} AS
 {select}"""
 
 
+# the pages with descriptions of other shapes, two kinds of seven emptied
+_VARIED_HTML = """CASE page_id % 7 WHEN 5 THEN '' WHEN 6 THEN ' ' || chr(10) || ' ' ELSE replace(html, '<title>', CASE page_id % 7
+  WHEN 1 THEN '<META name="description" content="All of ' || pages.url || ' &amp; more">'
+  WHEN 2 THEN '<meta content=' || chr(39) || repeat(pages.url || '  ', 9) || chr(39) || ' name=description>'
+  WHEN 3 THEN '<meta name="description">'
+  WHEN 4 THEN '<meta name="descriptions" content="no"><meta name="description" content="' || pages.url
+    || '"><meta name="description" content="second">'
+  ELSE '' END || '<title>') END"""
+
+_IMAGE_TOKENS = """
+win AS (SELECT src, arg_min(struct_pack(alt := alt, page_url := page_url, t := context || ' ' || alt), (ingest_seq, img_pos)) AS b
+        FROM ctx GROUP BY src),
+ww AS (SELECT src, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT src, {words} AS ws FROM win)),
+{stems},
+wt AS (SELECT ww.src, string_agg(stem, ' ' ORDER BY pos) AS tokens FROM ww JOIN {last} USING (word) WHERE stem NOT IN {stop} GROUP BY ww.src)
+SELECT win.src AS url, b.alt AS alt, b.page_url AS page_url, coalesce(tokens, '') AS tokens FROM win LEFT JOIN wt ON wt.src = win.src"""
+
 _IMAGE_TEXTS = "(SELECT src AS url, context || ' ' || alt AS text FROM ctx)"
 
 
+def _image_tokens() -> str:
+    stems, last = O.porter_ctes("(SELECT DISTINCT word FROM ww)")
+    tail = _IMAGE_TOKENS.format(words=O.ascii_lower_words("b.t"), stems=stems, last=last, stop=O.STOP_LIST)
+    return _images_sql("", contexts=True).rstrip() + "," + tail
+
+
 def _se_images() -> str:
     lead = _images_sql("", contexts=True).removeprefix("WITH RECURSIVE ").rstrip() + ",\n"
     table = "SELECT url, arg_min(alt, (ingest_seq, img_pos)) AS alt, arg_min(page_url, (ingest_seq, img_pos)) AS page_url FROM imr GROUP BY url"
@@ -128,6 +151,10 @@ SQL: dict[str, str] = {
     "hx_term_counts_stemmed": _hx_stemmed(),
     "hx_rejects": (f"WITH {O.parsed_pages_ctes()}\nSELECT url, 'empty document' AS reason FROM rp "
                    f"WHERE NOT regexp_matches(html, {O.NOT_BLANK})"),
+    "hx_descriptions": (f"WITH {O.parsed_pages_ctes(_VARIED_HTML)}\nSELECT url, ingest_seq AS page_id, description, "
+                        "CASE WHEN length(description) > 200 THEN left(description, 200) || '...' ELSE description END AS snippet FROM pp"),
+    "hx_rejects_varied": (f"WITH {O.parsed_pages_ctes(_VARIED_HTML)}\nSELECT url, ingest_seq AS page_id, 'empty document' AS reason "
+                          f"FROM rp WHERE NOT regexp_matches(html, {O.NOT_BLANK})"),
     "hx_links": f"WITH {O.parsed_pages_ctes()},\n{O.links_ctes()}\nSELECT src, dst, pos FROM lk",
     "ur_normalised": (f"SELECT page_id, {O.format_url('url')} AS formatted, {O.remove_fragments('url')} AS no_fragment, "
                       f"lower(regexp_extract(url, {O.q(SCHEME_RE)}, 1)) AS scheme, "
@@ -145,6 +172,11 @@ SQL: dict[str, str] = {
         "SELECT DISTINCT dst AS url FROM ed WHERE canon NOT IN (SELECT canon FROM fetched_canon) AND EXISTS ("
         f"SELECT 1 FROM doms WHERE lower(regexp_extract(ed.dst, {O.q(HOST_RE)}, 1)) = d "
         f"OR ends_with(lower(regexp_extract(ed.dst, {O.q(HOST_RE)}, 1)), '.' || d))", tree=True),
+    "lg_frontier_scoped": _graph_sql(
+        "SELECT DISTINCT dst AS url FROM ed WHERE canon NOT IN (SELECT canon FROM fetched_canon) AND EXISTS ("
+        f"SELECT 1 FROM (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, {O.q(HOST_RE)}, 1)), '^(www|blog|m)[.]', '') AS d "
+        f"FROM pp WHERE contains(url, chr(63))) WHERE lower(regexp_extract(ed.dst, {O.q(HOST_RE)}, 1)) = d "
+        f"OR ends_with(lower(regexp_extract(ed.dst, {O.q(HOST_RE)}, 1)), '.' || d))", tree=True),
     "m_page_merge": _graph_sql(
         f"""SELECT coalesce(f.url, d.url) AS url, f.title, f.description, f.title IS NULL AS is_stub,
                coalesce(d.n, 0) AS n_backlinks
@@ -220,6 +252,7 @@ SQL: dict[str, str] = {
     "hx_image_context": _images_sql("SELECT page_url, img_pos, src, alt, context FROM ctx", contexts=True),
     "hx_image_postings": _images_sql("SELECT token, url, count FROM ipost", contexts=True).replace(
         "\nSELECT token", ",\n" + O.postings_stem_ctes(_IMAGE_TEXTS, prefix="i") + "\nSELECT token"),
+    "snk_keep_image_tokens": _image_tokens(),
     "se_images": _se_images(),
     "lg_bfs_depth": _bfs_sql("SELECT node AS url, depth FROM walk"),
     "lg_depth_limit": _bfs_sql("SELECT node AS url, depth FROM walk", limit="4"),

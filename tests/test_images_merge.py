@@ -35,7 +35,17 @@ def test_same_image_two_pages(spark):
     table = images.image_table(ctx).collect()
     assert [(r.url, r.alt, r.page_url) for r in table] == [("i.png", "one", "http://h/1")]
     post = {r.token for r in images.image_postings(ctx).collect()}
-    assert {"kitten", "puppi", "two"} <= post and "on" not in post  # one -> on, a stop word
+    assert {"kitten", "puppi", "one", "two"} <= post  # by the 1980 rules one -> on, a stop word
+
+
+def test_image_rows_keep_tokens(spark):
+    raw = _raw(spark, [("http://h/1", "<p>kittens <img src='i.png' alt='the one'></p>"),
+                       ("http://h/2", "<p>puppies <img src='i.png' alt='two'> <img></p>")])
+    ctx = images.image_contexts(raw)
+    stemmed = {r.url: (r.page_url, list(r.tokens)) for r in images.image_table(ctx, keep_tokens=True).collect()}
+    assert stemmed == {"i.png": ("http://h/1", ["kitten", "one"]), "": ("http://h/2", ["puppi"])}
+    plain = {r.url: list(r.tokens) for r in images.image_table(ctx, keep_tokens=True, stem=False).collect()}
+    assert plain == {"i.png": ["kittens", "one"], "": ["puppies"]}
 
 
 def _pages(spark, rows):
