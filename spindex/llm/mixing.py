@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a 60-bit hash of its key.  A source that must give fewer
+Every document has a 60-bit hash of its key and its text.  A source that must give fewer
 words than it has keeps the documents below a hash threshold, one that must
 give more keeps all of them and repeats those below a threshold.  A threshold
 is found without sorting documents: words are summed by (source, bucket of the
@@ -9,10 +9,11 @@ bucket the budget ends, and only that bucket is summed again by the next bits.
 After five levels a bucket is a single hash value.  Budgets are nested: a
 source that has documents twice below a larger budget has them below a smaller.
 
-Rows that share a key share its hash, hence the decision.  The document at
-the boundary is taken when that comes closer to the budget.  A null key
-hashes as the empty string, a null text has size 0, and null is a source of
-its own, last in order.
+Rows that share key and text share the hash, hence the decision; rows of one
+key, or of none, with different texts are decided one by one.  The document at
+the boundary is taken when that comes closer to the budget.  A null key or
+text hashes as the empty string, a null text has size 0, and null is a source
+of its own, last in order.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_of(key: str) -> Column:
-    """The first 60 bits of md5 of the key as text."""
-    hexed = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+def hash_of(key: str, text: str) -> Column:
+    """The first 60 bits of md5 of the key as text, a colon and the text's md5."""
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    hexed = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), digest).cast("binary"))
     return F.conv(F.substring(hexed, 1, 15), 16, 10).cast("long")
 
 
@@ -87,8 +89,9 @@ def _thresholds(base: DataFrame, budgets: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
         share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per row of ``docs``: ``key, source, size, source_size, target,
-    copies`` (how often the mix has the document) and ``taken`` (copies x size)."""
-    base = stored(docs.select(F.col(key).alias("k"), F.col(source).alias("source"), hash_of(key).alias("h"),
+    copies`` (how often the mix has the document), ``taken`` (copies x size) and
+    ``hash`` (:func:`hash_of`)."""
+    base = stored(docs.select(F.col(key).alias("k"), F.col(source).alias("source"), hash_of(key, text).alias("h"),
                               size_of(text).alias("size")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = stored(targets(sizes, share, most, weights), "targets")
@@ -103,14 +106,14 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     return base.alias("b").join(plan.alias("p"), F.expr("b.source <=> p.source")).select(
         F.col("b.k").alias(key), F.col("b.source").alias("source"), F.col("b.size").alias("size"),
         F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), copies.alias("copies"),
-        (copies * F.col("b.size")).alias("taken"))
+        (copies * F.col("b.size")).alias("taken"), F.col("b.h").alias("hash"))
 
 
 def apply(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as :func:`mix` says.  Rows
-    of one key and source have one hash, hence one number of copies."""
-    copies = plan.groupBy(F.col(key).alias("of"), F.col("source").alias("from")).agg(F.max("copies").alias("copies"))
-    rows = packed(docs, F.col(key).alias("k"), F.col(source).alias("s")).join(
-        copies, F.col("k").eqNullSafe(F.col("of")) & F.col("s").eqNullSafe(F.col("from")))
+    of one hash and source have one number of copies."""
+    copies = plan.groupBy(F.col("hash").alias("of"), F.col("source").alias("from")).agg(F.max("copies").alias("copies"))
+    rows = packed(docs, hash_of(key, text).alias("h"), F.col(source).alias("s")).join(
+        copies, (F.col("h") == F.col("of")) & F.col("s").eqNullSafe(F.col("from")))
     repeated = rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select("row.*")

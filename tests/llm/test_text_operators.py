@@ -146,7 +146,8 @@ def plain_mix(rows, share=1.5, most=2, weights=(5, 2, 1)):
             break
         target |= {s: float(most * total[s]) for s in over}
         free -= over
-    h = {i: int(hashlib.md5(str("" if k is None else k).encode()).hexdigest()[:15], 16) for i, (k, _, _) in enumerate(rows)}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    h = {i: int(md5(f"{'' if k is None else k}:{md5(t or '')}")[:15], 16) for i, (k, t, _) in enumerate(rows)}
     out = []
     for s in sources:
         mine = [i for i, r in enumerate(rows) if r[2] == s]
@@ -180,6 +181,18 @@ def test_mix_equals_sorting(docs_of):
     assert all(abs(t - x) <= 60 for t, x in by.values())
 
 
+def test_mix_splits_rows_without_a_key(docs_of):
+    """Rows of a null or repeated key are decided by their texts: the source comes within one document of its target."""
+    rows = [(None if i < 300 else 9, f"word{i} " * (20 + i % 20), "a") for i in range(500)]
+    rows += [(1000 + i, f"other{i} " * 30, "b") for i in range(100)]
+    docs = docs_of([(a, b, "en", c) for a, b, c in rows])
+    plan = mixing.mix(docs)
+    got = plan.groupBy("source", "target").agg({"taken": "sum"}).collect()
+    assert len(got) == 2 and all(abs(taken - target) <= 40 for _, target, taken in got)
+    assert 0 < plan.where("doc_id IS NULL AND copies = 1").count() < 300
+    assert mixing.apply(docs, plan).count() == sum(r["copies"] for r in plan.collect())
+
+
 def test_mix_applied_and_empty(docs_of):
     docs = docs_of([(i, "a b c", "en", "x" if i % 2 else "y") for i in range(40)])
     plan = mixing.mix(docs)
