@@ -1,17 +1,22 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is cut at ASCII white space, which the tokenizer drops and across which
-no rule of it looks, and each piece is encoded once per worker and then looked
-up.  A *long* unsplit run (no white space to cut at) is not handed to the
-tokenizer whole: its words are cut in halves down to leaves, the leaves are
-encoded, and neighbours are joined by re-encoding a window around the join
-that grows until its first and last token are the ones that stood there
-before.  Then every adjacent pair of tokens of the joined sequence occurs in
-a valid encoding, and a sequence all of whose adjacent pairs are compatible
-is the encoding of its text; so the join is exact.
-
-Documents that hold a very long run are dealt out as leaf rows, so that the
-leaves of one run are encoded by many tasks, and joined per document.
+A text of more than ``leaf * STRETCH`` bytes is cut in halves, wherever the
+middle falls, down to stretches of that size.  Each stretch is encoded by
+itself, and neighbours are joined by re-encoding a window of pieces around
+the join that grows until its outermost pieces have the encodings that stood
+there before on both sides.  (Pieces are what ASCII white space delimits; the
+tokenizer drops it, and no rule of it looks across.)  Texts of ``deal_out``
+characters or more have their stretches dealt out as rows, so that many tasks
+encode them, and joined per document.
+
+A piece is encoded once per worker and then looked up.  A *long* piece (no
+white space to cut at) is not handed to the tokenizer whole either: its words
+are cut in halves down to leaves, the leaves are encoded, and neighbours are
+joined by a window of tokens that grows until its first and last token are the
+ones that stood there before.  Then every adjacent pair of tokens of the joined
+sequence occurs in a valid encoding, and a sequence all of whose adjacent pairs
+are compatible is the encoding of its text; so the join is exact.  Documents
+that hold a piece of ``deal_out`` characters have such leaves dealt out.
 
 Null text counts as empty and gives no tokens and an empty decoded text.
 Repeated rows and null keys are encoded like any other row.
@@ -21,6 +26,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +38,9 @@ from .common import freeing, freeing_group, small_batches
 
 #: Symbols of an unsplit word that are encoded at once.
 LEAF = 64
-#: Unsplit run, in characters, from which a document's leaves are dealt out.
+#: Leaves that a stretch of text, encoded by itself, is long.
+STRETCH = 64
+#: Text, in characters, from which a document's stretches are dealt out.
 DEAL_OUT = 1 << 16
 #: Pieces a worker remembers.
 REMEMBER = 80_000
@@ -47,6 +56,16 @@ _NORMAL = ["NFC", "Replace", "Lowercase"]
 _ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
+class Stretch(NamedTuple):
+    """A stretch of text: its pieces, what each is encoded as (packed ids and
+    decoded text), and whether it begins and ends inside a piece."""
+
+    pieces: list[bytes]
+    found: list[tuple[bytes, str]]
+    opens: bool
+    closes: bool
+
+
 class TreeBPE:
     """One tokenizer file in one worker."""
 
@@ -70,7 +89,7 @@ class TreeBPE:
         self.names = [self.full.id_to_token(i) or "" for i in range(n)]
         self.known: dict[bytes, tuple[bytes, str]] = {}      # piece: packed ids, decoded text
         self.known_words: dict[str, tuple[bytes, str]] = {}
-        self.blank = False                                   # some piece has no token
+        self.joins = self.grown = 0                          # joins of stretches, windows beyond the first
         # the short way holds for files with these rules; others always go through the library
         rules = (spec.get("normalizer") or {}).get("normalizers", []), (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.plain = ([r["type"] for r in rules[0]] == _NORMAL and [r["type"] for r in rules[1]] == ["Split", "ByteLevel"]
@@ -162,20 +181,46 @@ class TreeBPE:
         long = [p for p in rest if len(p) > self.leaf]
         for piece, ids in zip(short + long, found + [self.run(p.decode()) for p in long]):
             self.known[piece] = self._packed(ids)
-            self.blank = self.blank or not ids
 
-    def encode(self, text: bytes) -> tuple[bytes, str]:
-        """Packed little-endian ids and the decoded text."""
-        pieces = text.split()  # bytes: at ASCII white space only
+    def lookup(self, pieces: list[bytes]) -> list[tuple[bytes, str]]:
         if len(self.known) > REMEMBER:
             self.known = {}
         new = set(pieces).difference(self.known)
         if new:
             self.learn(list(new))
-        got = list(map(self.known.__getitem__, pieces))
-        if self.blank:
-            got = [g for g in got if g[0]]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+        return list(map(self.known.__getitem__, pieces))
+
+    def stretch(self, text: bytes) -> Stretch:
+        """A text by itself: halves down to stretches, joined again."""
+        if len(text) <= self.leaf * STRETCH:
+            pieces = text.split()  # bytes: at ASCII white space only
+            return Stretch(pieces, self.lookup(pieces), not text[:1].isspace(), not text[-1:].isspace())
+        mid = len(text) // 2
+        while text[mid] & 0xC0 == 0x80:  # not inside a character
+            mid += 1
+        return self.join_texts(self.stretch(text[:mid]), self.stretch(text[mid:]))
+
+    def join_texts(self, a: Stretch, b: Stretch) -> Stretch:
+        """The encoding of two neighbours' concatenation from their encodings."""
+        if not a.pieces or not b.pieces:  # one is white space alone
+            return Stretch(a.pieces + b.pieces, a.found + b.found, a.opens and bool(a.pieces), b.closes and bool(b.pieces))
+        self.joins += 1
+        if not (a.closes and b.opens):  # the cut fell at white space: nothing to re-encode
+            return Stretch(a.pieces + b.pieces, a.found + b.found, a.opens, b.closes)
+        k = 1
+        while True:
+            left, right = a.pieces[-k:], b.pieces[:k]
+            window = [*left[:-1], left[-1] + right[0], *right[1:]]
+            found = self.lookup(window)
+            if (k >= len(a.pieces) or found[0][0] == a.found[-k][0]) and (k >= len(b.pieces) or found[-1][0] == b.found[k - 1][0]):
+                return Stretch(a.pieces[:-k] + window + b.pieces[k:], a.found[:-k] + found + b.found[k:], a.opens, b.closes)
+            k += 1
+            self.grown += 1
+
+    def encode(self, text: bytes) -> tuple[bytes, str]:
+        """Packed little-endian ids and the decoded text."""
+        got = self.stretch(text).found
+        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
 
     def decode(self, ids: bytes) -> str:
         names = self.names
@@ -204,8 +249,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     ``decoded`` (the text those ids decode to), one row per row of ``docs``."""
     small_batches(docs.sparkSession, 256)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    # the length is looked at first: the pattern runs over few texts
-    long = (F.length("t") >= deal_out) & F.col("t").rlike(r"[^\x20\x09-\x0D]{%d}" % deal_out)
+    long = F.length("t") >= deal_out
     kind = _key_type(docs, key)
 
     def each(batches):
@@ -218,27 +262,38 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         _MODELS.clear()  # a reused worker doesn't keep it; loading takes a fraction of a second
 
     short = rows.where(~long).select("k", F.col("t").cast("binary").alias("t")).mapInArrow(freeing(each), f"k {kind}, {_OUT}")
-    return short.unionByName(_dealt_out(rows.where(long), kind, path, leaf)).withColumnRenamed("k", key)
-
-
-def _dealt_out(rows: DataFrame, kind: str, path: str, leaf: int) -> DataFrame:
-    """Documents with very long runs: one row per leaf, encoded wherever the
-    row lands, then joined per document (its ids fit where its text did)."""
-    step = leaf * 64  # symbols of a dealt leaf
+    return short.unionByName(_dealt_out(rows.where(long), kind, path, leaf, deal_out)).withColumnRenamed("k", key)
+
+
+def _dealt_out(rows: DataFrame, kind: str, path: str, leaf: int, deal_out: int) -> DataFrame:
+    """Long documents: one row per stretch, or per stretch of a word if a piece is
+    long itself, encoded wherever the row lands, then joined per document (its
+    ids fit where its text did)."""
+    step = leaf * STRETCH  # characters, or symbols, of a dealt row
+    edge = 2               # pieces of a dealt stretch that a window may reach
+
+    def cut(bpe, t):
+        """(word, at, last, known, symbols) of a document: word -1 marks stretches of the text."""
+        pieces = _ASCII_SPACE.split(t)
+        if max(map(len, pieces)) < deal_out:
+            for at in range(0, len(t), step):
+                yield -1, at, at + step >= len(t), -1, t[at:at + step]
+            return
+        no = 0
+        for piece in pieces:
+            for known, symbols in bpe.words(piece):
+                no += 1
+                if known is not None:
+                    yield no, 0, True, known, ""
+                for at in range(0, len(symbols), step):
+                    yield no, at, at + step >= len(symbols), -1, symbols[at:at + step]
 
     def leaves(batches):
         bpe = model(path, leaf)
         for batch in batches:
             for row, k, t in zip(*(batch.column(c).to_pylist() for c in ("row", "k", "t"))):
-                out = [(row, k, 0, 0, True, -1, "")]  # an empty text still has a row
-                no = 0
-                for run in _ASCII_SPACE.split(t):
-                    for known, symbols in bpe.words(run):
-                        no += 1
-                        if known is not None:
-                            out.append((row, k, no, 0, True, known, ""))
-                        for at in range(0, len(symbols), step):
-                            out.append((row, k, no, at, at + step >= len(symbols), -1, symbols[at:at + step]))
+                out = [(row, k, 0, 0, True, -1, "")]  # a text without tokens still has a row
+                out += [(row, k, *c) for c in cut(bpe, t)]
                 for at in range(0, len(out), 10_000):
                     cols = list(zip(*out[at:at + 10_000]))
                     yield pa.RecordBatch.from_arrays(
@@ -247,28 +302,52 @@ def _dealt_out(rows: DataFrame, kind: str, path: str, leaf: int) -> DataFrame:
                         names=["row", "k", "word", "at", "last", "known", "symbols"])
 
     def encoded(batches):
+        """Of a word's stretch the ids; of a text's the pieces next to its cuts,
+        and between them what no window reaches (a null piece)."""
         bpe = model(path, leaf)
         for batch in batches:
-            ids = [np.asarray([known] if known >= 0 else bpe.word(s, last) if s else [], "<u4").tobytes()
-                   for s, last, known in zip(*(batch.column(c).to_pylist() for c in ("symbols", "last", "known")))]
-            yield batch.drop_columns(["symbols", "known"]).append_column("ids", pa.array(ids, pa.binary()))
+            pieces, ids, opens, closes = [], [], [], []
+            for word, s, last, known in zip(*(batch.column(c).to_pylist() for c in ("word", "symbols", "last", "known"))):
+                if word >= 0:
+                    ids.append([np.asarray([known] if known >= 0 else bpe.word(s, last) if s else [], "<u4").tobytes()])
+                    pieces.append([None])
+                    opens.append(False)
+                    closes.append(False)
+                    continue
+                got = bpe.stretch(s.encode())
+                coded, n = [g[0] for g in got.found], len(got.pieces)
+                if n <= 2 * edge:
+                    pieces.append(got.pieces)
+                    ids.append(coded)
+                else:
+                    pieces.append([*got.pieces[:edge], None, *got.pieces[-edge:]])
+                    ids.append([*coded[:edge], b"".join(coded[edge:-edge]), *coded[-edge:]])
+                opens.append(got.opens)
+                closes.append(got.closes)
+            out = batch.drop_columns(["symbols", "known"])
+            for name, values, ty in (("opens", opens, pa.bool_()), ("closes", closes, pa.bool_()),
+                                     ("pieces", pieces, pa.list_(pa.binary())), ("ids", ids, pa.list_(pa.binary()))):
+                out = out.append_column(name, pa.array(values, ty))
+            yield out
+
+    def tree(parts, join):
+        while len(parts) > 1:  # neighbours, then neighbours of those
+            parts = [join(a, b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2:]
+        return parts[0]
 
     def joined(group: pa.Table) -> pa.Table:
         bpe = model(path, leaf)
-        parts = sorted(zip(*(group.column(c).to_pylist() for c in ("word", "at", "last", "ids"))))
         out: list[bytes] = []
-        i = 0
-        while i < len(parts):
-            j = i
-            level = []
-            while j < len(parts) and parts[j][0] == parts[i][0]:
-                level.append((np.frombuffer(parts[j][3], "<u4").tolist(), parts[j][2]))
-                j += 1
-            while len(level) > 1:  # neighbours, then neighbours of those
-                level = [(bpe.join(a[0], b[0], b[1]), b[1]) for a, b in zip(level[::2], level[1::2])
-                         ] + level[len(level) // 2 * 2:]
-            out.append(np.asarray(level[0][0], "<u4").tobytes())
-            i = j
+        dealt = sorted(zip(*(group.column(c).to_pylist() for c in ("word", "at", "last", "ids", "pieces", "opens", "closes"))),
+                       key=lambda r: r[:2])
+        for word, parts in groupby(dealt, key=lambda r: r[0]):
+            if word < 0:
+                whole = tree([Stretch(p, [(i, "") for i in ids], o, c) for _, _, _, ids, p, o, c in parts], bpe.join_texts)
+                out += [ids for ids, _ in whole.found]
+            else:
+                ids, _ = tree([(np.frombuffer(r[3][0], "<u4").tolist(), r[2]) for r in parts],
+                              lambda a, b: (bpe.join(a[0], b[0], b[1]), b[1]))
+                out.append(np.asarray(ids, "<u4").tobytes())
         ids = b"".join(out)
         return pa.table({"k": group.column("k").slice(0, 1), "ids": pa.array([ids], pa.binary()),
                          "decoded": pa.array([bpe.decode(ids)], pa.string())})
@@ -276,7 +355,8 @@ def _dealt_out(rows: DataFrame, kind: str, path: str, leaf: int) -> DataFrame:
     dealt = (rows.withColumn("row", F.monotonically_increasing_id()).select("row", "k", "t")
              .mapInArrow(freeing(leaves), f"row long, k {kind}, word long, at long, last boolean, known long, symbols string")
              .repartition("row", "word", "at")
-             .mapInArrow(freeing(encoded), f"row long, k {kind}, word long, at long, last boolean, ids binary"))
+             .mapInArrow(freeing(encoded), f"row long, k {kind}, word long, at long, last boolean, opens boolean, "
+                                           "closes boolean, pieces array<binary>, ids array<binary>"))
     return dealt.groupBy("row").applyInArrow(freeing_group(joined), f"k {kind}, {_OUT}")
 
 

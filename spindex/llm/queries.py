@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, codes, exact, jaccard, langid, lexical, lines, mixing, quality, warc, wordpiece
 from .common import table
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file: in the folder TOKENIZER_DIR, if that is set."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
+
+WORD_BPE = tokenizer_file("word_bpe_49k.json")
+PIECES = tokenizer_file("piece_bpe_32k.model")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

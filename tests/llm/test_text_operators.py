@@ -1,8 +1,8 @@
 """BPE, token counts, mixing, language and quality."""
 
 import hashlib
-import os
 import random
+import re
 import struct
 import zlib
 
@@ -12,11 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spindex.llm import bpe, langid, mixing, quality, wordpiece
-
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+from spindex.llm.queries import PIECES, WORD_BPE
 
 
 @pytest.fixture(scope="module")
@@ -67,10 +63,42 @@ def test_short_pieces_equal_the_library(text):
     assert np.frombuffer(packed, "<u4").tolist() == ids and shown == lib.decode(ids, skip_special_tokens=False)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abteinorsÉéß中'.,!<|>1²\u0301\U0001f600"), max_size=90), max_size=25),
+       st.sampled_from([" ", "\n\n", "\u00a0", "<|endoftext|>"]))
+def test_tree_of_texts_equals_the_library(words, between):
+    from tokenizers import Tokenizer
+    lib = _TREE.get("lib") or _TREE.setdefault("lib", Tokenizer.from_file(WORD_BPE))
+    small = _TREE.get("small") or _TREE.setdefault("small", bpe.TreeBPE(WORD_BPE, leaf=1))
+    text = between.join(words)
+    ids = lib.encode(text, add_special_tokens=False).ids
+    before = small.joins
+    packed, shown = small.encode(text.encode())
+    assert np.frombuffer(packed, "<u4").tolist() == ids and shown == lib.decode(ids, skip_special_tokens=False)
+    assert small.joins > before or len(text.encode()) <= bpe.STRETCH or not text.strip()
+
+
+def test_tree_is_reached_by_the_tables(spark, data, tokenizer):
+    """Stretches of the given documents are joined, within a task and dealt out."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    tree = bpe.TreeBPE(WORD_BPE)
+    for text in texts.values():
+        tree.encode(text.encode())
+    assert tree.joins > 30 and tree.grown > 10
+    assert sum(len(t) >= 10_000 for t in texts.values()) > 1
+    for row in bpe.encode(docs, WORD_BPE, deal_out=10_000).collect():
+        ids = tokenizer.encode(texts[row["doc_id"]], add_special_tokens=False).ids
+        assert np.frombuffer(row["ids"], "<u4").tolist() == ids
+        assert row["decoded"] == tokenizer.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_rows(spark, docs_of, tokenizer):
     rng = random.Random(4)
     long = "".join(rng.choice("abcdefgh") for _ in range(9000))
-    texts = [*HARD, None, long, "x " + long + "!!" * 3000 + "\n<|endoftext|>" + long, "same", "same"]
+    words = ["".join(rng.choice("abcdeéß中'.1 \t") for _ in range(rng.randrange(1, 900))) for _ in range(60)]
+    texts = [*HARD, None, long, "x " + long + "!!" * 3000 + "\n<|endoftext|>" + long, "same", "same",
+             " ".join(words), " " * 5000, "\n" * 3000 + "end" + " " * 1500, ("y" * 1023 + " ") * 9, "<|endoftext|> 中" * 900]
     rows = [(i if t != "same" else None, t) for i, t in enumerate(texts)]
     coded = bpe.encode(docs_of(rows), WORD_BPE, leaf=16, deal_out=2000)
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"])
@@ -123,9 +151,18 @@ def test_automaton_equals_the_library():
 
 
 def test_token_count_rows(docs_of):
-    rows = [(1, "a\nb"), (2, None), (3, ""), (4, "\U0001f9ff ok"), (4, "\U0001f9ff ok"), (None, "x " * 50_000)]
-    got = {(r["doc_id"], r["n_words"], r["n_unknown"]) for r in wordpiece.token_counts(docs_of(rows), PIECES).collect()}
-    assert got == {(1, 2, 0), (2, 0, 0), (3, 0, 0), (4, 2, 1), (None, 50_000, 0)}
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pieces = {sp.id_to_piece(i) for i in range(3, sp.get_piece_size()) if not sp.is_byte(i)}
+    rows = [(1, "a\nb"), (2, None), (3, ""), (4, "\U0001f9ff ok"), (4, "\U0001f9ff ok"), (None, "x " * 50_000),
+            (5, "Unbelievably, the électricité  doesn't\tre-establish straßenbahn" * 3), (6, "z" * 3000 + " \u00a0 q")]
+    want = set()
+    for key, text in rows:  # a word that can't be cut is one token
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        n = {w: greedy("▁" + w, pieces) for w in set(words)}
+        want.add((key, len(words), sum(n[w] or 1 for w in words), sum(n[w] == 0 for w in words)))
+    got = {(r["doc_id"], r["n_words"], r["n_tokens"], r["n_unknown"]) for r in wordpiece.token_counts(docs_of(rows), PIECES).collect()}
+    assert got == want and {(1, 2, 0), (4, 2, 1)} <= {(k, w, u) for k, w, _, u in got}
     assert wordpiece.token_counts(docs_of(rows).limit(0), PIECES).count() == 0
 
 
@@ -252,6 +289,37 @@ def test_kernel_is_presence_of_distinct_grams():
     assert got == want and len(langid.grams(b"")) == 0 and len(langid.grams(b"a")) == 1
 
 
+def test_scores_are_those_of_the_kernel():
+    """Ridge regression on explicit kernel values, with no n-gram matrix."""
+    rng = random.Random(8)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(5, 80))).encode()
+    texts = [make("abcde ") for _ in range(25)] + [make("defgh ") for _ in range(25)] + [make("hijab ") for _ in range(25)]
+    langs = ["x"] * 25 + ["y"] * 25 + ["z"] * 25
+    tests = [make("abcdefghij ") for _ in range(20)] + [b"a", b"qqq"]
+
+    def spectrum(t):
+        return {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    sets = [spectrum(t) for t in texts]
+    marks = [i for n in range(3) for i in range(25 * n, 25 * n + 4)]  # 12 landmarks, the first of each language
+    known = set().union(*(sets[i] for i in marks))
+
+    def k(s, z):
+        return len(s & z) / np.sqrt(len(s) * len(z))
+    kzz = np.array([[k(sets[i], sets[j]) for j in marks] for i in marks])
+    kxz = np.array([[k(s, sets[j]) for j in marks] for s in sets])
+    # Nystroem features up to a rotation, which ridge regression doesn't see
+    low = np.linalg.cholesky(kzz)
+    x = np.hstack([np.linalg.solve(low, kxz.T).T, np.ones((len(sets), 1))])
+    target = np.array([[1.0 if lang == name else -1.0 for name in "xyz"] for lang in langs])
+    penalty = langid.RIDGE * len(sets) / x.shape[1] * np.eye(x.shape[1])
+    penalty[-1, -1] = 1e-9
+    beta = np.linalg.solve(x.T @ x + penalty, x.T @ target)
+    want = [np.append(np.linalg.solve(low, [k(spectrum(t), sets[j]) for j in marks]), 1) @ beta for t in tests]
+    model = langid.fit([langid.grams(t) for t in texts], langs, landmarks=12)
+    assert len(model.vocab) == len(known)
+    assert model.scores([langid.grams(t) for t in tests]) == pytest.approx(np.array(want), abs=1e-4)
+
+
 # ------------------------------------------------------------- 10 quality
 
 def test_quality(spark, data):
@@ -304,3 +372,24 @@ def test_gradients_are_those_of_the_loss():
         down = loss()
         p[at] = old
         assert (up - down) / (2 * step) == pytest.approx(float(g[at]), rel=0.2, abs=2e-3)
+
+
+def test_pooled_filters_and_scores_equal_a_plain_loop():
+    net = quality.Net(seed=11)
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(32, 127, 1300).astype(np.uint8))
+    parts = [text[at:at + quality.CHUNK] for at in range(0, len(text) - (quality.CHUNK - quality.STEP), quality.STEP)]
+    logits = []
+    for part in parts:
+        symbols = list(part) + [quality.PAD] * (quality.CHUNK - len(part))
+        pooled = []
+        for f in range(quality.FILTERS):
+            best = max(sum(float(net.emb[symbols[p + j]] @ net.w[j * quality.DIM:(j + 1) * quality.DIM, f])
+                           for j in range(quality.WIDTH))
+                       for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE))
+            pooled.append(max(0.0, best + float(net.b[f])))
+        features = np.array([*pooled, np.log2(len(part) + 1) / 9])
+        logits.append(np.maximum(features @ net.u + net.a, 0) @ net.v + net.c[0])
+    weight = [quality.STEP] * (len(parts) - 1) + [len(text) - quality.STEP * (len(parts) - 1)]
+    want = 1 / (1 + np.exp(-np.average(logits, weights=weight)))
+    assert net.score([b"", text])[1] == pytest.approx(want, abs=1e-5)
