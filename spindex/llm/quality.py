@@ -6,11 +6,11 @@ rectified outputs are max-pooled per filter; with the chunk's length they go
 through a small hidden layer to the chunk's logit, and the byte-weighted mean
 of the chunk logits is the document's, whose sigmoid is the score.
 
-Training (backpropagation and Adam, balanced classes) takes a documented,
-bounded sample: about ``MAX_TRAIN`` labelled documents, half of either label,
-of each at most ``MAX_CHUNKS`` chunks at even steps over its whole length, and
-a random short piece of each, so that short texts are known too.
-Scoring reads every byte.
+Training (backpropagation and Adam, balanced classes) takes a documented
+sample bounded in rows: about ``MAX_TRAIN`` labelled documents, half of either
+label, each with its whole text, and a random short piece of each, so that
+short texts are known too.  Both training and scoring read every byte, a
+bounded number of chunks (``BLOCK``) at a time.
 
 Null text counts as empty: a chunk of padding.  With labels of one kind only,
 or none, every score is that label, or 0.5.
@@ -27,7 +27,7 @@ from .common import freeing, held_out, small_batches
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 8, 4, 8, 32, 16
-MAX_TRAIN, MAX_CHUNKS, EPOCHS = 1600, 32, 14
+MAX_TRAIN, EPOCHS, BLOCK = 1600, 14, 128
 THRESHOLD = 0.7
 PAD = 256
 
@@ -78,8 +78,8 @@ class Net:
         z = z.reshape(len(x), -1, FILTERS)
         return z.max(1), z
 
-    def logits(self, x: np.ndarray, block: int = 128) -> np.ndarray:
-        return np.concatenate([self._top(self.pooled(x[i:i + block])[0], x[i:i + block])[2] for i in range(0, len(x), block)])
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._top(self.pooled(x[i:i + BLOCK])[0], x[i:i + BLOCK])[2] for i in range(0, len(x), BLOCK)])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         parts = [chunks(t) for t in texts]
@@ -91,34 +91,40 @@ class Net:
 
     def gradients(self, x: np.ndarray, owner: np.ndarray, weight: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean cross-entropy over the documents ``y``."""
-        best, z = self.pooled(x)
-        at = z.argmax(1)                                             # chunks x filters
+        best, at = [], []                                            # chunks x filters
+        for i in range(0, len(x), BLOCK):
+            some, z = self.pooled(x[i:i + BLOCK])
+            best.append(some)
+            at.append(z.argmax(1))
+        best, at = np.concatenate(best), np.concatenate(at)
         f, g, logit = self._top(best, x)
         share = weight / np.bincount(owner, weight, len(y))[owner]
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, logit * share, len(y)), -30, 30)))
         d = ((p - y) / len(y))[owner] * share                        # by chunk logit
         dg = (d[:, None] * self.v) * (g > 0)
         dh = (dg @ self.u[:FILTERS].T) * (f[:, :FILTERS] > 0)        # chunks x filters
-        starts = at * STRIDE
-        symbols = x[np.arange(len(x))[:, None, None], starts[:, :, None] + np.arange(WIDTH)]  # chunks x filters x width
-        e = self.emb[symbols]
-        dw = np.einsum("cf,cfwd->wdf", dh, e, optimize=True).reshape(WIDTH * DIM, FILTERS)
-        de = dh[:, :, None, None] * self.w.T.reshape(FILTERS, WIDTH, DIM)[None]
-        demb = np.zeros_like(self.emb)
-        np.add.at(demb, symbols.ravel(), de.reshape(-1, DIM))
+        dw, demb = np.zeros_like(self.w), np.zeros_like(self.emb)
+        for i in range(0, len(x), BLOCK):
+            part, dpart = x[i:i + BLOCK], dh[i:i + BLOCK]
+            starts = at[i:i + BLOCK] * STRIDE
+            symbols = part[np.arange(len(part))[:, None, None], starts[:, :, None] + np.arange(WIDTH)]  # chunks x filters x width
+            dw += np.einsum("cf,cfwd->wdf", dpart, self.emb[symbols], optimize=True).reshape(WIDTH * DIM, FILTERS)
+            de = dpart[:, :, None, None] * self.w.T.reshape(FILTERS, WIDTH, DIM)[None]
+            np.add.at(demb, symbols.ravel(), de.reshape(-1, DIM))
         demb[PAD] = 0
         return [demb, dw, dh.sum(0), f.T @ dg, dg.sum(0), (d[:, None] * g).sum(0), np.array([d.sum()])]
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, batch: int = 32,
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 32,
             rate: float = 0.01, seed: int = 5) -> "Net":
         rng = np.random.default_rng(seed)
         moment = [(np.zeros_like(p, np.float64), np.zeros_like(p, np.float64)) for p in self.params()]
         step = 0
         for epoch in range(epochs):
-            order = rng.permutation(len(docs))
+            order = rng.permutation(len(texts))
             for s in range(0, len(order), batch):
                 pick = order[s:s + batch]
-                some = [docs[i] for i in pick] + [piece(docs[i][0], rng) for i in pick]
+                some = [chunks(texts[i]) for i in pick]
+                some += [piece(x, rng) for x, _ in some]
                 x = np.concatenate([d[0] for d in some])
                 owner = np.repeat(np.arange(len(some)), [len(d[1]) for d in some])
                 weight = np.concatenate([d[1] for d in some])
@@ -171,26 +177,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # ordered, so that the bounds take the same rows in every run
     chosen = chosen.orderBy("place", "k", "y").limit(4 * max_train)
 
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for t in batch.column("t").to_pylist():
-                x, w = chunks(t)
-                at = np.unique(np.linspace(0, len(x) - 1, min(len(x), MAX_CHUNKS)).astype(int))
-                out.append((x[at].tobytes(), w[at].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), batch.column("place"), pa.array([o[0] for o in out], pa.binary()),
-                 pa.array([o[1] for o in out], pa.binary())], names=["y", "place", "x", "w"])
-
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     # at most 4 * MAX_TRAIN small rows are broadcast
     got = texts.join(F.broadcast(chosen), "k").select(F.col("y").cast("int").alias("y"), "place", "t").orderBy(
-        "place", F.xxhash64("t", "y"), "t").limit(8 * max_train).mapInArrow(freeing(cut), "y int, place double, x binary, w binary").collect()
-    got.sort(key=lambda r: (r["place"], r["y"], bytes(r["x"])))
+        "place", F.xxhash64("t", "y"), "t").limit(8 * max_train).collect()
+    got.sort(key=lambda r: (r["place"], r["y"], bytes(r["t"])))
     y = np.array([r["y"] for r in got], float)
     if len(set(y)) < 2:
         return float(y[0]) if len(y) else 0.5
-    return Net().fit([(np.frombuffer(r["x"], np.int16).reshape(-1, CHUNK), np.frombuffer(r["w"])) for r in got], y)
+    return Net().fit([bytes(r["t"]) for r in got], y)
 
 
 def score(docs: DataFrame, net: Net | float, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -374,6 +374,18 @@ def test_gradients_are_those_of_the_loss():
         assert (up - down) / (2 * step) == pytest.approx(float(g[at]), rel=0.2, abs=2e-3)
 
 
+def test_gradients_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    net = quality.Net(seed=4)
+    parts = [quality.chunks(bytes(rng.integers(32, 127, n).astype(np.uint8))) for n in (40, 30_000, 900)]
+    x, w = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    owner, y = np.repeat([0, 1, 2], [len(p[1]) for p in parts]), np.array([1.0, 0.0, 1.0])
+    whole = net.gradients(x, owner, w, y)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    for a, b in zip(whole, net.gradients(x, owner, w, y)):
+        assert a == pytest.approx(b, rel=1e-3, abs=1e-5)
+
+
 def test_pooled_filters_and_scores_equal_a_plain_loop():
     net = quality.Net(seed=11)
     rng = np.random.default_rng(2)
