@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zipfile
 from contextlib import contextmanager
+from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -132,20 +134,38 @@ def bounded_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+@cache
+def _malloc_trim():
+    """glibc's way to hand freed memory back; None where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def free_memory(cycles: bool = True) -> None:
+    """Hands unused memory back, Arrow's and what small objects leave in the
+    heap: Spark keeps its Python workers, idle ones too, for later stages."""
+    if cycles:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim():
+        _malloc_trim()(0)
+
+
 def freeing(f):
-    """A function on a task's batches that hands Arrow's unused memory back at
-    the end: Spark keeps its Python workers for the next stage."""
+    """A function on a task's batches that frees its memory at the end."""
     def run(batches):
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
+        free_memory()
     return run
 
 
 def freeing_group(f):
-    """The same for a function on a group's table."""
+    """The same for a function on a group's table (groups are many: no search for cycles)."""
     def run(table: pa.Table) -> pa.Table:
         out = f(table)
-        pa.default_memory_pool().release_unused()
+        free_memory(cycles=False)
         return out
     return run
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, freeing, held_out, small_batches
+from .common import free_name, free_memory, freeing, held_out, small_batches
 
 MAX_TRAIN, LANDMARKS, RIDGE = 2400, 160, 1e-2
 COMMON = 0.2  # of a language's landmarks, two at least
@@ -229,7 +229,7 @@ def annotate(docs: DataFrame, model: Model | None, text: str = "text", name: str
         finally:  # a reused worker doesn't keep the tables
             _SEEN.clear()
             _VOCAB.clear()
-            pa.default_memory_pool().release_unused()
+            free_memory()
 
     held = free_name(docs, "found")
     found = docs.withColumn(held, each(F.when(F.col(text).rlike(r"\p{L}"), F.col(text).cast("binary"))))
