@@ -4,9 +4,11 @@ text tokenised once, each batch computed once on its way into the store."""
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindex.operators import postings
+from spindex.functions import text
+from spindex.operators import postings, sizing
 from spindex.operators.store import PostingStore
 from spindex.session import checkpoint_dir
 from spindex.sources import tables
@@ -77,3 +79,28 @@ def test_a_batch_is_computed_once(spark, summed):
     assert {(r.token, r.url): r["count"] for r in store.snapshot().postings().collect()} == want
     assert {(r.token, r.doc_freq) for r in store.snapshot().doc_frequency().collect()} == set(Counter(t for t, _ in want).items())
     assert calls.value == len(rows + more)
+
+
+def test_spaced_words_are_those_of_the_tokeniser(spark):
+    points = spark.range(0x110000).where("id < 55296 OR id > 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, F.lit("0"))), "UTF-32").alias("c"))
+    apart = points.select(F.concat(F.lit("Ab"), "c", F.lit("cD ")).alias("t"))
+    words = F.filter(F.split(text.spaced("t"), " "), lambda w: (w != "") & text.is_ascii(w))
+    assert apart.where(~F.transform(words, F.lower).eqNullSafe(text.ascii_lower_words("t"))).count() == 0
+
+
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_occurrences_are_not_shuffled_for_a_small_vocabulary(spark, monkeypatch, rows):
+    monkeypatch.setattr(postings, "fits", lambda df: df.count() <= rows)
+    corpus = spark.createDataFrame([("a", "The cats, a caté and\ta cat"), ("a", "Cats!"), ("b", None), (None, "cat dogs"), ("c", "of - the")],
+                                   "url string, text string")
+    got = postings.term_counts(corpus)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (rows > 0)
+    assert {tuple(r) for r in got.collect()} == {("cat", "a", 3), ("cat", None, 1), ("dog", None, 1)}
+
+
+def test_size_check_moves_no_rows(spark, monkeypatch):
+    df = spark.range(0, 1000, 1, 8).select(F.col("id").cast("string").alias("token"))
+    monkeypatch.setattr(DataFrame, "limit", lambda *a: pytest.fail("rows gathered in one task"))
+    assert sizing.fits(df, 1000, 2890) and not sizing.fits(df, 999) and not sizing.fits(df, 1000, 2889)
