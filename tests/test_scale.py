@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spindex.functions import text
 from spindex.operators import postings, sizing
 from spindex.operators.store import PostingStore
+from spindex.plans import catalog
 from spindex.session import checkpoint_dir
 from spindex.sources import tables
 from spindex.streaming import ingest
@@ -104,3 +105,33 @@ def test_size_check_moves_no_rows(spark, monkeypatch):
     df = spark.range(0, 1000, 1, 8).select(F.col("id").cast("string").alias("token"))
     monkeypatch.setattr(DataFrame, "limit", lambda *a: pytest.fail("rows gathered in one task"))
     assert sizing.fits(df, 1000, 2890) and not sizing.fits(df, 999) and not sizing.fits(df, 1000, 2889)
+
+
+def many_texts(spark, rows=400):
+    """Texts of one task; "all" stands in each, three times."""
+    words = F.concat_ws(" ", F.array(*[F.concat(F.lit(f"w{i}q"), F.col("id") % 50) for i in range(20)]))
+    return spark.range(0, rows, 1, 1).select(F.concat(F.lit("u"), F.col("id")).alias("url"),
+                                             F.concat(F.lit("zall zall zall "), words).alias("text"))
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_counting_tasks_grow_with_the_texts(spark, monkeypatch, stem):
+    monkeypatch.setattr(postings, "COUNT_BYTES", 2000)
+    texts = many_texts(spark)
+    odd = spark.createDataFrame([("u0", "zall"), (None, "zall zall"), ("v", None), ("v", "")], "url string, text string")
+    got = postings.term_counts(texts.unionByName(odd), stem=stem)
+    tasks = per_task(got)
+    assert len(tasks) > 12 and tasks[-1] < sum(tasks) / 6
+    want = Counter((r.token, r.url) for r in postings.occurrences(texts.unionByName(odd), stem=stem).collect())
+    assert {(r.token, r.url): r["count"] for r in got.collect()} == want
+    assert want["zall", "u0"] == 4 and want["zall", None] == 2
+
+
+@pytest.mark.parametrize("query", ["hx_term_counts"])
+def test_page_queries_deal_pairs_by_size(spark, tmp_path, monkeypatch, query):
+    monkeypatch.setattr(postings, "COUNT_BYTES", 2000)
+    (many_texts(spark).select(F.xxhash64("url").alias("page_id"), F.concat(F.lit("http://h/"), "url").alias("url"),
+                              F.concat(F.lit("<html><body><p>"), "text", F.lit("</p></body></html>")).alias("html"))
+     .write.parquet(str(tmp_path / "pages.parquet")))
+    tasks = per_task(catalog.QUERIES[query](spark, str(tmp_path)))
+    assert len(tasks) > 12 and tasks[-1] < sum(tasks) / 6
