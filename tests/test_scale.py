@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindex.functions import text
-from spindex.operators import postings, sizing
+from spindex.operators import merge, postings, sizing
 from spindex.operators.store import PostingStore
 from spindex.plans import catalog
 from spindex.session import checkpoint_dir
@@ -127,7 +127,23 @@ def test_counting_tasks_grow_with_the_texts(spark, monkeypatch, stem):
     assert want["zall", "u0"] == 4 and want["zall", None] == 2
 
 
-@pytest.mark.parametrize("query", ["hx_term_counts"])
+@pytest.mark.parametrize("mode", ["add", "skip"])
+def test_recrawl_tasks_grow_with_the_texts(spark, mode):
+    checkpoint_dir(spark)
+    p = many_texts(spark).checkpoint()
+    batch = p.where("url < 'u2'").unionByName(spark.createDataFrame([("new", "zall new"), (None, "zall")], "url string, text string")).checkpoint()
+    counts = lambda df: postings.term_counts(df, stem=False, parts=24)
+    want = Counter({(r.token, r.url): r["count"] for r in counts(p).collect()})
+    for r in counts(batch).collect():
+        if mode == "add" or r.url == "new":
+            want[r.token, r.url] += r["count"]
+    got = merge.recrawl(counts(p), p, batch, counts(batch), on_recrawl=mode, parts=24)
+    tasks = per_task(got)
+    assert len(tasks) > 12 and tasks[-1] < sum(tasks) / 6
+    assert {(r.token, r.url): r["count"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("query", ["m_recrawl_skip", "m_recrawl_add", "m_postings_upsert", "hx_term_counts"])
 def test_page_queries_deal_pairs_by_size(spark, tmp_path, monkeypatch, query):
     monkeypatch.setattr(postings, "COUNT_BYTES", 2000)
     (many_texts(spark).select(F.xxhash64("url").alias("page_id"), F.concat(F.lit("http://h/"), "url").alias("url"),
