@@ -143,7 +143,16 @@ def test_recrawl_tasks_grow_with_the_texts(spark, mode):
     assert {(r.token, r.url): r["count"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("query", ["m_recrawl_skip", "m_recrawl_add", "m_postings_upsert", "hx_term_counts"])
+def test_nested_lists_are_dealt_out_by_token_and_part(spark):
+    post = postings.term_counts(many_texts(spark), stem=False, parts=8)
+    got = postings.nested_view(post, part_digits=2, parts=24)
+    tasks = per_task(got)
+    assert len(tasks) > 12 and tasks[-1] < sum(tasks) / 6
+    flat = lambda df: {(r.token, r.part, tuple(r.urls)) for r in df.collect()}
+    assert flat(got) == flat(postings.nested_view(post, part_digits=2))
+
+
+@pytest.mark.parametrize("query", ["m_recrawl_skip", "m_recrawl_add", "m_postings_upsert", "hx_term_counts", "scn_nested_index"])
 def test_page_queries_deal_pairs_by_size(spark, tmp_path, monkeypatch, query):
     monkeypatch.setattr(postings, "COUNT_BYTES", 2000)
     (many_texts(spark).select(F.xxhash64("url").alias("page_id"), F.concat(F.lit("http://h/"), "url").alias("url"),
